@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.packing import spark_schema
-from threadloom.llm.work import Scratch, column, table
+from threadloom.llm.work import Scratch, column, small_batches, table
 
 #: Vectors the tree is fitted on and queries it is calibrated with, at most; wanted recall of the latter.
 SAMPLE, CALIBRATION, RECALL = 20_000, 200, 0.97
@@ -221,7 +221,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
         yield from held.out()
 
     both = held_rows.join(asking, "leaf").select("leaf_rows_ids", "leaf_rows", "queries_ids", "queries")
-    return top(both.mapInArrow(compare, spark_schema(HITS)), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    with small_batches(spark, 16):
+        hits = work.save(both.mapInArrow(compare, spark_schema(HITS)), "hits")
+    return top(hits, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ similarity of 0.8 share such a run always where the sketch is the whole set, and
 probability above 1 - 1e-7, while sets that share but a passage or common words hardly ever do.
 
 Lists yield links without pairing their members: first each member is compared with its list's
-least document, and a few more times with another leader; last, members outside the list's main
-component are compared with the rest of the list. Pairs already in one component are skipped.
-A pair is estimated from the union's bottom-k sketch, and what may reach the threshold is
-confirmed on the full sets. So no list is cut or sampled.
+least document. Documents of lists that then hold several components are dropped if too few of
+their shingles occur in any other such document; those outside a list's main component are compared with
+the rest of the lists of that component, in blocks that give out links only. A pair of the first
+kind is estimated from the union's bottom-k sketch, and what may reach the threshold is confirmed
+on the full sets; blocks compare full sets. So no list is cut or sampled, and what is quadratic are
+comparisons inside blocks of a list whose members have too little in common to be one component.
 
 Cases: a document without words has an empty set and is its own component; one with fewer words
 than a shingle is one shingle of all its words; a null doc_id takes no part (component null, kept);
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.components import components
 from threadloom.llm.packing import spark_schema
-from threadloom.llm.work import Scratch, column, slices, small, table, texts
+from threadloom.llm.work import Scratch, column, slices, small, small_batches, table, texts
 
 K, PERCENT = 48, 80
-#: Lists longer than LONG try so many further leaders before what is left is compared in full.
-LEADERS, LONG = 2, 8
+#: Hashes in a block of sets.
+BLOCK = 200_000
 #: Estimates below this are dropped: at a similarity of 0.8, 21 or fewer of 48 common values are met once in 10**8 pairs.
 LEAST_ESTIMATE = 0.45
 CHUNK = 1 << 20
@@ -154,13 +156,19 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "asketch", "bsketch").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have the similarity."""
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, hashes) of the documents whose doc_id is in ``wanted``."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([shingles(x, width).tobytes() for x in texts(batch)], pa.binary())], names=["doc_id", "hashes"])
 
+    return docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have the similarity."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -169,12 +177,71 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * common >= percent * (len(x) // 8 + len(y) // 8 - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    full = docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary")
+    full = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), width)
     x, y = full.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), full.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
+def compared(members: DataFrame, docs: DataFrame, width: int, percent: int, work: Scratch) -> DataFrame:
+    """Links between (main, rep, part, n, common) of one main and different parts, in blocks.
+
+    Members outside the main part meet all members, on full sets. A block of them is held against a
+    block of members by one sorted array of the latter's hashes; only links come out, one for
+    each of them and part met.
+    """
+    totals = work.save(members.groupBy("main").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("part") != F.col("main"), F.col("n"))) * 4 / BLOCK)).alias("outer")), "totals")
+    sets = work.save(full_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), width), "sets")
+    dealt = members.join(small(totals), "main").join(sets, members["rep"] == sets["doc_id"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    row = F.struct("rep", "part", "hashes")
+    inner = dealt.groupBy("main", "block").agg(F.collect_list(row).alias("inner"))
+    outer = dealt.where("part <> main").withColumn("_o", F.pmod(F.xxhash64("rep", F.lit(1)), "outer")).groupBy("main", "_o", "blocks").agg(F.collect_list(row).alias("out"))
+    met = inner.join(outer.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), ["main", "block"]).select("inner", "out")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for inner, out in zip(column(batch, "inner").to_pylist(), column(batch, "out").to_pylist(), strict=True):
+                reps, parts = np.array([m["rep"] for m in inner]), np.array([m["part"] for m in inner])
+                sets = [np.frombuffer(m["hashes"], np.uint64) for m in inner]
+                sizes = np.array([len(x) for x in sets])
+                values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(values, kind="stable")
+                values, owners = values[order], owners[order]
+                for m in out:
+                    x = np.frombuffer(m["hashes"], np.uint64)
+                    first, last = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                    n = last - first
+                    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    shared = np.bincount(owners[at], minlength=len(sets))
+                    hit = np.flatnonzero((100 * shared >= percent * (len(x) + sizes - shared)) & (parts != m["part"]))
+                    _, one = np.unique(parts[hit], return_index=True)
+                    a += [m["rep"]] * len(one)
+                    b += reps[hit[one]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    with small_batches(docs.sparkSession, 4):
+        return work.save(met.mapInArrow(run, "a long, b long").distinct(), "rest")
+
+
+def in_common(lists: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(rep, n, common) of listed documents: how many of their shingles any other listed one has.
+
+    No link can have more in common, so it bounds a document's similarity to all it may still meet.
+    """
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", CHUNK):
+            sets = [shingles(x, width).view(np.int64) for x in texts(batch)]
+            owners = np.repeat(np.array(column(batch, "doc_id").to_pylist(), np.int64), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(sets))], names=["rep", "value"])
+
+    met = small(lists.select(F.col("rep").alias("doc_id")).distinct())
+    full = docs.join(met, "doc_id", "left_semi").mapInArrow(values, "rep long, value long")
+    alone = full.groupBy("value").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = classes.join(met, classes["rep"] == met["doc_id"], "left_semi").groupBy("rep").agg(F.max("n").alias("n"))
+    return sizes.join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     spark = docs.sparkSession
@@ -187,12 +254,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     lists = work.save(entries.join(leaders, "key"), "lists")
     labels: DataFrame | None = None  # of classes that have a link: (node, label)
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame | None:
-        """The labels after these pairs (of documents, with their labels as ca, cb) are tried."""
-        maybe = work.save(likely(pairs.select("a", "b"), classes, percent), f"{name}-likely")
-        if not maybe.limit(1).count():
-            return labels
-        edges = work.save(confirmed(maybe, docs, width, percent), f"{name}-edges")
+    def joined(edges: DataFrame, name: str) -> DataFrame | None:
+        """The labels with these links added."""
         if not edges.limit(1).count():
             return labels
         if labels is None:
@@ -205,32 +268,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
         return work.save(both.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-labels")
 
     star = lists.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = linked(star, "star")
-    for k in range(LEADERS + 1):
-        # Lists that still hold more than one component.
-        here = lists.select("key", "rep")
-        here = here.join(labels, here["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("part")) if labels is not None else here.withColumn("part", F.col("rep"))
-        here = work.save(here, f"parts-{k}")
-        sizes = here.groupBy("key", "part").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("members")).where("parts > 1")
-        open_lists = work.save(split.select("key", F.col("main.part").alias("main"), "members"), f"open-{k}")
-        if not open_lists.where("members > 2").limit(1).count():
-            break  # a list of two has been compared
-        mine = work.save(here.join(open_lists.where("members > 2"), "key"), f"mine-{k}")
-        last = k == LEADERS or not open_lists.where(F.col("members") > LONG).limit(1).count()
-        if not last:
-            chosen = work.save(mine.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "part")).alias("c")).select("key", F.col("c.rep").alias("lead"), F.col("c.part").alias("lead_part")), f"chosen-{k}")
-            pairs = mine.where(F.col("members") > LONG).join(chosen, "key").where("part <> lead_part")
-            pairs = pairs.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
-        else:
-            outside = mine.where("part <> main").select("key", F.col("rep").alias("o"), F.col("part").alias("opart"))
-            pairs = mine.join(outside, "key").where((F.col("part") != F.col("opart")) & ((F.col("part") == F.col("main")) | (F.col("rep") < F.col("o"))))
-            pairs = pairs.select(F.least("o", "rep").alias("a"), F.greatest("o", "rep").alias("b"))
-        pairs = work.save(pairs.distinct(), f"pairs-{k}")
-        if pairs.limit(1).count():
-            labels = linked(pairs, f"round-{k}")
-        if last:
-            break
+    with small_batches(spark, 500):
+        maybe = work.save(likely(star, classes, percent), "likely")
+        labels = joined(work.save(confirmed(maybe, docs, width, percent), "edges"), "star")
+    # Lists that still hold more than one component; a list of two has been compared.
+    rows = lists.select("key", "rep")
+    here = rows.join(labels, rows["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("part")) if labels is not None else rows.withColumn("part", F.col("rep"))
+    here = work.save(here, "parts")
+    sizes = here.groupBy("key", "part").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("members")).where("parts > 1 and members > 2")
+    open_lists = work.save(split.select("key", F.col("main.part").alias("main")), "open")
+    if open_lists.limit(1).count():
+        met = work.save(here.join(open_lists, "key").select("main", "rep", "part").distinct(), "met")
+        linkable = in_common(met, docs, classes, width).where(F.col("common") * 100 >= F.col("n") * percent)
+        members = work.save(met.join(linkable, "rep"), "members")
+        labels = joined(compared(members, docs, width, percent, work), "rest")
     work.drop("entries", "leaders", "lists")
     part = classes.select(F.col("sig").alias("_sig"), F.col("rep").alias("component"))
     if labels is not None:
