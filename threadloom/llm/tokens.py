@@ -11,14 +11,21 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import pairwise
+
+import numpy as np
 
 #: Pieces kept in a worker, at most; beyond it the cache starts anew.
 CACHE_WORDS = 600_000
 
+#: New pieces that are encoded in one call.
+JOINED = 256
+
 #: Letters, digits and white space of the plain alphabet below, as the pre-tokenizer classes them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
 _PLAIN_ELSE = re.compile("[^\t\n\r -~\xa1-\xac\xae-ɏ]")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_SPACED = re.compile(f" [{_L}]+")
 
 
 def default_vocabulary() -> str:
@@ -42,15 +49,28 @@ class Encoder:
         """Each text's ids as little-endian unsigned 16-bit numbers."""
         pieces = [None if _PLAIN_ELSE.search(x) else _PIECE.findall(x) for x in texts]
         known = self.known
-        new = list({w for words in pieces if words for w in words if w not in known})
+        words = set().union(*(x for x in pieces if x))
+        new = words.difference(known)
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = list({w for words in pieces if words for w in words})
-        for w, ids in zip(new, self._library(new), strict=True):
-            known[w] = ids
+            new = words
+        # Pieces of a space and letters are cut apart again at the spaces, so many go in one call.
+        spaced = [w for w in new if _SPACED.fullmatch(w)]
+        for k in range(0, len(spaced), JOINED):
+            some = spaced[k : k + JOINED]
+            known.update(zip(some, self._cut("".join(some)), strict=True))
+        rest = [w for w in new if w not in known]
+        known.update(zip(rest, self._library(rest), strict=True))
         whole = iter(self._library([x for x, words in zip(texts, pieces, strict=True) if words is None]))
         return [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in pieces]
 
+    def _cut(self, text: str) -> list[bytes]:
+        """The ids of each of the text's pieces."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        raw, of = array("H", e.ids).tobytes(), np.array(e.word_ids)
+        cuts = [0, *(2 * np.flatnonzero(of[1:] != of[:-1]) + 2).tolist(), len(raw)]
+        return [raw[a:b] for a, b in pairwise(cuts)]
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
