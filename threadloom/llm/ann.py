@@ -20,18 +20,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.packing import spark_schema
 from threadloom.llm.work import Scratch, column, small_batches, table
 
 #: Vectors the tree is fitted on and queries it is calibrated with, at most; wanted recall of the latter.
-SAMPLE, CALIBRATION, RECALL = 20_000, 200, 0.97
+SAMPLE, CALIBRATION, RECALL = 20_000, 200, 0.94
 BRANCHES, LEAF_ROWS, STEPS = 8, 256, 8
 BLOCK, QUERY_BLOCK, HELD = 1024, 256, 50_000
 
-HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+HITS = "query_id long, ids array<long>, scores array<double>"
+RESULT = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 class Tree(NamedTuple):
@@ -117,7 +118,7 @@ def best(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, ro
 
 
 class Held:
-    """A task's best hits for each query so far; given out when there are many."""
+    """A task's best hits for each query so far, given out as one row each; earlier when there are many."""
 
     def __init__(self, k: int):
         self.k, self.found = k, {}
@@ -132,14 +133,24 @@ class Held:
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.found:
-            n = [len(x) for x, _ in self.found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(self.found), n), pa.int64()), pa.array(np.concatenate([x for x, _ in self.found.values()]), pa.int64()), pa.array(np.concatenate([y for _, y in self.found.values()]), pa.float64())], schema=HITS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(self.found), pa.int64()), pa.array([x for x, _ in self.found.values()], pa.list_(pa.int64())), pa.array([y for _, y in self.found.values()], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
         self.found = {}
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k best of all tasks' hits; a query has at most k from each task."""
+    each = hits.groupBy("query_id").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("scores")).alias("scores"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, query in enumerate(column(batch, "query_id").to_pylist()):
+                ids, scores = (column(batch, c)[n].values.to_numpy() for c in ("ids", "scores"))
+                order = np.lexsort((ids, -scores))[:k]
+                rows += [(query, r + 1, ids[i], scores[i]) for r, i in enumerate(order)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), RESULT, strict=True)], schema=RESULT)
+
+    return each.mapInArrow(run, spark_schema(RESULT))
 
 
 def _usable(v: Column) -> Column:
@@ -151,7 +162,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     """The k nearest of each query (a Boolean of vec_id) among all rows: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     work = Scratch(spark)
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding")
     usable = vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     one = usable.groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v"), "v")).alias("m")).select("vec_id", "m.v")
     rows = work.save(one, "vectors")
@@ -178,11 +189,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
                 held.add(q, *best(ids, x, q, ask[j], rough[:, j], k))
         yield from held.out()
 
-    truth = top(rows.mapInArrow(exact, spark_schema(HITS)), k).join(rows, "vec_id").select("query_id", "v").toArrow()
+    truth = top(rows.mapInArrow(exact, HITS), k).join(rows, "vec_id").select("query_id", "v").toArrow()
     found_in = leaves(tree, matrix(truth.column("v").combine_chunks())) if truth.num_rows else np.zeros(0, np.int64)
     place = {int(q): {leaf: r for r, leaf in enumerate(visits(tree, ask[j], n_leaves))} for j, q in enumerate(ask_ids)}
     ranks = np.array([place[q][leaf] for q, leaf in zip(truth.column("query_id").to_pylist(), found_in.tolist(), strict=True)])
-    most = 1
+    most = min(n_leaves, 16) if not len(ranks) else 1
     while len(ranks) and most < n_leaves and (ranks < most).mean() < recall:
         most = min(n_leaves, most + max(1, most // 4))
 
@@ -192,9 +203,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, x in zip(column(batch, "vec_id").to_pylist(), matrix(column(batch, "v")), strict=True):
+            for q, x, raw in zip(column(batch, "vec_id").to_pylist(), matrix(column(batch, "v")), column(batch, "v").to_pylist(), strict=True):
                 go = visits(tree, x, most)
-                yield pa.RecordBatch.from_arrays([pa.array(go, pa.int64()), pa.array([q] * len(go), pa.int64()), pa.array([x.tolist()] * len(go), pa.list_(pa.float64()))], names=["leaf", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(go, pa.int64()), pa.array([q] * len(go), pa.int64()), pa.array([raw] * len(go), column(batch, "v").type)], names=["leaf", "vec_id", "v"])
 
     def blocked(df: DataFrame, rows_each: int, name: str) -> DataFrame:
         """Rows of a leaf in blocks of about so many, dealt by hash."""
@@ -203,7 +214,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
         dealt = saved.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
         return dealt.groupBy("leaf", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows")).select("leaf", F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.v").alias(name))
 
-    schema = "leaf long, vec_id long, v array<double>"
+    schema = f"leaf long, vec_id long, v {rows.schema['v'].dataType.simpleString()}"
     held_rows = blocked(rows.mapInArrow(to_leaf, schema), BLOCK, "leaf_rows")
     asking = blocked(rows.where(is_query).mapInArrow(to_visits, schema), QUERY_BLOCK, "queries")
 
@@ -212,7 +223,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
         for batch in batches:
             for n in range(batch.num_rows):
                 ids, x, qids, q = (column(batch, c)[n].values.to_numpy() for c in ("leaf_rows_ids", "leaf_rows", "queries_ids", "queries"))
-                x, q = x.reshape(len(ids), -1), q.reshape(len(qids), -1)
+                x, q = x.astype(float).reshape(len(ids), -1), q.astype(float).reshape(len(qids), -1)
                 rough = q @ x.T
                 for j, query in enumerate(qids.tolist()):
                     held.add(query, *best(ids, x, query, q[j], rough[j], k))
@@ -222,8 +233,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
 
     both = held_rows.join(asking, "leaf").select("leaf_rows_ids", "leaf_rows", "queries_ids", "queries")
     with small_batches(spark, 16):
-        hits = work.save(both.mapInArrow(compare, spark_schema(HITS)), "hits")
-    return top(hits, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        hits = work.save(both.mapInArrow(compare, HITS), "hits")
+    return top(hits, k)
 
 
 def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
