@@ -68,10 +68,24 @@ def test_shards(spark, odd, none):
 
 
 def test_encoder_is_the_library(tokenizer):
-    texts = ["", "a  b\n\n c\t\td 's't've I'll", "été Ünï ß² 12½x¼", "漢字 mixed   space", " <|endoftext|>", "x" * 300, "\r\n \n", "«quoted» – dash"] + [x[1] or "" for x in ODD]
+    texts = ["", "a  b\n\n c\t\td 's't've I'll", "été Ünï ß² 12½x¼", "漢字 mixed   space", " <|endoftext|>", "x" * 300, "\r\n \n", "«quoted» – dash", "one\n\ntwo\nthree", "\n\nx", "\n", " lead", "end\n", "a.\nB c's (d) 12x\n'll", "naïve Ærø ªº 3rd no'thing x²y"] + [x[1] or "" for x in ODD]
     assert [np.frombuffer(x, "<u2").tolist() for x in tokens.Encoder(tokens.default_vocabulary()).encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_on_all_documents(spark, tokenizer):
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    enc = tokens.Encoder(tokens.default_vocabulary())
+    assert [np.frombuffer(x, "<u2").tolist() for k in range(0, len(texts), 100) for x in enc.encode(texts[k : k + 100])] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(enc.known) > 1000
+
+
+def test_encoder_of_two_generations(monkeypatch, tokenizer):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    enc = tokens.Encoder(tokens.default_vocabulary())
+    for text in ("a b c d", "a b e f g", "h i a", "k l m n o p q r", "a b k"):
+        assert np.frombuffer(enc.encode([text])[0], "<u2").tolist() == tokenizer.encode(text).ids
+
+
 def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 

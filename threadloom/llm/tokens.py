@@ -15,8 +15,8 @@ from itertools import pairwise
 
 import numpy as np
 
-#: Pieces kept in a worker, at most; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+#: Pieces in each of the two generations that a worker keeps, at most.
+CACHE_WORDS = 350_000
 
 #: New pieces that are encoded in one call.
 JOINED = 256
@@ -24,7 +24,7 @@ JOINED = 256
 #: Letters, digits and white space of the plain alphabet below, as the pre-tokenizer classes them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
 _PLAIN_ELSE = re.compile("[^\t\n\r -~\xa1-\xac\xae-ɏ]")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_PIECE = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _SPACED = re.compile(f" [{_L}]+")
 
 
@@ -44,6 +44,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than two bytes")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 16-bit numbers."""
@@ -52,8 +53,11 @@ class Encoder:
         words = set().union(*(x for x in pieces if x))
         new = words.difference(known)
         if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
+            self.older, self.known = known, (known := {})
             new = words
+        if again := self.older.keys() & new:
+            known.update((w, self.older[w]) for w in again)
+            new = new - again
         # Pieces of a space and letters are cut apart again at the spaces, so many go in one call.
         spaced = [w for w in new if _SPACED.fullmatch(w)]
         for k in range(0, len(spaced), JOINED):
