@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.packing import spark_schema
-from threadloom.llm.work import Scratch, column, small_batches, table
+from threadloom.llm.work import Scratch, bounded_sample, column, small_batches, table
 
 #: Vectors the tree is fitted on and queries it is calibrated with, at most; wanted recall of the latter.
 SAMPLE, CALIBRATION, RECALL = 20_000, 200, 0.94
@@ -171,13 +171,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == size.d)
     total = size["count"]
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    picked = bounded_sample(rows, "vec_id", SAMPLE).select("v").toArrow()
     sample = matrix(picked.column(0).combine_chunks())
     tree = fit(sample, max(8, LEAF_ROWS * len(sample) // max(total, 1)))
     n_leaves = sum(not c for c in tree.children)
 
     # Calibration: the sampled queries' true neighbours, and how many leaves reach them.
-    asked = rows.where(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).toArrow()
+    asked = bounded_sample(rows.where(is_query), "vec_id", CALIBRATION, 1).toArrow()
     ask_ids, ask = asked.column("vec_id").to_numpy(), matrix(asked.column("v").combine_chunks()) if asked.num_rows else np.zeros((0, size.d))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.work import Scratch, table
+from threadloom.llm.work import Scratch, bounded_sample, table
 
 #: Labelled rows that are learnt from, at most (those of least hash); rounds; pseudo-labels a round, view and class.
 LABELLED, ROUNDS, EACH = 20_000, 3, 400
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     work = Scratch(docs.sparkSession)
     seen = work.save(views(docs), "views")
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    rows = seen.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).toPandas()
+    rows = bounded_sample(work.save(seen.join(marked, "doc_id"), "labelled"), "doc_id", LABELLED).toPandas()
     if rows.y.nunique() < 2 or min(rows.y.value_counts()) < 10:
         return None
     x = [np.array(rows.t.tolist()), np.array(rows.m.tolist())]
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     scores = 1 / (1 + np.exp(-combined.odds(odds)))
     good = np.sort(scores[y[aside] == 1])
     bound = min(0.5, float(good[int(FALSE_REJECTS * len(good))]))
-    work.drop("views", "pool")
+    work.drop("views", "labelled", "pool")
     return Model(text, metadata, combined, bound)
 
 

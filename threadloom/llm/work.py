@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 100_000
 
 #: Texts are worked on in slices of about this many bytes, to bound a Python worker's memory.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+
+#: Rows in an Arrow batch where the session does not say, as documents can be long.
+BATCH_ROWS = 1000
 
 
 class Scratch:
@@ -29,6 +32,8 @@ class Scratch:
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("spark.checkpoint.dir", base)
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.root = f"{base}/llm-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -68,6 +73,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int, salt: int = 0) -> DataFrame:
+    """The ``rows`` rows of least hash of their key; all but few others are dropped before any are sent on."""
+    total, space = df.count(), 1 << 30
+    h = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(space))
+    part = df.where(h < int(space * (1.2 * rows + 200) / total)) if total > 1.2 * rows + 200 else df
+    return part.orderBy(h, key).limit(rows)
+
+
 def where_row() -> tuple[Column, Column]:
     """Of a row: its task's partition and its place there, from monotonically_increasing_id's layout."""
     at = F.monotonically_increasing_id()
