@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from threadloom.plans.queries import QUERIES
+from threadloom.plans import QUERIES
 
 HEADLINE = "unit_count_by_role agg_metrics_percentile session_rollup facets_idf filter_exists_semi action_pairing phases_gap streaks sequence_within bm25_topk rrf_hybrid lineage_roots cost_rollup tool_pairing_quality".split()
 

@@ -49,3 +49,58 @@ def correlation_label(r: Column) -> Column:
     """I21."""
     a = F.abs(r)
     return F.when(r.isNull(), "undefined").when(a >= 0.7, "strong").when(a >= 0.4, "moderate").when(a >= 0.2, "weak").otherwise("negligible")
+
+
+def workflow_shape(c: dict[str, Column]) -> Column:
+    """I2, the first that holds; c: calls, messages, user_messages, dispatches, reads, edits, runs, has_text."""
+    ratio = F.round(c["calls"] / F.greatest(c["messages"], F.lit(1)), 4)
+    return (
+        F.when(c["dispatches"] > 0, "subagent_dispatch")
+        .when((ratio < 0.1) & c["has_text"], "chat")
+        .when((c["reads"] >= 3) & (c["edits"] == 0) & (c["user_messages"] <= 2), "batch_review")
+        .when(((c["edits"] > 0) | (c["runs"] >= 3)) & (ratio >= 0.2) & (c["messages"] >= 10), "agentic_loop")
+        .when((c["reads"] > 0) | (ratio >= 0.1), "exploratory")
+        .otherwise("unknown")
+    )
+
+
+def work_label(edits: Column, agents: Column, searches: Column, reads: Column, git: Column, shell: Column, calls: Column) -> Column:
+    """What a range of actions was for, the first that holds."""
+    return (
+        F.when(edits >= 2, "implementation")
+        .when((agents >= 2) & (edits == 0), "planning")
+        .when((searches >= 2) | ((reads >= 3) & (edits == 0)), "research")
+        .when(git >= 1, "review")
+        .when(shell >= 2, "implementation")
+        .when(calls == 0, "session")
+        .otherwise("implementation")
+    )
+
+
+def streak_severity(n: Column) -> Column:
+    """I25."""
+    return F.when(n >= 7, "high").when(n >= 4, "medium").when(n >= 2, "low")
+
+
+def similarity_band(score: Column) -> Column:
+    """I65."""
+    return F.when(score >= 0.75, "strong").when(score >= 0.55, "moderate").otherwise("weak")
+
+
+def followup_class(text: Column, markers: list[str]) -> Column:
+    """What the turn after a failure does; none or under 20 characters is ambiguous."""
+    return F.when(text.isNull() | (F.length(F.trim(text)) < 20), "ambiguous").when(F.rlike(F.lower(text), F.lit("|".join(markers))), "acknowledged").otherwise("silent_proceed")
+
+
+def value_format(c: Column) -> Column:
+    """H4: the format of one value."""
+    return (
+        F.when(c.isNull(), "null")
+        .when(F.rlike(c, F.lit("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")), "uuid")
+        .when(F.rlike(c, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}")), "date")
+        .when(F.rlike(c, F.lit("^-?[0-9]+$")), "integer")
+        .when(F.rlike(c, F.lit(r"^-?[0-9]+\.[0-9]+$")), "decimal")
+        .when(F.rlike(c, F.lit("^https?://")), "url")
+        .when(F.rlike(c, F.lit(r"^[{\[]")), "json")
+        .otherwise("text")
+    )

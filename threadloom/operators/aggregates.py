@@ -52,3 +52,69 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     r = F.when((F.count_if(both) >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(x, y))), 4))
     return df.agg(F.count_if(both).alias("n"), r.alias("r"))
+
+
+def distribution(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Count, total, bounds, mean and linear percentiles, to six places."""
+    v = F.col(value)
+    return df.groupBy(key).agg(F.count(v).alias("n"), F.round(F.sum(v), 6).alias("total"), F.min(v).alias("least"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.9), 6).alias("p90"), F.max(v).alias("largest"), F.round(F.avg(v), 6).alias("mean"))
+
+
+def median_floor(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The median of whole numbers, the mean of two middles rounded down."""
+    low = F.expr(f"percentile_disc(0.5) within group (order by {value})")
+    high = F.expr(f"percentile_disc(0.5) within group (order by {value} desc)")
+    return df.groupBy(key).agg(low.alias("_low"), high.alias("_high")).select(key, F.floor((F.col("_low") + F.col("_high")) / 2).cast("long").alias("median"))
+
+
+def most_common(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Each key's most frequent value, ties to the smallest."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value), F.max("n").alias("n"))
+
+
+def multiset_digest(df: DataFrame, key: str, *members: Column) -> DataFrame:
+    """Of each key's members, their count and two order-free sums of 48-bit hash parts; nulls are skipped.
+
+    Sums combine before the shuffle, so no group's members are gathered in one place.
+    """
+    m = F.concat_ws("|", *members)
+    part = lambda at: F.sum(F.conv(F.substr(F.sha2(m, 256), F.lit(at), F.lit(12)), 16, 10).cast("decimal(38,0)")).cast("string")
+    return df.where(F.concat(*members).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), part(1).alias("sum_a"), part(13).alias("sum_b"))
+
+
+def rollup_sets(df: DataFrame, keys: list[str], sets: list[list[str]], **measures: Column) -> DataFrame:
+    """I16: the measures by each set of keys, in one pass; ``grouping`` names the set."""
+    at = {k: n for n, k in enumerate(keys)}
+    grouped = df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_g"), *[m.alias(n) for n, m in measures.items()])
+    name = F.lit(None).cast("string")
+    for s in sets:
+        bits = sum(1 << (len(keys) - 1 - at[k]) for k in keys if k not in s)
+        name = F.when(F.col("_g") == bits, "-".join(s)).otherwise(name)
+    return grouped.select(name.alias("grouping"), *keys, *measures)
+
+
+def differing(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Per key and field, how many values it takes, nulls being one."""
+    counts = df.groupBy(key).agg(*[(F.count_distinct(f) + F.max(F.col(f).isNull().cast("int"))).alias(f) for f in fields])
+    return counts.unpivot([key], fields, "field", "distinct_values")
+
+
+def calibration(judged: DataFrame, keys: list[str], verdict: str, gold: str, item: str) -> DataFrame:
+    """Agreement with gold over items that have it (null where none), and rates of non-answers."""
+    share = lambda word: F.round(F.avg((F.col(verdict) == word).cast("double")), 6)
+    both = F.col(gold).isNotNull() & F.col(verdict).isNotNull()
+    return judged.groupBy(*keys).agg(F.count(item).alias("n"), F.count_if(both).alias("overlap"), F.round(F.try_divide(F.count_if(both & (F.col(verdict) == F.col(gold))), F.count_if(both)), 6).alias("agreement"), share("tie").alias("tie_rate"), share("abstain").alias("abstain_rate"))
+
+
+def miss_diagnosis(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
+    """Matches with all predicates, and with each one dropped, in one pass over the table."""
+    def all_but(left_out: str | None) -> Column:
+        kept = F.lit(True)
+        for name, p in predicates.items():
+            if name != left_out:
+                kept = kept & F.coalesce(p, F.lit(False))
+        return kept
+
+    counts = df.agg(F.count_if(all_but(None)).alias("none"), *[F.count_if(all_but(n)).alias(n) for n in predicates])
+    return counts.unpivot([], ["none", *predicates], "dropped", "matches")

@@ -28,3 +28,59 @@ def without_terms(messages: DataFrame, terms: list[str]) -> DataFrame:
 def time_or_unknown(c: Column, condition: Column) -> Column:
     """Rows without a time match every time condition."""
     return c.isNull() | condition
+
+
+def session_filter(*, origins: list[str] | None = None, exclude_origins: list[str] | None = None, since=None, until=None, title: str | None = None, id_prefix: str | None = None, at_least: dict | None = None, at_most: dict | None = None, tags: list[str] | None = None, exclude_tags: list[str] | None = None, top_level: bool | None = None) -> Column:
+    """One condition of all that are given; rows without a time fail time bounds."""
+    parts = [F.lit(True)]
+    if origins:
+        parts.append(F.col("origin").isin(origins))
+    if exclude_origins:
+        parts.append(~F.coalesce(F.col("origin").isin(exclude_origins), F.lit(False)))
+    if since is not None:
+        parts.append(F.col("sort_key") >= F.lit(since))
+    if until is not None:
+        parts.append(F.col("sort_key") <= F.lit(until))
+    if title is not None:
+        parts.append(F.contains(F.lower("title"), F.lit(title.lower())))
+    if id_prefix is not None:
+        parts.append(F.col("session_id").cast("string").startswith(id_prefix))
+    parts += [F.col(c) >= n for c, n in (at_least or {}).items()] + [F.col(c) <= n for c, n in (at_most or {}).items()]
+    if tags:
+        parts.append(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    if exclude_tags:
+        parts.append(~F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, exclude_tags))), F.lit(False)))
+    if top_level is not None:
+        parts.append(F.col("parent_session_id").isNull() if top_level else F.col("parent_session_id").isNotNull())
+    return reduce(lambda a, b: a & b, parts)
+
+
+def page(sessions: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page of the list, newest first, rows without a time last, ties to the larger id."""
+    return sessions.orderBy(F.desc_nulls_last("sort_key"), F.desc("session_id")).offset(offset).limit(limit)
+
+
+def sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """N rows by seeded hash of the key, the same in every run."""
+    h = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
+    return df.orderBy(h, key).limit(n)
+
+
+def since_session(sessions: DataFrame, ref, tree: str) -> DataFrame:
+    """sessions of the referenced one's tree that are later than it; the reference is one row."""
+    one = sessions.where(F.col("session_id") == ref).select(F.col(tree).alias("_tree"), F.col("sort_key").alias("_at"))
+    return sessions.join(F.broadcast(one), (F.col(tree) == F.col("_tree")) & (F.col("sort_key") > F.col("_at"))).drop("_tree", "_at")
+
+
+def within_band(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """Pairs of a key whose times differ by at most so many seconds.
+
+    Each left row goes to its own time band and the two next to it, so the join is on equal bands.
+    The right table's columns other than the key get the prefix ``other_``.
+    """
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width = seconds * 1_000_000
+    band = F.floor(at(ts) / width)
+    near = left.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    other = right.select(key, band.alias("_band"), *[F.col(c).alias(f"other_{c}") for c in right.columns if c != key])
+    return near.join(other, [key, "_band"]).where(F.abs(at(ts) - at(f"other_{ts}")) <= width).drop("_band")

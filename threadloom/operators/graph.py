@@ -1,8 +1,11 @@
-"""Lineage: roots, descendants and thread sizes, by recursive queries with a cycle guard."""
+"""Lineage and links: roots, descendants, threads, composed transcripts, components and cycles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +27,133 @@ def roots(edges: DataFrame, depth: int = 64) -> DataFrame:
 def threads(edges: DataFrame, depth: int = 64) -> DataFrame:
     """L4: size and depth of each root's family."""
     return roots(edges, depth).groupBy("root").agg(F.count("*").alias("members"), F.max("depth").alias("depth"))
+
+
+def descendants(edges: DataFrame, root, depth: int = 64) -> DataFrame:
+    """L2: the nodes below one root, with their depth."""
+    return roots(edges, depth).where((F.col("root") == root) & (F.col("node") != root)).select("node", "depth")
+
+
+def ancestors(edges: DataFrame, depth: int = 16) -> DataFrame:
+    """Per node each ancestor, itself included, with the least branch position on the way up.
+
+    edges: (node, parent, branch), branch being the parent's last position that the node shares.
+    A walk is at most ``depth`` steps.
+    """
+    up = edges.where("parent is not null").select(F.col("node").alias("ancestor"), F.col("parent").alias("_parent"), F.col("branch").alias("_branch"))
+    step = edges.select("node", F.col("node").alias("ancestor"), F.lit(None).cast("long").alias("limit"), F.lit(0).alias("depth"))
+    out = step
+    for _ in range(depth):
+        step = step.join(up, "ancestor").where(F.col("_parent") != F.col("node")).select("node", F.col("_parent").alias("ancestor"), F.least("limit", "_branch").alias("limit"), (F.col("depth") + 1).alias("depth"))
+        out = out.unionByName(step)
+    return out.groupBy("node", "ancestor").agg(F.min_by("limit", "depth").alias("limit"), F.min("depth").alias("depth"))  # a cycle meets an ancestor again
+
+
+def composed(messages: DataFrame, edges: DataFrame, depth: int = 16) -> DataFrame:
+    """Each session's transcript, its ancestors' messages up to the branch points and then its own.
+
+    messages: (session_id, position, …), positions of a branch going on after its branch point. A
+    parent that is missing adds nothing.
+    """
+    walk = ancestors(edges, depth)
+    parts = messages.withColumnRenamed("session_id", "ancestor").join(walk, "ancestor")
+    return parts.where(F.col("limit").isNull() | (F.col("position") <= F.col("limit"))).withColumnRenamed("node", "session_id").withColumnRenamed("ancestor", "from_session").drop("limit")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """How many links enter and leave each node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leaves"), F.lit(0).alias("enters")), F.struct(F.col("b").alias("node"), F.lit(0).alias("leaves"), F.lit(1).alias("enters")))).alias("x")).select("x.*")
+    return ends.groupBy("node").agg(F.sum("enters").alias("in_degree"), F.sum("leaves").alias("out_degree"))
+
+
+def one_hop(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> DataFrame:
+    """Links that leave ('out'), enter ('in') or touch ('both') the nodes."""
+    keys = nodes.select("node").distinct()
+    out = edges.join(keys.withColumnRenamed("node", "a"), "a", "left_semi").select(*edges.columns)
+    into = edges.join(keys.withColumnRenamed("node", "b"), "b", "left_semi").select(*edges.columns)
+    return out if direction == "out" else into if direction == "in" else out.unionByName(into).distinct()
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or a local one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/graph-{uuid.uuid4().hex}"
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component), the least node reachable over links (a, b) in either direction.
+
+    A node takes the least label of itself and its neighbours, then that label's own; each round is
+    a written table, so a lost executor costs one round at most.
+    """
+    spark, root = edges.sparkSession, _shared(edges.sparkSession)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    at = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "0")
+    k, moving = 0, True
+    while moving:
+        k += 1
+        near = both.join(at.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = at.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
+        jump = at.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        new = keep(lower.join(jump, "component", "left").select("node", "before", F.least("component", "further").alias("component")), str(k))
+        moving = new.where("component <> before").limit(1).count() > 0
+        at = new.select("node", "component")
+    return at
+
+
+def simple_cycles(edges: DataFrame, depth: int = 5) -> DataFrame:
+    """Node sets of simple cycles of 2 to ``depth`` nodes; a path starts at its least node.
+
+    Meant for graphs of item groups; the number of paths grows with the degree to the depth.
+    """
+    links = edges.where("a <> b").select(F.col("a").alias("_at"), F.col("b").alias("_to")).distinct()
+    paths = links.where("_to > _at").select(F.array("_at", "_to").alias("path"))
+    found = None
+    for n in range(2, depth + 1):
+        closed = paths.join(links, (F.element_at("path", -1) == F.col("_at")) & (F.col("_to") == F.element_at("path", 1))).select(F.array_sort("path").alias("members"))
+        found = closed if found is None else found.unionByName(closed)
+        if n < depth:
+            onward = paths.withColumn("_at", F.element_at("path", -1)).join(links, "_at")
+            paths = onward.where((F.col("_to") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path"))
+    return found.distinct()
+
+
+def pairwise(ordered: DataFrame, key: str, item: str, rank: str) -> DataFrame:
+    """From each key's ordering of few items, all (winner, loser) pairs; equal ranks give none."""
+    a, b = ordered.select(key, F.col(item).alias("winner"), F.col(rank).alias("_a")), ordered.select(key, F.col(item).alias("loser"), F.col(rank).alias("_b"))
+    return a.join(b, key).where("_a < _b").select(key, "winner", "loser")
+
+
+def bradley_terry(games: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> dict:
+    """Log strength of each item from (winner, loser) rows.
+
+    Games are summed to one row for each pair of items by Spark; the iteration is over that
+    matrix of item pairs, which is refused beyond 1,000,000 pairs.
+    """
+    counted = games.groupBy("winner", "loser").agg(F.count("*").alias("n")).limit(1_000_001).collect()
+    if len(counted) > 1_000_000:
+        raise ValueError("too many pairs of items to rank at the driver")
+    import math
+
+    wins: dict = {}
+    met: dict = {}
+    for w, lo, n in counted:
+        wins[w] = wins.get(w, 0) + n
+        met.setdefault(w, {}), met.setdefault(lo, {})
+        met[w][lo] = met[w].get(lo, 0) + n
+        met[lo][w] = met[lo].get(w, 0) + n
+    strength = dict.fromkeys(met, 1.0)
+    for _ in range(rounds):
+        new = {i: wins[i] / sum(n / (strength[i] + strength[j]) for j, n in met[i].items()) if i in wins else strength[i] for i in met}
+        scale = math.exp(sum(map(math.log, new.values())) / len(new)) if new else 1.0
+        new = {i: x / scale for i, x in new.items()}
+        done = all(abs(new[i] - strength[i]) < tolerance for i in new)
+        strength = new
+        if done:
+            break
+    return {i: math.log(x) for i, x in sorted(strength.items())}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import terms
@@ -56,3 +56,72 @@ def overlap(docs: DataFrame, doc_id: str, text: str, seed: str, least: float) ->
     b = F.array_distinct(terms(F.lit(seed)))
     score = F.round(F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b)), 6)
     return docs.where(F.size(a) > 0).select(doc_id, score.alias("score")).where(F.col("score") >= least)
+
+
+def phrase(text: Column, words: list[str], prefix: bool = False) -> Column:
+    """The words stand next to each other; with ``prefix`` the last may go on."""
+    return F.rlike(F.lower(text), F.lit("(^|[^a-z0-9])" + "[^a-z0-9]+".join(w.lower() for w in words) + ("" if prefix else "([^a-z0-9]|$)")))
+
+
+def snippet(text: Column, word: str, before: int = 6, after: int = 17) -> Column:
+    """The first hit with its neighbours, 24 words by default."""
+    return F.regexp_extract(F.lower(text), f"(?:[a-z0-9]+[^a-z0-9]+){{0,{before}}}(?:{word})(?:[^a-z0-9]+[a-z0-9]+){{0,{after}}}", 0)
+
+
+def plain_score(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """20 and the word count for the whole query, 4 for each word; a session's best and up to 5 for more hits."""
+    words = query.lower().split()
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    whole = F.when(F.contains(low, F.lit(query.lower())), 20 + len(words)).otherwise(0)
+    scored = rows.withColumn("_s", whole + sum(F.when(F.contains(low, F.lit(w)), 4).otherwise(0) for w in words)).where("_s > 0")
+    return scored.groupBy(key).agg((F.max("_s") + F.least(F.count("*") - 1, F.lit(5))).cast("long").alias("score"))
+
+
+def nearest_to_seeds(vectors: DataFrame, group: str, seed, k: int, seeds: int = 256) -> DataFrame:
+    """The k vectors outside a group that are nearest (Euclidean) to any of its vectors.
+
+    A group's vectors go to every task as one row; a group of more than ``seeds`` is refused.
+    """
+    own = vectors.where(F.col(group) == seed).select("embedding")
+    if own.limit(seeds + 1).count() > seeds:
+        raise ValueError(f"more than {seeds} seed vectors")
+    held = F.broadcast(own.agg(F.collect_list("embedding").alias("_seeds")))  # one row
+    distance = lambda s: F.sqrt(F.aggregate(F.zip_with("embedding", s, lambda a, b: F.pow(a.cast("double") - b, 2)), F.lit(0.0), lambda a, x: a + x))
+    least = F.array_min(F.transform("_seeds", distance))
+    return vectors.where(F.col(group) != seed).join(held).select("vec_id", F.round(least, 6).alias("distance")).orderBy("distance", "vec_id").limit(k)
+
+
+def embeddable(rows: DataFrame) -> DataFrame:
+    """Texts worth a vector (20 characters or more, not the system's), one for each content hash."""
+    kept = rows.where((F.length("text") >= 20) & (F.col("role") != "system"))
+    return kept.groupBy(F.sha2("text", 256).alias("content")).agg(F.count("*").alias("refs"), F.min("session_id").alias("first_session"))
+
+
+def lanes(lists: dict[str, DataFrame], item: str, k: int = 60) -> DataFrame:
+    """Fused score and each lane's rank (null where it lacks the item)."""
+    both = None
+    for name, df in lists.items():
+        part = df.groupBy(item).agg(F.min("rank").alias("rank")).withColumn("lane", F.lit(name))
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy(item).agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 8).alias("score"), *[F.max(F.when(F.col("lane") == n, F.col("rank"))).cast("long").alias(f"{n}_rank") for n in lists])
+
+
+def neighbours(sessions: DataFrame, ref, k: int, hours: float = 24.0) -> DataFrame:
+    """Sessions near one, by weighted reasons; sessions without a reason are left out.
+
+    Fixed weights: same title 3.0; near in time 1.5 by closeness, 0.1 at least.
+    """
+    one = F.broadcast(sessions.where(F.col("session_id") == ref).select(F.col("title").alias("_title"), F.col("sort_key").alias("_at")))
+    apart = F.abs(F.unix_micros(F.col("sort_key").cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))) / 3_600_000_000
+    title = F.when(F.col("title") == F.col("_title"), 3.0).otherwise(0.0)
+    close = F.when(apart <= hours, 1.5 * F.greatest(1 - apart / hours, F.lit(0.1))).otherwise(0.0)
+    scored = sessions.where(F.col("session_id") != ref).join(one).withColumn("score", F.round(title + close, 6)).where("score > 0")
+    return scored.orderBy(F.desc("score"), F.desc("sort_key"), "session_id").limit(k).select("session_id", "score")
+
+
+def metadata_similarity(sessions: DataFrame, ref, k: int) -> DataFrame:
+    """R24, fixed weights: 3 same shape, 1 same origin, 2 within 3 days or 1 within 14."""
+    one = F.broadcast(sessions.where(F.col("session_id") == ref).select(F.col("state").alias("_shape"), F.col("origin").alias("_origin"), F.col("sort_key").alias("_at")))
+    days = F.abs(F.date_diff("sort_key", "_at"))
+    score = F.when(F.col("state") == F.col("_shape"), 3).otherwise(0) + F.when(F.col("origin") == F.col("_origin"), 1).otherwise(0) + F.when(days <= 3, 2).when(days <= 14, 1).otherwise(0)
+    return sessions.where(F.col("session_id") != ref).join(one).withColumn("score", score.cast("long")).where("score > 0").orderBy(F.desc("score"), "session_id").limit(k).select("session_id", "score")

@@ -83,3 +83,51 @@ def trailing_mean(daily: DataFrame, key: str, day: str, value: str, days: int) -
     """W15."""
     w = Window.partitionBy(key).orderBy(day).rowsBetween(1 - days, 0)
     return daily.withColumn("trailing_mean", F.round(F.avg(value).over(w), 4))
+
+
+def islands(df: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
+    """Adjacent rows of one label as one row, numbered from 0 in a key's order."""
+    w = Window.partitionBy(key).orderBy(*order)
+    changed = df.withColumn("_new", (~F.lag(label).over(w).eqNullSafe(F.col(label)) & F.lag(F.lit(1)).over(w).isNotNull()).cast("int"))
+    runs = changed.withColumn("run", F.sum("_new").over(w))
+    return runs.groupBy(key, "run", label).agg(F.count("*").alias("n"), F.min(order[0]).alias("started"), F.max(order[0]).alias("ended"))
+
+
+def signature_streaks(df: DataFrame, key: str, order: list[str], failed: Column, succeeded: Column, signature: str) -> DataFrame:
+    """Longest run of failures of one signature; a success or another signature ends it, other rows don't count."""
+    w = Window.partitionBy(key).orderBy(*order)
+    told = df.where(failed | succeeded).withColumn("_s", F.when(failed, F.col(signature)))
+    runs = told.withColumn("_new", (~F.lag("_s").over(w).eqNullSafe(F.col("_s"))).cast("int")).withColumn("_run", F.sum("_new").over(w)).where("_s is not null")
+    return runs.groupBy(key, "_run").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("longest"))
+
+
+def transitions(df: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
+    """How often one label follows another within a key."""
+    after = F.lead(label).over(Window.partitionBy(key).orderBy(*order))
+    return df.select(F.col(label).alias("source"), after.alias("target")).where("target is not null").groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
+def next_where(df: DataFrame, key: str, order: list[str], wanted: Column, value: str, out: str) -> DataFrame:
+    """For each row, the value of the next row of its key that meets a condition."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    return df.withColumn(out, F.first(F.when(wanted, F.struct(value)), ignorenulls=True).over(w)[value])
+
+
+def within_budget(df: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """Rows of a key in order while their sizes' sum stays in the budget; others carry a reason."""
+    total = F.sum(size).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("used", total).withColumn("decision", F.when(F.col("used") <= budget, "included").otherwise("over_budget"))
+
+
+def fire_within_budget(alerts: DataFrame, window: str, magnitude: str, item: str, floor: float, budget: int) -> DataFrame:
+    """The largest deviations of each window fire while the budget lasts; those under the floor never do."""
+    rank = F.row_number().over(Window.partitionBy(window, F.col(magnitude) >= floor).orderBy(F.desc(magnitude), item))
+    return alerts.withColumn("decision", F.when(F.col(magnitude) < floor, "below_floor").when(rank <= budget, "fired").otherwise("over_budget"))
+
+
+def outlook(daily: DataFrame, key: str, day: str, value: str, cycle_days: int) -> DataFrame:
+    """Spent so far, projected to a cycle's end linearly and at the mean of the last seven days."""
+    recent = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(day)))
+    per = daily.withColumn("_r", recent).groupBy(key).agg(F.count("*").alias("days"), F.sum(value).alias("spent"), F.avg(F.when(F.col("_r") <= 7, F.col(value))).alias("_recent"))
+    left = F.greatest(F.lit(cycle_days) - F.col("days"), F.lit(0))
+    return per.select(key, "days", F.round("spent", 3).alias("spent"), F.round(F.col("spent") / F.col("days") * cycle_days, 3).alias("linear"), F.round(F.col("spent") + F.col("_recent") * left, 3).alias("trailing"))

@@ -1 +1,6 @@
+"""Registered queries over the driver's tables."""
 
+from threadloom.plans import insights, queries, retrieval, structure  # noqa: F401
+from threadloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import correlation_label, week_key
 from threadloom.operators import aggregates, filters, graph, search, windows
+from threadloom.plans.registry import query
 from threadloom.tables import actions, messages, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 WORDS = "CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS BIGINT)"
 
 

@@ -24,3 +24,9 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each order: origin, state, time and cost."""
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("origin"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").alias("sort_key"), F.col("o_custkey").alias("project"), F.col("o_totalprice").alias("cost"))
