@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
-from threadloom.operators import graph, windows
+from threadloom.operators import aggregates, filters, graph, results, search, structure, windows
 from threadloom.sources import records
 from threadloom.streaming import incremental
 
@@ -53,3 +53,81 @@ def test_stream_equals_batch(spark, tmp_path):
     q = incremental.tumbling(stream).writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(str, spark.table("tumbling").collect())) == sorted(map(str, incremental.tumbling(events).collect()))
+
+
+def test_rate_limit_keeps_the_first(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", t), ("a", t + dt.timedelta(seconds=5)), ("b", t)]
+    spark.createDataFrame(rows, "k string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = incremental.first_in(stream, ["k"]).writeStream.format("memory").queryName("limited").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.k for r in spark.table("limited").collect()) == ["a", "b"]
+
+
+def test_composition_over_chain_cycle_and_missing_parent(spark):
+    m = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 2), (2, 3), (3, 4), (5, 0), (6, 0), (7, 0)], "session_id long, position long")
+    edges = spark.createDataFrame([(1, None, None), (2, 1, 1), (3, 2, 3), (5, 6, 0), (6, 5, 0), (7, 99, 0)], "node long, parent long, branch long")
+    got = {}
+    for r in graph.composed(m, edges, 6).orderBy("session_id", "position", "from_session").collect():
+        got.setdefault(r.session_id, []).append((r.from_session, r.position))
+    assert got == {1: [(1, 0), (1, 1), (1, 2)], 2: [(1, 0), (1, 1), (2, 2), (2, 3)], 3: [(1, 0), (1, 1), (2, 2), (2, 3), (3, 4)], 5: [(5, 0), (6, 0)], 6: [(5, 0), (6, 0)], 7: [(7, 0)]}
+
+
+def test_components_of_chain_self_loop_and_empty(spark):
+    links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 9), (7, 7)], "a long, b long")
+    assert {r.node: r.component for r in graph.components(links).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8, 7: 7}
+    assert graph.components(links.limit(0)).count() == 0
+
+
+def test_cycles_and_strengths(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "d"), ("d", "d")], "a string, b string")
+    assert sorted(r.members for r in graph.simple_cycles(links).collect()) == [["a", "b"], ["a", "b", "c"]]
+    games = spark.createDataFrame([("x", "y")] * 3 + [("y", "x")], "winner string, loser string")
+    got = graph.bradley_terry(games)
+    assert abs((got["x"] - got["y"]) - 1.0986122887) < 1e-6  # three wins to one: ln 3
+    assert graph.bradley_terry(games.limit(0)) == {}
+
+
+def test_islands_streaks_and_most_common_with_nulls(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (1, 5, "a"), (2, 1, None)], "k int, at int, s string")
+    assert [tuple(r)[:4] for r in windows.islands(df, "k", ["at"], "s").orderBy("k", "run").collect()] == [(1, 0, "a", 2), (1, 1, None, 2), (1, 2, "a", 1), (2, 0, None, 1)]
+    runs = spark.createDataFrame([(1, 1, "f", "x"), (1, 2, "-", "x"), (1, 3, "f", "x"), (1, 4, "f", "y"), (1, 5, "ok", "y"), (1, 6, "f", "y")], "k int, at int, o string, s string")
+    assert [tuple(r) for r in windows.signature_streaks(runs, "k", ["at"], F.col("o") == "f", F.col("o") == "ok", "s").collect()] == [(1, 2)]
+    assert [tuple(r) for r in aggregates.most_common(df, "k", "s").collect()] == [(1, "a", 3)]
+
+
+def test_digest_ignores_order_and_counts_repeats(spark):
+    def digest(rows):
+        return aggregates.multiset_digest(spark.createDataFrame([(1, x) for x in rows], "k int, m string"), "k", F.col("m")).first()
+
+    assert digest(["a", "b", None]) == digest(["b", "a"]) != digest(["a", "b", "b"])
+
+
+def test_bands_reach_over_their_edges(spark):
+    t = dt.datetime(2024, 1, 1, 0, 59)
+    a = spark.createDataFrame([(1, t), (2, t), (1, None)], "k int, ts timestamp")
+    b = spark.createDataFrame([(1, t + dt.timedelta(hours=1)), (1, t - dt.timedelta(hours=1)), (1, t + dt.timedelta(hours=1, seconds=1))], "k int, ts timestamp")
+    assert filters.within_band(a, b, "k", "ts", 3600).count() == 2
+
+
+def test_results_changes_alignment_and_corrections(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string")
+    assert {(r.k, r.change) for r in results.changes(results.snapshot(a, "k", str(tmp_path / "set")), b, "k").collect()} == {(1, "removed"), (3, "added")}
+    assert {(r.k, r.state) for r in results.aligned(a, b, "k", ["v"]).collect()} == {(1, "left_only"), (2, "changed"), (3, "right_only")}
+    fixes = spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "k int, v string, at int")
+    assert {(r.k, r.v) for r in results.corrected(a, fixes, "k", "v", "at").collect()} == {(1, "new"), (2, "y")}
+
+
+def test_json_paths_shapes_and_drift(spark):
+    rows = [(1, '{"a": 1, "b": {"c": "x"}}'), (2, '{"a": null}'), (3, "broken {"), (4, None)]
+    flat = structure.flattened(spark.createDataFrame(rows, "id int, j string"), "id", "j", depth=2).where("path not like '%[]'")
+    assert sorted({r.path for r in flat.collect()}) == ["$.a", "$.b", "$.b.c"]
+    after = flat.where("path <> '$.b.c'").withColumn("type", F.lit("STRING"))
+    assert {r.path: r.change for r in structure.drift(flat, after).collect()} == {"$.a": "retyped", "$.b": "retyped", "$.b.c": "removed"}
+    assert structure.shapes(flat, "id").count() == 2
+
+
+def test_phrases(spark):
+    df = spark.createDataFrame([("All  rights, reserved",), ("all rights reservedly",), ("overall rights reserved",), (None,)], "t string")
+    assert [r[0] for r in df.select(search.phrase(F.col("t"), ["all", "rights", "reserved"])).collect()] == [True, False, False, None]

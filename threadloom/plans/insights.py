@@ -49,9 +49,9 @@ def referenced_terms(spark, d):
     return filters.having_all(actions(spark, d), "session_id", [F.contains(low, F.lit('"k": 1')), F.contains(low, F.lit('"k": 2'))])
 
 
-@query("SELECT page_id FROM pages WHERE url = 'https://m.tionsh.example.net/en' OR starts_with(url, 'https://m.tionsh.example.net/en/')")
+@query("SELECT page_id FROM (SELECT page_id, regexp_replace(url, '^https?://[^/]+', '') p FROM pages) WHERE p = '/en' OR starts_with(p, '/en/')")
 def path_prefix(spark, d):
-    return read(spark, d, "pages").where(scalars.under_path(F.col("url"), "https://m.tionsh.example.net/en")).select("page_id")
+    return read(spark, d, "pages").where(scalars.under_path(F.regexp_replace("url", "^https?://[^/]+", ""), "/en")).select("page_id")
 
 
 @query("SELECT a.user_id AS session_id, a.event_id, b.event_id AS other_event_id FROM events a JOIN events b ON a.user_id=b.user_id AND abs(epoch_us(a.ts)-epoch_us(b.ts)) <= 3600000000 WHERE a.event_type='error' AND b.event_type='purchase'")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import graph, structure, windows
 from threadloom.plans.registry import query
+from threadloom.streaming import incremental
 from threadloom.tables import actions, messages, read, sessions
 
 
@@ -82,3 +83,13 @@ def json_path_stats(spark, d):
 @query("SELECT event_type AS kind, CASE WHEN value > 0 THEN CAST(floor(ln(value)/ln(1.1) + 1e-9) AS BIGINT) END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def log_buckets(spark, d):
     return structure.log_buckets(actions(spark, d), "kind", "value")
+
+
+_BASE = """b AS (SELECT e.event_type AS kind, w.day + 7 AS ended, count(*) n, round(avg(value), 6) m, round(stddev_pop(value), 6) s FROM events e JOIN (SELECT DISTINCT unnest(generate_series(CAST(ts AS DATE) - INTERVAL 6 DAY, CAST(ts AS DATE), INTERVAL 1 DAY))::DATE AS day FROM events) w
+ON CAST(e.ts AS DATE) BETWEEN w.day AND w.day + 6 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BASE} SELECT event_id FROM events JOIN b ON kind = event_type AND ended = CAST(ts AS DATE) WHERE n >= 10 AND value > m + 2.0 * s")
+def lag_anomalies(spark, d):
+    a = actions(spark, d)
+    return incremental.anomalies(a, incremental.lag_baseline(a, "kind", "value"), "kind", "value", 2.0).select("event_id")

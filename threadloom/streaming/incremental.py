@@ -28,3 +28,24 @@ def refresh_touched(touched: DataFrame, key: str, facts: Callable[[], DataFrame]
     """T5/T6, for foreachBatch: derives anew the groups that a batch touched, from all their facts."""
     keys = touched.select(key).distinct()
     write(derive(facts().join(keys, key, "left_semi")))
+
+
+def first_in(events: DataFrame, keys: list[str], every: str = "60 seconds") -> DataFrame:
+    """T4: of a key's events that come within ``every`` of each other, the first only; state is bounded by the watermark."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", every).dropDuplicatesWithinWatermark(keys)
+
+
+def lag_baseline(samples: DataFrame, key: str, value: str, over: str = "7 days", every: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Count, mean and deviation of each key's samples in sliding windows."""
+    samples = samples.withColumn("ts", F.col("ts").cast("timestamp"))
+    if samples.isStreaming:
+        samples = samples.withWatermark("ts", late)
+    v = F.col(value)
+    return samples.groupBy(F.window("ts", over, every).alias("w"), key).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("deviation")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "mean", "deviation")
+
+
+def anomalies(samples: DataFrame, baseline: DataFrame, key: str, value: str, deviations: float = 3.0, least: int = 10) -> DataFrame:
+    """Samples above the mean of the window that ended last before them by so many deviations."""
+    ends = baseline.where(F.col("n") >= least).select(key, "ended", "mean", "deviation")
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))  # windows end at midnight
+    return samples.join(ends, (samples[key] == ends[key]) & (day == ends["ended"])).where(F.col(value) > F.col("mean") + deviations * F.col("deviation")).select(samples["*"], "mean", "deviation")
