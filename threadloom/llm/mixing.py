@@ -30,9 +30,10 @@ def words(text: Column) -> Column:
 
 
 def _chance(seed: Column | int) -> Column:
-    """A number in [0, 1) from the document's identity and the seed."""
+    """A number in [0, 1) from the document's identity and the seed: 52 bits of a hash that SQL has too."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    return F.pmod(F.xxhash64("doc_id", "_text_hash", seed), F.lit(UNIT)) / F.lit(float(UNIT))
+    digits = F.substring(F.md5(F.concat_ws("-", seed.cast("string"), "_key")), 1, 13)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(UNIT))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -58,12 +59,12 @@ def rated(docs: DataFrame, **how) -> DataFrame:
     """All documents with size, source_size, target, rate and copies."""
     work = Scratch(docs.sparkSession)
     docs = docs.drop("size", "source_size", "target", "rate", "copies")
-    sized = docs.withColumn("size", words(F.col("text"))).withColumn("_text_hash", F.xxhash64("text"))
-    narrow = work.save(sized.select("doc_id", "source", "size", "_text_hash"), "sizes")
+    sized = docs.withColumn("size", words(F.col("text"))).withColumn("_key", F.concat_ws("-", F.col("doc_id").cast("string"), F.md5("text")))
+    narrow = work.save(sized.select("source", "size", "_key"), "sizes")
     per = work.save(targets(narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), **how), "targets")
     per = small(per)
     fraction = F.col("rate") - F.floor("rate")
-    draws = narrow.join(per, narrow["source"].eqNullSafe(per["source"])).select(per["source"], "size", "rate", "target", "doc_id", "_text_hash")
+    draws = narrow.join(per, narrow["source"].eqNullSafe(per["source"])).select(per["source"], "size", "rate", "target", "_key")
     totals = draws.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * (F.floor("rate") + F.when(_chance(k) < fraction, 1).otherwise(0))).alias(f"_{k}") for k in range(SEEDS)])
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("far"), F.lit(k).alias("seed")) for k in range(SEEDS)]))["seed"]
     seeds = small(work.save(totals.select(F.col("source").alias("_source"), nearest.alias("_seed")), "seeds"))
@@ -71,7 +72,7 @@ def rated(docs: DataFrame, **how) -> DataFrame:
     plan = small(work.save(plan, "plan"))
     out = sized.join(plan, sized["source"].eqNullSafe(plan["_source"]))
     copies = F.floor("rate") + F.when(_chance(F.col("_seed")) < fraction, 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).drop("_source", "_seed", "_text_hash")
+    return out.withColumn("copies", copies.cast("long")).drop("_source", "_seed", "_key")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.llm import oracles
 from threadloom.llm.ann import op10_kmeans_tree
 from threadloom.llm.html_blocks import op4_main_text
 from threadloom.llm.licenses import op5_license_index
@@ -24,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Results that SQL can express in full. Permutations, tokenizers, trained models and media streams are
 #: tested against brute force, round trips or held-out accuracy in tests/llm instead.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_bottom_k_dedup": oracles.NEAR_DUPLICATES, "op7_source_mix": oracles.SOURCE_MIX}
