@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from threadloom.functions import scalars
-from threadloom.operators import aggregates, filters, graph, results, search, structure, windows
+from threadloom.functions import scalars, tools
+from threadloom.operators import aggregates, filters, graph, outcomes, results, search, structure, units, windows
 from threadloom.sources import records
 from threadloom.streaming import incremental
 
@@ -131,3 +131,30 @@ def test_json_paths_shapes_and_drift(spark):
 def test_phrases(spark):
     df = spark.createDataFrame([("All  rights, reserved",), ("all rights reservedly",), ("overall rights reserved",), (None,)], "t string")
     assert [r[0] for r in df.select(search.phrase(F.col("t"), ["all", "rights", "reserved"])).collect()] == [True, False, False, None]
+
+
+def test_typed_values(spark):
+    df = spark.createDataFrame([("number", '{"v": 4}'), ("text", '{"v": "4"}'), ("true", '{"v": true}'), ("one", '{"v": 1}'), ("null", '{"v": null}'), ("word", '{"v": "null"}'), ("none", "{}"), ("bad", "{"), ("gone", None)], "name string, j string")
+    holds = lambda v: sorted(r.name for r in df.where(units.json_value_is(F.col("j"), "$.v", v)).collect())
+    assert [holds(v) for v in (4, "4", True, 1, None, "null")] == [["number"], ["text"], ["true"], ["one"], ["null"], ["word"]]
+
+
+def test_tool_category(spark):
+    cases = {("Read", None): "file_read", ("Task", None): "subagent", ("TaskList", None): "agent", ("Bash", " git log"): "git", ("Bash", "gitk"): "shell", ("KillShell", "git x"): "shell", ("x__search_code", None): "search", (None, None): "other", ("", "git "): "other"}
+    df = spark.createDataFrame([(*k, v) for k, v in cases.items()], "name string, command string, want string")
+    assert df.where(~tools.tool_category(F.col("name"), F.col("command")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_call_times(spark):
+    rows = [("s", "a", 1, 0, "start"), ("s", "a", 2, 10, "start"), ("s", "a", 3, 14, "end"), ("s", "a", 4, 20, "end"), ("s", "b", 5, 30, "start"), ("s", None, 6, 31, "start"), ("s", "c", 7, 32, "end"), ("s", "d", 8, 1000, "start")]
+    df = spark.createDataFrame(rows, "k string, call string, i int, s long, e string").withColumn("ts", F.timestamp_seconds("s"))
+    calls = outcomes.call_times(df, "k", "call", ["i"], "ts", F.col("e") == "start", F.col("e") == "end")
+    assert [(r.i, r.ms) for r in calls.where("ms is not null").collect()] == [(3, 4000)]
+    ends = spark.createDataFrame([("s", 1_000_000_000)], "k string, end_us long")
+    assert outcomes.latency_profile(calls, ends, "k").first().asDict() == {"k": "s", "median_ms": 4000, "p90_ms": 4000, "max_ms": 4000, "stuck": 1}
+
+
+def test_cyclic_core(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (7, 8)], "a int, b int")
+    assert sorted(map(tuple, graph.cyclic_core(edges).collect())) == [(2, 3), (3, 2)]
+    assert graph.cyclic_core(edges.where("a <> 3")).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -157,3 +157,31 @@ def bradley_terry(games: DataFrame, rounds: int = 200, tolerance: float = 1e-9)
         if done:
             break
     return {i: math.log(x) for i, x in sorted(strength.items())}
+
+
+def edge_kind(branch: Column, missing: str = "unknown") -> Column:
+    """The branch's kind; a parent without a kind is not given a narrower one."""
+    return F.when(branch.isin("continuation", "sidechain", "fork", "subagent"), branch).otherwise(missing)
+
+
+def topology(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (src, dst, branch) with kind and whether the parent is among nodes (node); run again once late parents have come."""
+    here = nodes.select(F.col("node").alias("dst")).distinct().withColumn("_here", F.lit(True))
+    return links.join(here, "dst", "left").select("src", "dst", edge_kind(F.col("branch")).alias("kind"), F.when(F.col("_here"), "resolved").otherwise("unresolved").alias("state"))
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) left when those without a way in or out are peeled off; none are left if, and only if, there is no cycle.
+
+    Each round is written in the shared folder; there are as many rounds as the longest tail is long.
+    """
+    spark, root = edges.sparkSession, _shared(edges.sparkSession)
+    left, before, k = edges.select("a", "b").distinct(), -1, 0
+    while True:
+        left.write.parquet(f"{root}/core-{k}")
+        left = spark.read.schema(left.schema).parquet(f"{root}/core-{k}")
+        now = left.count()
+        if now in (0, before):
+            return left
+        starts, ends = left.select(F.col("a").alias("b")).distinct(), left.select(F.col("b").alias("a")).distinct()
+        left, before, k = left.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"), now, k + 1
