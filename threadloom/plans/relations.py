@@ -129,9 +129,9 @@ def bm25_of_kind(spark, d):
     return search.bm25(docs, "doc_id", "text", ["license", "version"]).join(of_kind, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("SELECT page_id FROM pages WHERE contains(lower(html), '/archive')")
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'icens')")
 def substring_search(spark, d):
-    return read(spark, d, "pages").where(F.contains(F.lower("html"), F.lit("/archive"))).select("page_id")
+    return read(spark, d, "documents").where(F.contains(F.lower("text"), F.lit("icens"))).select("doc_id")
 
 
 @query("""SELECT o.o_orderkey AS src, o.o_orderkey * 3 AS dst, CASE o.o_orderstatus WHEN 'F' THEN 'subagent' WHEN 'O' THEN 'fork' ELSE 'unknown' END AS kind, CASE WHEN p.o_orderkey IS NULL THEN 'unresolved' ELSE 'resolved' END AS state
