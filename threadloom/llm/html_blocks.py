@@ -2,8 +2,8 @@
 
 The markup is cut into flat text blocks at block-level tags. A block's features are its word
 count and link density, those of the block before and after, and the kinds of element and
-container it stands in. A decision tree (grown here, by Gini impurity, from the small labelled table below)
-keeps or drops it. Kept blocks are joined in page order.
+container it stands in. A decision tree (grown here, by Gini impurity, from the labelled table below)
+keeps or drops it; the container is one feature among these. Kept blocks are joined in page order.
 
 Cases: null or empty html, and pages without kept blocks, give the empty text; unclosed, stray and
 mixed-up tags are tolerated; a page cut off inside an element is read to its end; ties between
@@ -17,6 +17,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -35,12 +36,14 @@ INSIDE = set("article main".split())
 #: Words in class, id or role that tell what a container is for.
 OUTSIDE_WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice overlay pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 INSIDE_WORDS = set("article body content entry main post story text".split())
+#: A name that begins so tells of the layout and not of the container.
+LAYOUT_WORDS = set("has no with without".split())
 
 _HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({SKIP})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-OUT, NEUTRAL, IN = 0, 1, 2
+OUT, DOUBT, NEUTRAL, IN = 0, 1, 2, 3
 PARA, HEADING, ITEM, OTHER = 0, 1, 2, 3
 
 
@@ -54,43 +57,62 @@ class Block(NamedTuple):
 
 FEATURES = ("container", "words", "links", "kind", "words_before", "links_before", "words_after", "links_after")
 
-# The labelled table: container, words, links, kind, words and links before, words and links after, keep.
+# What stands before or after a block: its words and link density.
+TEXT, BIT, LINKS, EDGE = [(20, 0.0), (60, 0.0)], [(6, 0.0)], [(6, 1.0)], [(0, 0.0)]
+ANY = TEXT + BIT + LINKS + EDGE
+KINDS, SHORT, LONG, FEW, MANY = [PARA, HEADING, ITEM, OTHER], [2, 14], [26, 80], [0.0, 0.3], [0.6, 1.0]
+
+# The labelled table, a line for each family of blocks: container, words, links, kinds, before, after, keep.
 LABELLED = [
-    (IN, 1, 0.0, PARA, 40, 0.0, 35, 0.0, 1),
-    (IN, 2, 0.0, PARA, 12, 0.0, 60, 0.0, 1),
-    (IN, 8, 0.0, HEADING, 6, 0.0, 20, 0.0, 1),
-    (IN, 9, 0.0, HEADING, 6, 1.0, 30, 0.0, 1),
-    (IN, 25, 0.0, PARA, 9, 0.0, 40, 0.0, 1),
-    (IN, 120, 0.05, PARA, 30, 0.0, 60, 0.0, 1),
-    (IN, 12, 0.3, ITEM, 12, 0.2, 10, 0.3, 1),
-    (IN, 6, 1.0, PARA, 50, 0.0, 40, 0.0, 1),
-    (IN, 4, 0.0, OTHER, 30, 0.0, 30, 0.0, 1),
-    (IN, 3, 0.0, PARA, 5, 0.0, 8, 1.0, 1),
-    (IN, 300, 0.0, PARA, 0, 0.0, 12, 0.0, 1),
-    (OUT, 1, 1.0, ITEM, 1, 1.0, 1, 1.0, 0),
-    (OUT, 2, 1.0, ITEM, 0, 0.0, 2, 1.0, 0),
-    (OUT, 1, 0.0, ITEM, 1, 0.0, 9, 0.0, 0),
-    (OUT, 12, 0.0, OTHER, 1, 1.0, 9, 0.0, 0),
-    (OUT, 30, 0.0, PARA, 8, 0.0, 30, 0.0, 0),
-    (OUT, 45, 0.1, PARA, 60, 0.0, 40, 0.0, 0),
-    (OUT, 9, 0.2, OTHER, 80, 0.0, 0, 0.0, 0),
-    (OUT, 90, 0.0, OTHER, 80, 0.0, 0, 0.0, 0),
-    (OUT, 5, 0.0, HEADING, 3, 0.0, 20, 0.0, 0),
-    (NEUTRAL, 40, 0.0, PARA, 10, 0.0, 50, 0.0, 1),
-    (NEUTRAL, 80, 0.1, PARA, 40, 0.0, 6, 1.0, 1),
-    (NEUTRAL, 25, 0.0, OTHER, 1, 1.0, 30, 0.0, 1),
-    (NEUTRAL, 6, 0.0, HEADING, 1, 1.0, 40, 0.0, 1),
-    (NEUTRAL, 8, 0.0, PARA, 50, 0.0, 60, 0.0, 1),
-    (NEUTRAL, 3, 0.0, PARA, 30, 0.0, 45, 0.0, 1),
-    (NEUTRAL, 14, 0.0, PARA, 0, 0.0, 0, 0.0, 1),
-    (NEUTRAL, 2, 0.0, PARA, 0, 0.0, 0, 0.0, 1),
-    (NEUTRAL, 3, 1.0, OTHER, 2, 1.0, 3, 1.0, 0),
-    (NEUTRAL, 10, 0.9, ITEM, 8, 0.8, 9, 1.0, 0),
-    (NEUTRAL, 30, 0.8, OTHER, 40, 0.0, 20, 0.7, 0),
-    (NEUTRAL, 5, 0.6, PARA, 3, 1.0, 4, 0.5, 0),
+    # Articles: all is text, but not the lists of links that a wide wrapper holds as well.
+    (IN, SHORT + LONG, FEW, KINDS, ANY, ANY, 1),
+    (IN, SHORT, MANY, [PARA, HEADING], ANY, ANY, 1),
+    (IN, SHORT, MANY, [ITEM, OTHER], LINKS, ANY, 0),
+    (IN, SHORT, MANY, [ITEM, OTHER], TEXT + BIT + EDGE, LINKS, 0),
+    (IN, SHORT, MANY, [ITEM, OTHER], TEXT + BIT + EDGE, TEXT + BIT + EDGE, 1),
+    # Parts named as outside: long paragraphs among long ones are text all the same.
+    (OUT, SHORT + LONG, MANY, KINDS, ANY, ANY, 0),
+    (OUT, SHORT + LONG, FEW, [HEADING, ITEM, OTHER], ANY, ANY, 0),
+    (OUT, [2, 14, 26, 45], FEW, [PARA], ANY, ANY, 0),
+    (OUT, [80], FEW, [PARA], TEXT[1:], TEXT[1:], 1),
+    (OUT, [80], FEW, [PARA], TEXT[:1] + BIT + LINKS + EDGE, ANY, 0),
+    (OUT, [80], FEW, [PARA], TEXT[1:], TEXT[:1] + BIT + LINKS + EDGE, 0),
+    # A listed word within a longer name: paragraphs and their headings stay, small parts go.
+    (DOUBT, SHORT + LONG, MANY, KINDS, ANY, ANY, 0),
+    (DOUBT, LONG, FEW, [PARA, ITEM], ANY, ANY, 1),
+    (DOUBT, SHORT, FEW, [PARA], TEXT, TEXT, 1),
+    (DOUBT, SHORT, FEW, [PARA], BIT + LINKS + EDGE, ANY, 0),
+    (DOUBT, SHORT, FEW, [PARA], TEXT, BIT + LINKS + EDGE, 0),
+    (DOUBT, SHORT, FEW, [HEADING], ANY, TEXT, 1),
+    (DOUBT, SHORT, FEW, [HEADING], ANY, BIT + LINKS + EDGE, 0),
+    (DOUBT, [*SHORT, 26], FEW, [OTHER], ANY, ANY, 0),
+    (DOUBT, [80], FEW, [OTHER], ANY, ANY, 1),
+    (DOUBT, SHORT, FEW, [ITEM], ANY, ANY, 0),
+    # No container says anything: length and what stands beside it decide.
+    (NEUTRAL, SHORT + LONG, MANY, KINDS, ANY, ANY, 0),
+    (NEUTRAL, LONG, FEW, KINDS, ANY, ANY, 1),
+    (NEUTRAL, SHORT, FEW, [HEADING, PARA], ANY, TEXT + BIT, 1),
+    (NEUTRAL, SHORT, FEW, [HEADING], ANY, LINKS, 0),
+    (NEUTRAL, SHORT, FEW, [HEADING], TEXT + BIT + LINKS, EDGE, 0),
+    (NEUTRAL, SHORT, FEW, [PARA], TEXT + BIT + EDGE, LINKS + EDGE, 1),
+    (NEUTRAL, SHORT, FEW, [PARA], LINKS, LINKS + EDGE, 0),
+    (NEUTRAL, SHORT, FEW, [HEADING, OTHER], EDGE, EDGE, 1),
+    (NEUTRAL, SHORT, FEW, [OTHER], ANY, TEXT, 1),
+    (NEUTRAL, SHORT, FEW, [OTHER], TEXT + BIT + EDGE, BIT, 1),
+    (NEUTRAL, SHORT, FEW, [OTHER], LINKS, BIT, 0),
+    (NEUTRAL, SHORT, FEW, [OTHER], ANY, LINKS, 0),
+    (NEUTRAL, SHORT, FEW, [OTHER], TEXT + BIT + LINKS, EDGE, 0),
+    (NEUTRAL, SHORT, FEW, [ITEM], TEXT + BIT + EDGE, TEXT + BIT + EDGE, 1),
+    (NEUTRAL, SHORT, FEW, [ITEM], LINKS, ANY, 0),
+    (NEUTRAL, SHORT, FEW, [ITEM], TEXT + BIT + EDGE, LINKS, 0),
 ]
 
 
+def labelled() -> list[tuple]:
+    """The table's blocks: features in FEATURES' order and the label."""
+    return [(container, words, links, kind, *before, *after, keep) for container, *lists, keep in LABELLED for words, links, kind, before, after in product(*lists)]
+
+
 class Node(NamedTuple):
     feature: int
     at_most: float
@@ -120,7 +142,7 @@ def grow(rows: list[tuple], depth: int = 6) -> Node | bool:
 
 @lru_cache(maxsize=1)
 def tree() -> Node | bool:
-    return grow(LABELLED)
+    return grow(labelled(), 16)
 
 
 def decide(node: Node | bool, row: tuple) -> bool:
@@ -130,13 +152,20 @@ def decide(node: Node | bool, row: tuple) -> bool:
 
 
 def _container(name: str, attributes: str, within: int) -> int:
-    """OUT holds for all inside; a header inside an article is part of it."""
+    """OUT holds for all inside; DOUBT, a listed word in a longer name, until an article; a header inside an article is part of it."""
     if within == OUT or name in OUTSIDE or name == "header" and within != IN:
         return OUT
-    found = {w for m in _NAMED.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attributes else set()
-    if found & OUTSIDE_WORDS - ({"header", "tags", "text"} if within == IN or name in INSIDE else set()) and name not in ("html", "body", "article", "main"):
-        return OUT
-    return IN if name in INSIDE or found & INSIDE_WORDS else within
+    names = [_WORD.findall(x) for m in _NAMED.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
+    names = [x for x in names if x and x[0] not in LAYOUT_WORDS]
+    if names and name not in ("html", "body", "article", "main"):
+        listed = OUTSIDE_WORDS - {"header", "tags", "text"} if within == IN else OUTSIDE_WORDS
+        if any(listed.issuperset(x) for x in names):
+            return OUT
+        if any(not listed.isdisjoint(x) for x in names):
+            return DOUBT
+    if name in INSIDE:
+        return IN
+    return IN if within != DOUBT and any(not INSIDE_WORDS.isdisjoint(x) for x in names) else within
 
 
 def blocks(page: str) -> list[Block]:
@@ -178,6 +207,7 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
             elif m[3] or name in OUTSIDE:
                 inner = _container(name, m[3], container)
+                inner = container if inner == DOUBT else inner
                 if inner == OUT != container:
                     flush()
                 if not m[3].endswith("/"):
@@ -206,9 +236,8 @@ def rows(found: list[Block]) -> list[tuple]:
     return [(b.container, b.words, b.links, b.kind, p.words, p.links, n.words, n.links) for p, b, n in zip([none, *found], found, [*found[1:], none], strict=False)]
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    keep = tree()
+def main_text(page: str | None, keep: Node | bool | None = None) -> str:
+    found, keep = blocks(page or ""), tree() if keep is None else keep
     return " ".join(b.text for b, r in zip(found, rows(found), strict=True) if decide(keep, r))
 
 
@@ -216,9 +245,11 @@ RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.s
 
 
 def extract(pages: DataFrame) -> DataFrame:
+    keep = tree()  # grown once, at the driver
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            got = [main_text(x) for x in texts(batch, "html")]
+            got = [main_text(x, keep) for x in texts(batch, "html")]
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], schema=RESULT)
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, spark_schema(RESULT))
