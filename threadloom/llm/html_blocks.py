@@ -30,7 +30,8 @@ from threadloom.llm.work import column, slices, table, texts
 # Element names of HTML by their part in a page.
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = "head|script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|datalist|title"
+#: Elements whose content is no text: up to their end tags by the markup's reading, or by nesting.
+RAW, SKIP = "script|style|title|iframe|textarea", "noscript|template|svg|math|object|canvas|audio|video|select|datalist"
 OUTSIDE = set("nav footer aside button form menu dialog".split())
 INSIDE = set("article main".split())
 #: Words in class, id or role that tell what a container is for.
@@ -39,7 +40,11 @@ INSIDE_WORDS = set("article body content entry main post story text".split())
 #: A name that begins so tells of the layout and not of the container.
 LAYOUT_WORDS = set("has no with without".split())
 
-_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({SKIP})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:({RAW})|(/?)({SKIP}))(?=[\s/>])({_ATTRIBUTES})>|<[!?][^>]*(?:>|\Z)", re.I | re.S)
+_SELF_CLOSED = re.compile(r"(?:\A|[\s\"']|(?:\A|\s)[^\s=\"']+)/\Z")  # else the slash ends a value without quotes
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW.split("|")}
+_BODY = re.compile(r"<body\b", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -157,7 +162,7 @@ def _container(name: str, attributes: str, within: int) -> int:
         return OUT
     names = [_WORD.findall(x) for m in _NAMED.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
     names = [x for x in names if x and x[0] not in LAYOUT_WORDS]
-    if names and name not in ("html", "body", "article", "main"):
+    if names and name not in ("html", "head", "body", "article", "main"):
         listed = OUTSIDE_WORDS - {"header", "tags", "text"} if within == IN else OUTSIDE_WORDS
         if any(listed.issuperset(x) for x in names):
             return OUT
@@ -168,9 +173,49 @@ def _container(name: str, attributes: str, within: int) -> int:
     return IN if within != DOUBT and any(not INSIDE_WORDS.isdisjoint(x) for x in names) else within
 
 
+def visible(page: str) -> str:
+    """The page without comments, declarations and elements whose content is no text.
+
+    Of a self-closed element, or one without an end tag, the tag alone goes; but an open script or
+    style reaches to the body or the end of the page, an open title to the next tag.
+    """
+    gone: list[tuple[int, int]] = []
+    open_: dict[str, list[tuple[int, int]]] = {}
+    endless: set[str] = set()
+    at = 0
+    while m := _HIDDEN.search(page, at):
+        at = m.end()
+        gone.append(m.span())
+        raw, name = (m[1] or "").lower(), (m[3] or "").lower()
+        if not (raw or name) or _SELF_CLOSED.search(m[4]):
+            continue
+        if name and not m[2]:
+            open_.setdefault(name, []).append(m.span())
+        elif name and open_.get(name):
+            gone.append((open_[name].pop()[0], at))
+        elif raw:
+            end = None if raw in endless else _RAW_END[raw].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(raw)
+                if raw in ("script", "style"):
+                    at = body.start() if (body := _BODY.search(page, at)) else len(page)
+                elif raw == "title":
+                    at = k if (k := page.find("<", at)) >= 0 else len(page)
+            gone.append((m.start(), at))
+    out, done = [], 0
+    for a, b in sorted(gone):
+        if b > done:
+            out.append(page[done:a])  # empty if a lies before
+            done = b
+    out.append(page[done:])
+    return "".join(out)
+
+
 def blocks(page: str) -> list[Block]:
     """Flat text blocks in page order; blocks without words are left out."""
-    page = _HIDDEN.sub("", page)
+    page = visible(page)
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
