@@ -9,47 +9,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def roots(edges: DataFrame, depth: int = 64) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
     """L1: (node, root, depth) for every node of (node, parent), parent null at a root.
 
-    Each round follows all open nodes one edge up; a node whose walk returns to itself or meets an
-    unknown parent stops where it is. Rounds double the distance covered.
+    Each round follows all walks on and doubles the distance covered, until none moves. A walk that
+    meets an unknown parent ends there; one that runs into a cycle has no root (null, as its depth).
     """
-    at = edges.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    step = 1
-    while step < depth:
+    root = _shared(edges.sparkSession)
+    at = _keep(edges.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.lit(True).alias("moved")), f"{root}/0")
+    nodes, reach, k = at.count(), 1, 0
+    while True:
         far = at.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        at = at.join(far, "up", "left").select("node", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        step *= 2
-    return at.withColumnRenamed("up", "root")
+        k += 1
+        at = _keep(at.join(far, "up", "left").select("node", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), f"{root}/{k}")
+        if reach > nodes or not at.where("moved").limit(1).count():  # a walk of more steps than nodes is in a cycle
+            return at.select("node", F.when(~F.col("moved"), F.col("up")).alias("root"), F.when(~F.col("moved"), F.col("depth")).alias("depth"))
+        reach *= 2
 
 
-def threads(edges: DataFrame, depth: int = 64) -> DataFrame:
+def threads(edges: DataFrame) -> DataFrame:
     """L4: size and depth of each root's family."""
-    return roots(edges, depth).groupBy("root").agg(F.count("*").alias("members"), F.max("depth").alias("depth"))
+    return roots(edges).where("root is not null").groupBy("root").agg(F.count("*").alias("members"), F.max("depth").alias("depth"))
 
 
-def descendants(edges: DataFrame, root, depth: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, root) -> DataFrame:
     """L2: the nodes below one root, with their depth."""
-    return roots(edges, depth).where((F.col("root") == root) & (F.col("node") != root)).select("node", "depth")
+    return roots(edges).where((F.col("root") == root) & (F.col("node") != root)).select("node", "depth")
 
 
-def ancestors(edges: DataFrame, depth: int = 16) -> DataFrame:
+def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Per node each ancestor, itself included, with the least branch position on the way up.
 
     edges: (node, parent, branch), branch being the parent's last position that the node shares.
-    A walk is at most ``depth`` steps.
+    A walk ends where it meets an ancestor again, and after ``depth`` steps if that is given. Each
+    round doubles the distance covered and is a written table.
     """
-    up = edges.where("parent is not null").select(F.col("node").alias("ancestor"), F.col("parent").alias("_parent"), F.col("branch").alias("_branch"))
-    step = edges.select("node", F.col("node").alias("ancestor"), F.lit(None).cast("long").alias("limit"), F.lit(0).alias("depth"))
-    out = step
-    for _ in range(depth):
-        step = step.join(up, "ancestor").where(F.col("_parent") != F.col("node")).select("node", F.col("_parent").alias("ancestor"), F.least("limit", "_branch").alias("limit"), (F.col("depth") + 1).alias("depth"))
-        out = out.unionByName(step)
-    return out.groupBy("node", "ancestor").agg(F.min_by("limit", "depth").alias("limit"), F.min("depth").alias("depth"))  # a cycle meets an ancestor again
+    root = _shared(edges.sparkSession)
+    leap = edges.where("parent is not null").select("node", F.col("parent").alias("to"), F.col("branch").alias("limit"))
+    out = _keep(edges.select("node", F.col("node").alias("ancestor"), F.lit(None).cast("long").alias("limit"), F.lit(0).alias("depth")).distinct(), f"{root}/0")
+    reach, before, k = 1, out.count(), 0
+    while depth is None or reach <= depth:
+        k += 1
+        leap = _keep(leap, f"{root}/leap-{k}")
+        known = out.select(F.col("node").alias("to"), "ancestor", F.col("limit").alias("_limit"), (F.col("depth") + reach).alias("depth"))
+        missing = leap.join(edges.select(F.col("node").alias("to")), "to", "left_anti").select("node", F.col("to").alias("ancestor"), "limit", F.lit(reach).alias("depth"))
+        further = leap.join(known, "to").select("node", "ancestor", F.least("limit", "_limit").alias("limit"), "depth").unionByName(missing)
+        out = _keep(out.unionByName(further).groupBy("node", "ancestor").agg(F.min_by("limit", "depth").alias("limit"), F.min("depth").alias("depth")), f"{root}/{k}")  # a cycle meets an ancestor again
+        now = out.count()
+        if now == before:
+            break
+        leap = leap.join(leap.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("limit").alias("_limit")), "to").select("node", F.col("_to").alias("to"), F.least("limit", "_limit").alias("limit"))
+        before, reach = now, 2 * reach
+    return out if depth is None else out.where(F.col("depth") <= depth)
 
 
-def composed(messages: DataFrame, edges: DataFrame, depth: int = 16) -> DataFrame:
+def composed(messages: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Each session's transcript, its ancestors' messages up to the branch points and then its own.
 
     messages: (session_id, position, …), positions of a branch going on after its branch point. A
@@ -80,6 +94,11 @@ def _shared(spark: SparkSession) -> str:
     return f"{base}/graph-{uuid.uuid4().hex}"
 
 
+def _keep(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component), the least node reachable over links (a, b) in either direction.
 

@@ -40,10 +40,10 @@ UNION ALL SELECT node, anc // 2, least(coalesce(lim, 1), 1) FROM w WHERE anc >=
 SELECT w.node AS session_id, w.anc AS from_session, c.turn AS position, c.role FROM w JOIN conversations c ON c.conv_id = w.anc WHERE w.lim IS NULL OR c.turn <= w.lim""")
 def composed_transcripts(spark, d):
     m = messages(spark, d)
-    ids = m.agg(F.max("session_id").alias("last")).select(F.explode(F.sequence(F.lit(0), "last")).alias("node"))
-    edges = ids.select("node", F.when(F.col("node") >= 2, F.floor(F.col("node") / 2)).alias("parent"), F.lit(1).cast("long").alias("branch"))
     seen = m.select("session_id").distinct()
-    return graph.composed(m.select("session_id", "position", "role"), edges, 12).join(seen, "session_id", "left_semi").select("session_id", "from_session", "position", "role")
+    ids = seen.select(F.explode(F.expr("array_union(array(session_id), filter(transform(sequence(0, 62), k -> shiftright(session_id, k)), x -> x > 0))")).alias("node")).distinct()
+    edges = ids.select("node", F.when(F.col("node") >= 2, F.floor(F.col("node") / 2)).alias("parent"), F.lit(1).cast("long").alias("branch"))
+    return graph.composed(m.select("session_id", "position", "role"), edges).join(seen, "session_id", "left_semi").select("session_id", "from_session", "position", "role")
 
 
 def _links(spark, d):
