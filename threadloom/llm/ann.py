@@ -3,7 +3,8 @@
 A tree of k-means splits is fitted on a bounded sample; every vector goes to its leaf. A query
 walks the tree with a priority queue of unopened nodes, the one whose centre has the largest inner
 product first, which orders the leaves. The number of leaves to visit is widened until the recall
-of a sample of queries, against all vectors, reaches ``RECALL``. Leaves are held as blocks of
+of a sample of queries, against all vectors, reaches ``RECALL``; a query goes on beyond it until its
+leaves hold as many other rows as are asked. Leaves are held as blocks of
 bounded size, so a leaf of very many equal vectors is searched by many tasks.
 
 Cases: null, zero or empty vectors, vectors with null or non-finite components, of another length than
@@ -85,14 +86,15 @@ def leaves(tree: Tree, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def visits(tree: Tree, query: np.ndarray, most: int) -> list[int]:
-    """The first leaves that best-bin-first traversal opens."""
+def visits(tree: Tree, query: np.ndarray, most: int, size: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """The first leaves that best-bin-first traversal opens: ``most``, and more until they hold ``least`` rows by ``size``."""
     near = tree.centres @ query
-    queue, out = [(-float(near[0]), 0)], []
-    while queue and len(out) < most:
+    queue, out, held = [(-float(near[0]), 0)], [], 0
+    while queue and (len(out) < most or held < least):
         _, node = heapq.heappop(queue)
         if not tree.children[node]:
             out.append(node)
+            held += int(size[node]) if size is not None else 0
         for kid in tree.children[node]:
             heapq.heappush(queue, (-float(near[kid]), kid))
     return out
@@ -204,19 +206,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, x, raw in zip(column(batch, "vec_id").to_pylist(), matrix(column(batch, "v")), column(batch, "v").to_pylist(), strict=True):
-                go = visits(tree, x, most)
+                go = visits(tree, x, most, size_of, k + 1)  # the query itself is one row
                 yield pa.RecordBatch.from_arrays([pa.array(go, pa.int64()), pa.array([q] * len(go), pa.int64()), pa.array([raw] * len(go), column(batch, "v").type)], names=["leaf", "vec_id", "v"])
 
-    def blocked(df: DataFrame, rows_each: int, name: str) -> DataFrame:
+    def blocked(saved: DataFrame, rows_each: int, name: str) -> DataFrame:
         """Rows of a leaf in blocks of about so many, dealt by hash."""
-        saved = work.save(df, name)
         counts = saved.groupBy("leaf").agg(F.ceil(F.count("*") / rows_each).alias("blocks"))  # one row for each leaf: at most SAMPLE
         dealt = saved.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
         return dealt.groupBy("leaf", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows")).select("leaf", F.col("rows.vec_id").alias(f"{name}_ids"), F.flatten("rows.v").alias(name))
 
     schema = f"leaf long, vec_id long, v {rows.schema['v'].dataType.simpleString()}"
-    held_rows = blocked(rows.mapInArrow(to_leaf, schema), BLOCK, "leaf_rows")
-    asking = blocked(rows.where(is_query).mapInArrow(to_visits, schema), QUERY_BLOCK, "queries")
+    placed = work.save(rows.mapInArrow(to_leaf, schema), "leaf_rows")
+    size_of = np.zeros(len(tree.centres), np.int64)
+    for leaf, n in placed.groupBy("leaf").count().collect():  # one row for each leaf: at most SAMPLE
+        size_of[leaf] = n
+    held_rows = blocked(placed, BLOCK, "leaf_rows")
+    asking = blocked(work.save(rows.where(is_query).mapInArrow(to_visits, schema), "queries"), QUERY_BLOCK, "queries")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held(k)
