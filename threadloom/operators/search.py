@@ -80,15 +80,15 @@ def plain_score(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
 def nearest_to_seeds(vectors: DataFrame, group: str, seed, k: int, seeds: int = 256) -> DataFrame:
     """The k vectors outside a group that are nearest (Euclidean) to any of its vectors.
 
-    A group's vectors go to every task as one row; a group of more than ``seeds`` is refused.
+    A group's vectors are dealt in blocks of about ``seeds``, each one row; a vector takes its least distance over the blocks.
     """
-    own = vectors.where(F.col(group) == seed).select("embedding")
-    if own.limit(seeds + 1).count() > seeds:
-        raise ValueError(f"more than {seeds} seed vectors")
-    held = F.broadcast(own.agg(F.collect_list("embedding").alias("_seeds")))  # one row
+    own = vectors.where(F.col(group) == seed).select("vec_id", "embedding")
+    blocks = max(1, -(-own.count() // seeds))
+    held = own.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list("embedding").alias("_seeds")).drop("_block")
     distance = lambda s: F.sqrt(F.aggregate(F.zip_with("embedding", s, lambda a, b: F.pow(a.cast("double") - b, 2)), F.lit(0.0), lambda a, x: a + x))
     least = F.array_min(F.transform("_seeds", distance))
-    return vectors.where(F.col(group) != seed).join(held).select("vec_id", F.round(least, 6).alias("distance")).orderBy("distance", "vec_id").limit(k)
+    each = vectors.where(F.col(group) != seed).crossJoin(held).select("vec_id", least.alias("distance"))
+    return each.groupBy("vec_id").agg(F.round(F.min("distance"), 6).alias("distance")).orderBy("distance", "vec_id").limit(k)
 
 
 def embeddable(rows: DataFrame) -> DataFrame:
