@@ -39,9 +39,7 @@ def none(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(tokens.default_vocabulary())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(tokens.default_vocabulary())
 
 
 def test_permutation_and_its_inverse():
@@ -68,8 +66,10 @@ def test_shards(spark, odd, none):
 
 
 def test_encoder_is_the_library(tokenizer):
-    texts = ["", "a  b\n\n c\t\td 's't've I'll", "été Ünï ß² 12½x¼", "漢字 mixed   space", " <|endoftext|>", "x" * 300, "\r\n \n", "«quoted» – dash", "one\n\ntwo\nthree", "\n\nx", "\n", " lead", "end\n", "a.\nB c's (d) 12x\n'll", "naïve Ærø ªº 3rd no'thing x²y"] + [x[1] or "" for x in ODD]
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y", "<|endoftext |>", "", "a  b\n\n c\t\td 's't've I'll", "été Ünï ß² 12½x¼", "漢字 mixed   space", " <|endoftext|>", "x" * 300, "\r\n \n", "«quoted» – dash", "one\n\ntwo\nthree", "\n\nx", "\n", " lead", "end\n", "a.\nB c's (d) 12x\n'll", "naïve Ærø ªº 3rd no'thing x²y"] + [x[1] or "" for x in ODD]
     assert [np.frombuffer(x, "<u2").tolist() for x in tokens.Encoder(tokens.default_vocabulary()).encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert np.frombuffer(tokens.Encoder(tokens.default_vocabulary()).encode(texts)[0], "<u2").tolist() == [64, 220, 50256, 275]
+    assert np.frombuffer(tokens.Encoder(tokens.default_vocabulary(), True).encode(texts)[0], "<u2").tolist() == [64, 1279, 91, 437, 1659, 5239, 91, 29, 275]
 
 
 def test_encoder_on_all_documents(spark, tokenizer):

@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, with a word cache in each Python worker.
 
 Words repeat far more often than texts. A text of ordinary Latin characters is cut into the
-pre-tokenizer's pieces and each new piece is encoded once by the library; any other text is
-encoded whole by the library. Ids are two bytes each, as the vocabulary has under 65,536.
+pre-tokenizer's pieces and each new piece is encoded once by the library; any other text, and one
+that holds the string of a token added to the vocabulary, is encoded whole by the library. Its
+default stands: such a string is that one token. ``special_as_text`` reads it as ordinary text. Ids are two bytes each, as the vocabulary has under 65,536.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ JOINED = 256
 
 #: Letters, digits and white space of the plain alphabet below, as the pre-tokenizer classes them.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
-_PLAIN_ELSE = re.compile("[^\t\n\r -~\xa1-\xac\xae-ɏ]")
+_PLAIN_ELSE = "[^\t\n\r -~\xa1-\xac\xae-ɏ]"
 _PIECE = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _SPACED = re.compile(f" [{_L}]+")
 
@@ -35,12 +36,14 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_PLAIN_ELSE, *added]))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than two bytes")
         self.known: dict[str, bytes] = {}
@@ -48,7 +51,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 16-bit numbers."""
-        pieces = [None if _PLAIN_ELSE.search(x) else _PIECE.findall(x) for x in texts]
+        pieces = [None if self.whole.search(x) else _PIECE.findall(x) for x in texts]
         known = self.known
         words = set().union(*(x for x in pieces if x))
         new = words.difference(known)
@@ -80,6 +83,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One for each worker and vocabulary."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
