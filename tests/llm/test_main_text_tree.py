@@ -34,3 +34,14 @@ def test_text_in_oddly_named_containers():
 
 def test_link_lists_in_a_wide_wrapper():
     assert html_blocks.main_text(f'<div class="content"><ul><li><a href="/">Home</a><li><a href="/n">News</a></ul><h1>Bridge news</h1><p>{LINE}</div>') == f"Bridge news {LINE}"
+
+
+def test_quotes_within_values():
+    assert html_blocks.main_text(f"<article><p title=it's>{LINE}<p title=it's>Two.</article>") == f"{LINE} Two."
+    assert html_blocks.main_text(f"<article><p title='a > b' id = \"x's\">{LINE}<p data-x='>Two.</article>") == f"{LINE} Two."
+
+
+def test_optional_tags_left_out():
+    assert html_blocks.main_text(f"<!doctype html><title>no</title><h1>Bridge news</h1><p>{LINE}<p>{LINE}") == f"Bridge news {LINE} {LINE}"
+    assert html_blocks.main_text(f'<div class="post no-comments"><p>{LINE}</div>') == LINE
+    assert html_blocks.main_text(f'<div class="content has-sidebar"><p>{LINE}</div>') == LINE

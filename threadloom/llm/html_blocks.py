@@ -40,12 +40,13 @@ INSIDE_WORDS = set("article body content entry main post story text".split())
 #: A name that begins so tells of the layout and not of the container.
 LAYOUT_WORDS = set("has no with without".split())
 
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: A quote opens a value only right after its equals sign; elsewhere it is a letter like others.
+_ATTRIBUTES = r"(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?+)*+"
 _HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:({RAW})|(/?)({SKIP}))(?=[\s/>])({_ATTRIBUTES})>|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 _SELF_CLOSED = re.compile(r"(?:\A|[\s\"']|(?:\A|\s)[^\s=\"']+)/\Z")  # else the slash ends a value without quotes
 _RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW.split("|")}
 _BODY = re.compile(r"<body\b", re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)")
+_TAG = re.compile(rf"<(/?)([a-zA-Z][\w:-]*)({_ATTRIBUTES})(?:>|\Z)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 OUT, DOUBT, NEUTRAL, IN = 0, 1, 2, 3
