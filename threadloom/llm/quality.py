@@ -2,17 +2,22 @@
 
 Two views of a document are classified apart, by logistic regression: its text (shares of kinds
 of characters, word and line statistics) and its metadata (language, source, length). In each
-round each view labels the unlabelled documents it is sure of, taken from all documents, for the
-other view to learn from; a view is as sure as labelled documents kept aside show it to be. Last, the
-two views' calibrated log-odds are combined on those kept aside, and all documents are scored.
+round each view labels the unlabelled documents it is sure of, among all documents, for the other
+view to learn from. A view is as sure as labelled documents kept aside show it to be; documents of
+which the views are sure in contrary ways teach nothing. Equal documents count once; a round takes a
+sample of those not yet taken, by hash, whose weight is that of all documents it stands for: as a
+part of the labelled rows' weight, the share that they are of all documents. Pseudo-labels of
+earlier rounds stay.
 
-A document is rejected if its score falls below a bound that rejects at most ``FALSE_REJECTS`` of
-the good ones kept aside.
+Labelled rows are dealt into four parts: to learn from, to tell sureness and calibrate each view's
+log-odds, to combine the calibrated views, and for the bound. A document is rejected if its
+score falls below a bound that rejects at most ``FALSE_REJECTS`` of the good ones of the last part.
 
 Cases: null and empty texts have a text view of zeros; null metadata is a value of its own; equal
 rows score alike; labels for unknown documents are ignored, several labels of one doc_id are averaged, null
-labels dropped; with no labels of either kind nothing is rejected and scores are 0.5; an empty
-table gives no rows; input columns are kept, those named like results replaced.
+labels dropped; with too few labels of either kind nothing is rejected and scores are 0.5; a part of
+too few rows leaves log-odds as they are; an empty table gives no rows; input columns are kept,
+those named like results replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.work import Scratch, bounded_sample, table
 
-#: Labelled rows that are learnt from, at most (those of least hash); rounds; pseudo-labels a round, view and class.
-LABELLED, ROUNDS, EACH = 20_000, 3, 400
+#: Labelled rows that are learnt from, at most (those of least hash); rounds; pseudo-labelled rows a round, view and class.
+LABELLED, ROUNDS, EACH = 20_000, 3, 1000
 #: Precision that held-out rows must show for a view's pseudo-labels; share of good rows that may be rejected.
 SURE, FALSE_REJECTS = 0.97, 0.002
+#: Of twenty labelled rows in hash order: how many go to each part.
+LEARN, CALIBRATE, COMBINE = 12, 3, 2
 SOURCES, LANGUAGES, LENGTHS = 32, 8, 24
 MARKS = b"!*$%&#|,.;:?-_/<>{}[]()\"'@=+~"
 
@@ -85,14 +92,6 @@ def learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge:
     return Logistic(mean, scale, w)
 
 
-def odds_of(model: Logistic):
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series(model.odds(np.array(v.tolist()).reshape(len(v), len(model.mean))))
-
-    return run
-
-
 def sure_from(odds: np.ndarray, right: np.ndarray) -> float:
     """The least log-odds above which SURE of the held-out rows are right; infinite if there is none."""
     order = np.argsort(-odds)
@@ -104,82 +103,133 @@ def sure_from(odds: np.ndarray, right: np.ndarray) -> float:
 class Model(NamedTuple):
     text: Logistic
     metadata: Logistic
+    calibrated: tuple[Logistic, Logistic]  # of each view's log-odds
     combined: Logistic
     bound: float
+    taught: tuple[int, int]  # pseudo-labelled rows that the text view and the metadata view learnt from
+
+    def odds(self, text: np.ndarray, metadata: np.ndarray) -> list[np.ndarray]:
+        """Calibrated log-odds of both views."""
+        return [c.odds(m.odds(x)[:, None]) for c, m, x in zip(self.calibrated, (self.text, self.metadata), (text, metadata), strict=True)]
+
+    def score(self, text: np.ndarray, metadata: np.ndarray) -> list[np.ndarray]:
+        a, b = self.odds(text, metadata)
+        return [1 / (1 + np.exp(-x)) for x in (a, b, self.combined.odds(np.column_stack([a, b])))]
 
-    def score(self, text: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.text.odds(text), self.metadata.odds(metadata)
-        c = self.combined.odds(np.column_stack([a, b]))
-        return tuple(1 / (1 + np.exp(-x)) for x in (a, b, c))
 
+def learn_or(x: np.ndarray, y: np.ndarray, weights: list[float]) -> Logistic:
+    """Learnt where there are some rows of both classes, else these weights on the columns as they are."""
+    if min((y == 1).sum(), (y == 0).sum()) >= 5:
+        return learn(x, y)
+    return Logistic(np.zeros(len(weights)), np.ones(len(weights)), np.array([*weights, 0.0]))
 
-def views(docs: DataFrame) -> DataFrame:
-    """doc_id with both views as arrays."""
 
-    @F.pandas_udf("t array<double>, m array<double>")
+def stacked(v: pd.Series, width: int) -> np.ndarray:
+    return np.array(v.tolist(), float).reshape(len(v), width)
+
+
+def with_views(docs: DataFrame) -> DataFrame:
+    """All rows with both views as arrays (t, m) and a hash of these, in a column ``_v``."""
+
+    @F.pandas_udf("t array<float>, m array<float>")
     def run(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"t": [text_view(x) for x in text], "m": [metadata_view(*x) for x in zip(lang, source, n_chars, strict=True)]})
 
-    return docs.select(F.col("doc_id").cast("long"), run("text", "lang", "source", F.col("n_chars").cast("double")).alias("v")).select("doc_id", "v.t", "v.m")
+    seen = docs.withColumn("_v", run(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")))
+    return seen.withColumn("_v", F.struct("_v.t", "_v.m", F.xxhash64("_v.t", "_v.m").alias("h")))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Co-training; None where labels of a class are missing."""
-    work = Scratch(docs.sparkSession)
-    seen = work.save(views(docs), "views")
+def train(seen: DataFrame, labels: DataFrame, work: Scratch, rounds: int = ROUNDS) -> Model | None:
+    """Co-training over rows of doc_id, t, m and h; None where labels of a class are missing."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     rows = bounded_sample(work.save(seen.join(marked, "doc_id"), "labelled"), "doc_id", LABELLED).toPandas()
     if rows.y.nunique() < 2 or min(rows.y.value_counts()) < 10:
         return None
-    x = [np.array(rows.t.tolist()), np.array(rows.m.tolist())]
+    x = [np.array(rows.t.tolist(), float), np.array(rows.m.tolist(), float)]
     y = rows.y.to_numpy(float)
-    aside = np.arange(len(y)) % 4 == 0  # rows come in hash order
-    learnt = [(a[~aside], y[~aside], np.ones((~aside).sum())) for a in x]
-    pool = work.save(seen.join(marked.select("doc_id"), "doc_id", "left_anti"), "pool")
-    for _ in range(ROUNDS):
-        models = [learn(*part) for part in learnt]
-        added: list[tuple[list, list]] = [([], []), ([], [])]
-        for k, model in enumerate(models):
-            odds = model.odds(x[k][aside])
-            for good in (1, 0):
-                sign = 1 if good else -1
-                bound = sure_from(sign * odds, y[aside] == good)
-                if bound == math.inf:
-                    continue
-                taken = pool.withColumn("s", sign * odds_of(model)("tm"[k])).where(F.col("s") >= bound).orderBy(F.desc("s"), F.xxhash64("doc_id"), "doc_id").limit(EACH).select("tm"[1 - k]).toPandas()
-                added[1 - k][0].extend(taken.iloc[:, 0].tolist())
-                added[1 - k][1].extend([float(good)] * len(taken))
-        if not any(a for a, _ in added):
+    place = np.arange(len(y)) % 20  # rows come in hash order
+    own, sure, combine = place < LEARN, (place >= LEARN) & (place < LEARN + CALIBRATE), (place >= LEARN + CALIBRATE) & (place < LEARN + CALIBRATE + COMBINE)
+    last = place >= LEARN + CALIBRATE + COMBINE
+    more: list[tuple[list, list, list]] = [([], [], []) for _ in x]  # each view's pseudo-labelled rows: features, labels, weights
+
+    def learnt() -> list[Logistic]:
+        return [learn(np.concatenate([a[own], np.array(b).reshape(-1, a.shape[1])]), np.concatenate([y[own], c]), np.concatenate([np.ones(own.sum()), w])) for a, (b, c, w) in zip(x, more, strict=True)]
+
+    pool = work.save(seen.join(marked.select("doc_id"), "doc_id", "left_anti").select("t", "m", "h").dropDuplicates(["h"]), "pool")
+    total, taken = pool.count(), set()
+    for k in range(rounds if total else 0):
+        models = learnt()
+        bounds = [sure_from(sign * m.odds(a[sure]), y[sure] == (sign > 0)) for m, a in zip(models, x, strict=True) for sign in (1, -1)]
+        picked = sample_of_sure(pool, models, bounds, taken, k)
+        if not picked:
             break
-        base = [(a[~aside], y[~aside]) for a in x]
-        learnt = [(np.concatenate([a, np.array(more).reshape(-1, a.shape[1])]), np.concatenate([b, z]), np.concatenate([np.ones(len(b)), np.full(len(z), 0.3)])) for (a, b), (more, z) in zip(base, added, strict=True)]
-    text, metadata = (learn(*part) for part in learnt)
-    odds = np.column_stack([text.odds(x[0][aside]), metadata.odds(x[1][aside])])
-    combined = learn(odds, y[aside])
-    scores = 1 / (1 + np.exp(-combined.odds(odds)))
-    good = np.sort(scores[y[aside] == 1])
-    bound = min(0.5, float(good[int(FALSE_REJECTS * len(good))]))
-    work.drop("views", "labelled", "pool")
-    return Model(text, metadata, combined, bound)
+        for view, good, got, share in picked:
+            taken.update(got.h)
+            features, classes, weights = more[1 - view]
+            features.extend(got["tm"[1 - view]].tolist())
+            classes.extend([float(good)] * len(got))
+            weights.extend([own.sum() * share / total / len(got)] * len(got))
+    models = learnt()
+    calibrated = tuple(learn_or(m.odds(a[sure])[:, None], y[sure], [1.0]) for m, a in zip(models, x, strict=True))
+    half = Model(*models, calibrated, None, 0.0, tuple(len(c) for _, c, _ in more))
+    combined = learn_or(np.column_stack(half.odds(x[0][combine], x[1][combine])), y[combine], [1.0, 1.0])
+    out = half._replace(combined=combined)
+    good = np.sort(out.score(x[0][last], x[1][last])[2][y[last] == 1])
+    return out._replace(bound=min(0.5, float(good[int(FALSE_REJECTS * len(good))])) if len(good) else 0.0)
+
+
+def sample_of_sure(pool: DataFrame, models: list[Logistic], bounds: list[float], taken: set[int], salt: int) -> list[tuple[int, int, pd.DataFrame, int]]:
+    """(view, class, rows, how many they stand for) of what each view is sure of: at most EACH rows of least hash each."""
+    names = ["t1", "t0", "m1", "m0"]
+
+    @F.pandas_udf("t1 boolean, t0 boolean, m1 boolean, m0 boolean")
+    def run(t: pd.Series, m: pd.Series) -> pd.DataFrame:
+        odds = [model.odds(stacked(v, len(model.mean))) for model, v in zip(models, (t, m), strict=True)]
+        sure = [sign * odds[k // 2] >= bounds[k] for k, sign in enumerate((1, -1, 1, -1))]
+        clear = [~(sure[2 * (1 - k // 2) + 1 - k % 2]) for k in range(4)]  # the other view isn't sure of the contrary
+        return pd.DataFrame({n: a & b for n, a, b in zip(names, sure, clear, strict=True)})
+
+    told = pool.withColumn("s", run("t", "m"))
+    counts = told.agg(*[F.count(F.when(F.col(f"s.{n}"), 1)).alias(n) for n in names]).first()
+    space = 1 << 30
+    draw = F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(space))
+    within = [F.col(f"s.{n}") & (draw < min(space, int(space * (1.5 * EACH + 200) / max(1, counts[n])))) for n in names]
+    rows = told.where(within[0] | within[1] | within[2] | within[3]).select("t", "m", "h", "s.*", draw.alias("draw")).toPandas()  # about 4 * 1.5 * EACH
+    rows = rows[~rows.h.isin(taken)].sort_values(["draw", "h"])
+    out = []
+    for k, n in enumerate(names):
+        got = rows[rows[n]].head(EACH)
+        if len(got):
+            out.append((k // 2, 1 - k % 2, got, counts[n]))
+    return out
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All rows with text_score, metadata_score, score (chances of a good document) and accepted."""
-    model = train(docs, labels)
-    docs = docs.drop("text_score", "metadata_score", "score", "accepted")
+def judged(seen: DataFrame, labels: DataFrame, work: Scratch) -> DataFrame:
+    """Rows of ``with_views`` with text_score, metadata_score, score and accepted in place of ``_v``."""
+    doc = F.col("doc_id").cast("long").alias("doc_id")
+    model = train(seen.select(doc, "_v.t", "_v.m", "_v.h"), labels, work)
     if model is None:
         half = F.lit(0.5)
-        return docs.select("*", half.alias("text_score"), half.alias("metadata_score"), half.alias("score"), F.lit(True).alias("accepted"))
+        return seen.drop("_v").select("*", half.alias("text_score"), half.alias("metadata_score"), half.alias("score"), F.lit(True).alias("accepted"))
 
     @F.pandas_udf("text_score double, metadata_score double, score double")
-    def run(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        t, m = [text_view(x) for x in text], [metadata_view(*x) for x in zip(lang, source, n_chars, strict=True)]
-        a, b, c = model.score(np.array(t).reshape(len(t), -1), np.array(m).reshape(len(m), -1)) if t else ([], [], [])
-        return pd.DataFrame({"text_score": a, "metadata_score": b, "score": c})
+    def run(t: pd.Series, m: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("text_score", "metadata_score", "score"), model.score(stacked(t, len(model.text.mean)), stacked(m, len(model.metadata.mean))), strict=True)))
+
+    out = seen.withColumn("_s", run("_v.t", "_v.m"))
+    return out.select(*[c for c in seen.columns if c != "_v"], "_s.text_score", "_s.metadata_score", "_s.score", (F.col("_s.score") >= model.bound).alias("accepted"))
 
-    out = docs.withColumn("_v", run("text", "lang", "source", F.col("n_chars").cast("double")))
-    return out.select(*docs.columns, "_v.text_score", "_v.metadata_score", "_v.score", (F.col("_v.score") >= model.bound).alias("accepted"))
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows with text_score, metadata_score, score (chances of a good document) and accepted.
+
+    Documents and views are written once, so no text is read for its features twice.
+    """
+    work = Scratch(docs.sparkSession)
+    return judged(work.save(with_views(docs.drop("text_score", "metadata_score", "score", "accepted", "_v")), "seen"), labels, work)
 
 
 def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "text_score", "metadata_score", "score", "accepted")
+    work = Scratch(spark)
+    seen = work.save(with_views(table(spark, sf_dir, "documents")).select("doc_id", "_v"), "seen")
+    return judged(seen, table(spark, sf_dir, "labels"), work)
