@@ -1,10 +1,12 @@
 """Operator 8: media columns as MPEG transport streams.
 
-A payload is stored in a stream of 188-byte packets: a program association table, a program map
-table, then elementary packets (PES) with presentation timestamps, one elementary stream, random
-access points at a fixed distance. Reading parses the tables (with their checksums), follows each
-packet identifier's continuity counter, reassembles the elementary packets, and returns payload,
-timestamps and random-access points. Transport format: ISO/IEC 13818-1.
+A payload is stored in a stream of 188-byte packets: elementary packets (PES) with presentation
+timestamps, one elementary stream, random access points at a fixed distance. A program association
+table and a program map table stand before each random access point, whose first packet carries
+the clock reference, so that a reader can join there. Reading parses the tables (with their
+checksums), follows each packet identifier's continuity counter, reassembles the elementary
+packets, and returns payload, timestamps, clock references and random-access points. Transport
+format: ISO/IEC 13818-1.
 
 Cases: null or empty text is a payload of 64 zero bytes; equal texts give equal streams; a stream
 with lost, damaged or repeated packets is read as far as it goes and counted in ``errors``; bytes
@@ -67,29 +69,36 @@ def _stamp(pts: int) -> bytes:
     return bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 0xFF, 0x01 | pts >> 14 & 0xFE, pts >> 7 & 0xFF, 0x01 | pts << 1 & 0xFE])
 
 
-_TABLES = _table_packet(PAT_PID, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(PMT_PID, _section(2, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00"))
+_PAT, _PMT = (_table_packet(PAT_PID, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))), _table_packet(PMT_PID, _section(2, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")))
+
+
+def _tables(times: int) -> bytes:
+    """Both tables' packets with their continuity counter after so many times."""
+    return b"".join(x[:3] + bytes([0x10 | times & 15]) + x[4:] for x in (_PAT, _PMT))
 
 
 def write_stream(payload: bytes) -> bytes:
-    out, counter = [_TABLES], 0
+    out, counter = [], 0
     for k, at in enumerate(range(0, len(payload), UNIT)):
-        unit = payload[at : at + UNIT]
-        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (8 + len(unit)).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(k * CLOCK // PER_SECOND & (1 << 33) - 1) + unit
+        unit, pts = payload[at : at + UNIT], k * CLOCK // PER_SECOND & (1 << 33) - 1
+        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (8 + len(unit)).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(pts) + unit
+        if k % KEY_EVERY == 0:
+            out.append(_tables(k // KEY_EVERY))
         done = 0
         while done < len(pes):
-            flags = b"\x40" if done == 0 and k % KEY_EVERY == 0 else b""
-            room = PACKET - 4 - (2 if flags else 0)
+            field = b"\x50" + (pts << 15 | 0x7E00).to_bytes(6, "big") if done == 0 and k % KEY_EVERY == 0 else b""  # random access and clock reference
+            room = PACKET - 4 - (1 + len(field) if field else 0)
             chunk = pes[done : done + room]
             stuffing = room - len(chunk)
-            if flags or stuffing:
-                body = (flags or b"\x00") + b"\xff" * (stuffing if flags else stuffing - 2) if flags or stuffing > 1 else b""
-                field = bytes([len(body)]) + body
-            else:
-                field = b""
+            if stuffing and not field:
+                stuffing -= 1  # the field's length is a byte itself
+                field = bytes([stuffing]) + (b"\x00" + b"\xff" * (stuffing - 1) if stuffing else b"")
+            elif field:
+                field = bytes([len(field) + stuffing]) + field + b"\xff" * stuffing
             out.append(bytes([SYNC]) + ((0x4000 if done == 0 else 0) | DATA_PID).to_bytes(2, "big") + bytes([(0x30 if field else 0x10) | counter]) + field + chunk)
             done += len(chunk)
             counter = counter + 1 & 15
-    return b"".join(out)
+    return b"".join(out) or _tables(0)
 
 
 class Media(NamedTuple):
@@ -98,6 +107,7 @@ class Media(NamedTuple):
     random_access: list[int]  # places in the payload
     packets: int
     errors: int
+    pcr: list[int]  # clock references, in units of the timestamps
 
 
 def _sections(body: bytes) -> Iterator[bytes]:
@@ -113,6 +123,8 @@ def _sections(body: bytes) -> Iterator[bytes]:
 def read_stream(data: bytes) -> Media:
     maps: set[int] = set()
     wanted: int | None = None
+    clock: int | None = None
+    pcr: list[int] = []
     counters: dict[int, int] = {}
     previous: dict[int, bytes] = {}
     units: list[tuple[bool, list[bytes]]] = []
@@ -133,6 +145,8 @@ def read_stream(data: bytes) -> Media:
         begin, key = 4, False
         if control & 2:
             begin, key = 5 + packet[4], packet[4] > 0 and bool(packet[5] & 0x40)
+            if packet[4] >= 7 and packet[5] & 0x10 and pid == clock:
+                pcr.append(int.from_bytes(packet[6:12], "big") >> 15)
         if not control & 1 or begin >= PACKET:
             continue
         if pid == wanted:
@@ -148,6 +162,7 @@ def read_stream(data: bytes) -> Media:
                     if pid == PAT_PID and s[0] == 0:
                         maps |= {int.from_bytes(s[k + 2 : k + 4], "big") & 0x1FFF for k in range(8, len(s) - 4, 4) if s[k : k + 2] != b"\0\0"}
                     elif pid in maps and s[0] == 2:
+                        clock = int.from_bytes(s[8:10], "big") & 0x1FFF
                         k = 12 + (int.from_bytes(s[10:12], "big") & 0xFFF)
                         while k + 5 <= len(s) - 4 and wanted is None:
                             if s[k] == PRIVATE_DATA:
@@ -168,7 +183,7 @@ def read_stream(data: bytes) -> Media:
             access.append(held)
         payload.append(body)
         held += len(body)
-    return Media(b"".join(payload), pts, access, packets, int(errors))
+    return Media(b"".join(payload), pts, access, packets, int(errors), pcr)
 
 
 STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
@@ -191,8 +206,10 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame, times: bool = False) -> DataFrame:
-    """Per stored stream what its packets hold; ``times`` adds timestamps and random-access places."""
-    schema = READ.append(pa.field("pts", pa.list_(pa.int64()))).append(pa.field("random_access", pa.list_(pa.int64()))) if times else READ
+    """Per stored stream what its packets hold; ``times`` adds timestamps, random-access places and clock references."""
+    schema = READ
+    for name in ("pts", "random_access", "pcr") if times else ():
+        schema = schema.append(pa.field(name, pa.list_(pa.int64())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
@@ -200,12 +217,12 @@ def features(media: DataFrame, times: bool = False) -> DataFrame:
             for doc, n, data in zip(*(column(batch, x).to_pylist() for x in STORED.names), strict=True):
                 m = read_stream(data)
                 said = f"packets={m.packets};units={len(m.pts)};pts={m.pts[0] if m.pts else -1}-{m.pts[-1] if m.pts else -1};random_access={len(m.random_access)};errors={m.errors}"
-                rows.append((doc, n, len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), said, *([m.pts, m.random_access] if times else [])))
+                rows.append((doc, n, len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), said, *([m.pts, m.random_access, m.pcr] if times else [])))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return media.mapInArrow(run, spark_schema(READ) + (", pts array<bigint>, random_access array<bigint>" if times else ""))
+    return media.mapInArrow(run, spark_schema(READ) + (", pts array<bigint>, random_access array<bigint>, pcr array<bigint>" if times else ""))
 
 
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = Scratch(spark).save(to_media(table(spark, sf_dir, "documents")), "media")
-    return features(stored)
+    return features(stored, times=True)
