@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import tokens
-from threadloom.llm.work import Scratch, column, offsets, slices, table, texts
+from threadloom.llm.work import TASK_ROWS, Scratch, column, offsets, slices, small, table, texts
 
 LENGTH = 1024
 END = 0
@@ -53,8 +53,8 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, w
     """All pieces; ``with_ids`` adds each one's ids as little-endian unsigned 32-bit numbers."""
     work = Scratch(docs.sparkSession)
     saved = work.save(stream(docs, vocabulary or tokens.default_vocabulary()), "stream")
-    begin = offsets(saved, "part", F.col("doc_tokens"), "part_offset")
-    placed = saved.join(F.broadcast(begin), "part").select("doc_id", (F.col("part_offset") + F.col("part_start")).alias("at"), "ids")
+    begin = small(work.save(offsets(saved, "part", F.col("doc_tokens"), "part_offset"), "offsets"), TASK_ROWS)
+    placed = saved.join(begin, "part").select("doc_id", (F.col("part_offset") + F.col("part_start")).alias("at"), "ids")
     schema = PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

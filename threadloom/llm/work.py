@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +15,9 @@ from pyspark.sql import types as T
 #: Tables of at most this many rows of a few short columns are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
+#: Tables with one row of two numbers for each task are broadcast up to this size (64 MB).
+TASK_ROWS = 4_000_000
+
 #: Texts are worked on in slices of about this many bytes, to bound a Python worker's memory.
 SLICE_BYTES = 2_000_000
 
@@ -24,14 +26,15 @@ BATCH_ROWS = 1000
 
 
 class Scratch:
-    """A new folder below ``spark.checkpoint.dir`` (where that is unset, a local one: single-machine use)."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a local one, but only on a single machine."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", base)
         if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.root = f"{base}/llm-{uuid.uuid4().hex}"
@@ -52,22 +55,18 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Holds Arrow batches to so many rows, for jobs whose rows are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """The name, or with underscores added, that is no column of the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The (materialised) table marked for broadcast if its counted rows are few, else unchanged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -101,13 +100,13 @@ def numbered(df: DataFrame, order: list[Column], work: Scratch, name: str, out:
     offsets. Rows that tie are told apart by their place in the input, so a frequent key spreads
     over many partitions.
     """
-    part, place = where_row()
-    keyed = df.withColumn("_in", F.monotonically_increasing_id())
-    keys = [*order, F.col("_in")]
-    ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_in")
-    table = work.save(ranged.select("*", part.alias("_part"), place.alias("_place")), name)
-    start = offsets(table, "_part", F.lit(1), "_start")
-    return table.join(F.broadcast(start), "_part").withColumn(out, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    came, part, place, start = (fresh(x, df) for x in ("_in", "_part", "_place", "_start"))
+    in_part, at = where_row()
+    keys = [*order, F.col(came)]
+    ranged = df.withColumn(came, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(came)
+    table = work.save(ranged.select("*", in_part.alias(part), at.alias(place)), name)
+    starts = small(work.save(offsets(table, part, F.lit(1), start), f"{name}-starts"), TASK_ROWS)
+    return table.join(starts, part).withColumn(out, F.col(start) + F.col(place)).drop(part, place, start)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
