@@ -8,8 +8,8 @@ document's hash is uniform, but a few long documents would else move the total f
 
 Cases: null text and text without words have size 0 and, being no part of any total, follow the
 rate like all others (taken is 0); a null source is a source, the last; an empty table gives no
-rows; equal rows are treated alike; columns of the input are kept by ``mix`` (its own, source_size,
-target, rate, copies and size, replace columns of those names).
+rows; equal rows are treated alike; columns of the input are kept by
+``mix``; those of ``rated`` (size, source_size, target, rate, copies) replace columns of those names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.work import Scratch, small, table
+from threadloom.llm.work import Scratch, fresh, small, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEEDS = 1.5, 2.0, 32
@@ -29,10 +29,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _chance(seed: Column | int) -> Column:
+def _chance(seed: Column | int, key: str) -> Column:
     """A number in [0, 1) from the document's identity and the seed: 52 bits of a hash that SQL has too."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    digits = F.substring(F.md5(F.concat_ws("-", seed.cast("string"), "_key")), 1, 13)
+    digits = F.substring(F.md5(F.concat_ws("-", seed.cast("string"), key)), 1, 13)
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(UNIT))
 
 
@@ -55,30 +55,38 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levelled.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("rate"))
 
 
-def rated(docs: DataFrame, **how) -> DataFrame:
-    """All documents with size, source_size, target, rate and copies."""
+def planned(docs: DataFrame, **how) -> tuple[DataFrame, str]:
+    """All documents with a struct of size, source_size, target, rate and copies, and that column's name."""
     work = Scratch(docs.sparkSession)
-    docs = docs.drop("size", "source_size", "target", "rate", "copies")
-    sized = docs.withColumn("size", words(F.col("text"))).withColumn("_key", F.concat_ws("-", F.col("doc_id").cast("string"), F.md5("text")))
-    narrow = work.save(sized.select("source", "size", "_key"), "sizes")
-    per = work.save(targets(narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), **how), "targets")
-    per = small(per)
+    key, own, seed, size, plan_of = (fresh(x, docs) for x in ("_key", "_source", "_seed", "_size", "_plan"))
+    sized = docs.withColumn(size, words(F.col("text"))).withColumn(key, F.concat_ws("-", F.col("doc_id").cast("string"), F.md5("text")))
+    narrow = work.save(sized.select("source", F.col(size).alias("size"), F.col(key).alias("key")), "sizes")
+    per = small(work.save(targets(narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), **how), "targets"))
+    draws = narrow.join(per, narrow["source"].eqNullSafe(per["source"])).select(per["source"], "size", "rate", "target", "key")
     fraction = F.col("rate") - F.floor("rate")
-    draws = narrow.join(per, narrow["source"].eqNullSafe(per["source"])).select(per["source"], "size", "rate", "target", "_key")
-    totals = draws.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * (F.floor("rate") + F.when(_chance(k) < fraction, 1).otherwise(0))).alias(f"_{k}") for k in range(SEEDS)])
+    totals = draws.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * (F.floor("rate") + F.when(_chance(k, "key") < fraction, 1).otherwise(0))).alias(f"_{k}") for k in range(SEEDS)])
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("far"), F.lit(k).alias("seed")) for k in range(SEEDS)]))["seed"]
-    seeds = small(work.save(totals.select(F.col("source").alias("_source"), nearest.alias("_seed")), "seeds"))
-    plan = per.join(seeds, per["source"].eqNullSafe(seeds["_source"])).drop("_source").withColumnRenamed("source", "_source")
+    seeds = small(work.save(totals.select(F.col("source").alias(own), nearest.alias(seed)), "seeds"))
+    plan = per.join(seeds, per["source"].eqNullSafe(seeds[own])).select(F.col("source").alias(own), seed, F.struct("source_size", "target", "rate").alias(plan_of))
     plan = small(work.save(plan, "plan"))
-    out = sized.join(plan, sized["source"].eqNullSafe(plan["_source"]))
-    copies = F.floor("rate") + F.when(_chance(F.col("_seed")) < fraction, 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).drop("_source", "_seed", "_key")
+    out = sized.join(plan, sized["source"].eqNullSafe(plan[own]))
+    rate = F.col(plan_of)["rate"]
+    copies = (F.floor(rate) + F.when(_chance(F.col(seed), key) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    fields = F.struct(F.col(size).alias("size"), *[F.col(plan_of)[x].alias(x) for x in ("source_size", "target", "rate")], copies.alias("copies"))
+    return out.select(*docs.columns, fields.alias(plan_of)), plan_of
+
+
+def rated(docs: DataFrame, **how) -> DataFrame:
+    """All documents with size, source_size, target, rate and copies."""
+    out, plan = planned(docs, **how)
+    return out.drop(*(x for x in ("size", "source_size", "target", "rate", "copies"))).select("*", f"{plan}.*").drop(plan)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document's row as often as it is taken, with the input's columns."""
-    out = rated(docs, **how).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each document's row as often as it is taken, with the input's columns as they are."""
+    out, plan = planned(docs, **how)
+    times = F.sequence(F.lit(1), F.col(plan)["copies"].cast("int"))
+    return out.where(F.col(plan)["copies"] > 0).withColumn(plan, F.explode(times)).select(*docs.columns)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

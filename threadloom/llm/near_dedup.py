@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.components import components
 from threadloom.llm.packing import spark_schema
-from threadloom.llm.work import Scratch, column, slices, small, small_batches, table, texts
+from threadloom.llm.work import Scratch, column, fresh, slices, small, table, texts
 
 K, PERCENT = 48, 80
 #: Hashes in a block of sets.
@@ -170,7 +170,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     """The pairs whose full sets have the similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "x"):
             keep = []
             for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist(), strict=True):
                 common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
@@ -200,7 +200,8 @@ def compared(members: DataFrame, docs: DataFrame, width: int, percent: int, work
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for inner, out in zip(column(batch, "inner").to_pylist(), column(batch, "out").to_pylist(), strict=True):
+            for k in range(batch.num_rows):
+                inner, out = column(batch, "inner")[k].as_py(), column(batch, "out")[k].as_py()
                 reps, parts = np.array([m["rep"] for m in inner]), np.array([m["part"] for m in inner])
                 sets = [np.frombuffer(m["hashes"], np.uint64) for m in inner]
                 sizes = np.array([len(x) for x in sets])
@@ -219,8 +220,7 @@ def compared(members: DataFrame, docs: DataFrame, width: int, percent: int, work
                     b += reps[hit[one]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    with small_batches(docs.sparkSession, 4):
-        return work.save(met.mapInArrow(run, "a long, b long").distinct(), "rest")
+    return work.save(met.mapInArrow(run, "a long, b long").distinct(), "rest")
 
 
 def in_common(lists: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -268,9 +268,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
         return work.save(both.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-labels")
 
     star = lists.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    with small_batches(spark, 500):
-        maybe = work.save(likely(star, classes, percent), "likely")
-        labels = joined(work.save(confirmed(maybe, docs, width, percent), "edges"), "star")
+    maybe = work.save(likely(star, classes, percent), "likely")
+    labels = joined(work.save(confirmed(maybe, docs, width, percent), "edges"), "star")
     # Lists that still hold more than one component; a list of two has been compared.
     rows = lists.select("key", "rep")
     here = rows.join(labels, rows["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("part")) if labels is not None else rows.withColumn("part", F.col("rep"))
@@ -293,10 +292,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 
 
 def dedup(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One document of each group, whole, and every row whose doc_id is null."""
+    """One document of each group, whole, and every row whose doc_id is null.
+
+    Rows of one doc_id are one document, and all its different texts stay.
+    """
     kept = near_duplicates(docs, width).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    one = named.join(kept, "doc_id", "left_semi")
+    if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        text = fresh("_text", docs)
+        one = one.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def op6_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

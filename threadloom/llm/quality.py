@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.work import Scratch, bounded_sample, table
+from threadloom.llm.work import Scratch, bounded_sample, fresh, table
 
 #: Labelled rows that are learnt from, at most (those of least hash); rounds; pseudo-labelled rows a round, view and class.
 LABELLED, ROUNDS, EACH = 20_000, 3, 1000
@@ -128,15 +128,15 @@ def stacked(v: pd.Series, width: int) -> np.ndarray:
     return np.array(v.tolist(), float).reshape(len(v), width)
 
 
-def with_views(docs: DataFrame) -> DataFrame:
-    """All rows with both views as arrays (t, m) and a hash of these, in a column ``_v``."""
+def with_views(docs: DataFrame, name: str = "_v") -> DataFrame:
+    """All rows with both views as arrays (t, m) and a hash of these (h), in a struct of that name."""
 
     @F.pandas_udf("t array<float>, m array<float>")
     def run(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"t": [text_view(x) for x in text], "m": [metadata_view(*x) for x in zip(lang, source, n_chars, strict=True)]})
 
-    seen = docs.withColumn("_v", run(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")))
-    return seen.withColumn("_v", F.struct("_v.t", "_v.m", F.xxhash64("_v.t", "_v.m").alias("h")))
+    seen = docs.withColumn(name, run(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double")))
+    return seen.withColumn(name, F.struct(f"{name}.t", f"{name}.m", F.xxhash64(f"{name}.t", f"{name}.m").alias("h")))
 
 
 def train(seen: DataFrame, labels: DataFrame, work: Scratch, rounds: int = ROUNDS) -> Model | None:
@@ -204,32 +204,44 @@ def sample_of_sure(pool: DataFrame, models: list[Logistic], bounds: list[float],
     return out
 
 
-def judged(seen: DataFrame, labels: DataFrame, work: Scratch) -> DataFrame:
-    """Rows of ``with_views`` with text_score, metadata_score, score and accepted in place of ``_v``."""
+def judged(seen: DataFrame, name: str, labels: DataFrame, work: Scratch) -> DataFrame:
+    """Rows of ``with_views`` whose struct holds text_score, metadata_score, score and accepted instead."""
     doc = F.col("doc_id").cast("long").alias("doc_id")
-    model = train(seen.select(doc, "_v.t", "_v.m", "_v.h"), labels, work)
+    model = train(seen.select(doc, f"{name}.t", f"{name}.m", f"{name}.h"), labels, work)
     if model is None:
         half = F.lit(0.5)
-        return seen.drop("_v").select("*", half.alias("text_score"), half.alias("metadata_score"), half.alias("score"), F.lit(True).alias("accepted"))
+        return seen.withColumn(name, F.struct(half.alias("text_score"), half.alias("metadata_score"), half.alias("score"), F.lit(True).alias("accepted")))
 
     @F.pandas_udf("text_score double, metadata_score double, score double")
     def run(t: pd.Series, m: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("text_score", "metadata_score", "score"), model.score(stacked(t, len(model.text.mean)), stacked(m, len(model.metadata.mean))), strict=True)))
+        return pd.DataFrame(dict(zip(SCORES, model.score(stacked(t, len(model.text.mean)), stacked(m, len(model.metadata.mean))), strict=True)))
 
-    out = seen.withColumn("_s", run("_v.t", "_v.m"))
-    return out.select(*[c for c in seen.columns if c != "_v"], "_s.text_score", "_s.metadata_score", "_s.score", (F.col("_s.score") >= model.bound).alias("accepted"))
+    told = seen.withColumn(name, run(f"{name}.t", f"{name}.m"))
+    return told.withColumn(name, F.struct(f"{name}.*", (F.col(name)["score"] >= model.bound).alias("accepted")))
+
+
+SCORES = ("text_score", "metadata_score", "score")
+
+
+def _told(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
+    """Documents and views are written once, so no text is read for its features twice."""
+    work, name = Scratch(docs.sparkSession), fresh("_v", docs)
+    return judged(work.save(with_views(docs, name), "seen"), name, labels, work), name
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All rows with text_score, metadata_score, score (chances of a good document) and accepted.
+    """All rows with text_score, metadata_score, score (chances of a good document) and accepted."""
+    out, name = _told(docs, labels)
+    return out.drop(*SCORES, "accepted").select("*", f"{name}.*").drop(name)
+
 
-    Documents and views are written once, so no text is read for its features twice.
-    """
-    work = Scratch(docs.sparkSession)
-    return judged(work.save(with_views(docs.drop("text_score", "metadata_score", "score", "accepted", "_v")), "seen"), labels, work)
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The accepted rows with the input's columns as they are."""
+    out, name = _told(docs, labels)
+    return out.where(F.col(name)["accepted"]).select(*docs.columns)
 
 
 def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Scratch(spark)
     seen = work.save(with_views(table(spark, sf_dir, "documents")).select("doc_id", "_v"), "seen")
-    return judged(seen, table(spark, sf_dir, "labels"), work)
+    return judged(seen, "_v", table(spark, sf_dir, "labels"), work).select("doc_id", "_v.*")
