@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +42,25 @@ def fold_stroke(c: Column) -> Column:
     return F.translate(c, "łŁ", "lL")
 
 
+def _bases() -> tuple[str, str]:
+    """Small Latin letters with marks and, in the same places, those letters alone; then the marks."""
+    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for block in ((0xDF, 0x250), (0x1E00, 0x1F00)) for k in range(*block)]
+    pairs = [(a, b) for a, b in pairs if a == a.lower() and "a" <= b <= "z"]
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
+_MARKED, _PLAIN = _bases()
+WORD = r"[\p{L}\p{N}]+"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their diacritics."""
+    return F.translate(F.lower(text), _MARKED, _PLAIN)
+
+
 def terms(text: Column) -> Column:
-    """Lower-case words of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """The folded words, of letters and digits of all scripts."""
+    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
 def correlation_label(r: Column) -> Column:

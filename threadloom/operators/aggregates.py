@@ -17,10 +17,22 @@ def multi_count(df: DataFrame, fields: list[str]) -> DataFrame:
     return counts.select(*fields, "n", total.alias("denominator"), F.round(F.col("n") / total, 6).alias("proportion"), odd("[missing]").alias("missing_fields"), odd("unknown").alias("unknown_fields"))
 
 
+def nearest_ranks(df: DataFrame, key: str, field: str, percentiles: list[float], prefix: str = "p") -> DataFrame:
+    """A5: nearest-rank percentiles of each key, the least value at or below which that share of the values lies.
+
+    Values are counted first and their counts summed in order, so no task holds a key's values at once.
+    """
+    w = Window.partitionBy(key)
+    counts = df.where(F.col(field).isNotNull()).groupBy(key, field).agg(F.count("*").alias("_n"))
+    ranked = counts.withColumn("_to", F.sum("_n").over(w.orderBy(field).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    return ranked.groupBy(key).agg(*[F.min(F.when(F.col("_to") >= F.ceil(F.col("_all") * F.lit(p) / 100), F.col(field))).alias(f"{prefix}{p:g}") for p in percentiles])
+
+
 def metrics(df: DataFrame, key: str, field: str, percentiles: list[int]) -> DataFrame:
     """A4/A5: count, sum, mean, bounds and nearest-rank percentiles; nulls are skipped."""
-    named = [F.expr(f"percentile_disc({p / 100}) within group (order by {field})").cast("double").alias(f"p{p}_{field}") for p in percentiles]
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sum(field).cast("double").alias(f"sum_{field}"), F.round(F.avg(field), 6).alias(f"avg_{field}"), F.min(field).alias(f"min_{field}"), F.max(field).alias(f"max_{field}"), *named)
+    plain = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(field).cast("double").alias(f"sum_{field}"), F.round(F.avg(field), 6).alias(f"avg_{field}"), F.min(field).alias(f"min_{field}"), F.max(field).alias(f"max_{field}"))
+    ranks = nearest_ranks(df, key, field, percentiles).select(F.col(key).alias("_key"), *[F.col(f"p{p}").cast("double").alias(f"p{p}_{field}") for p in percentiles])
+    return plain.join(ranks, plain[key].eqNullSafe(ranks["_key"]), "left").drop("_key")
 
 
 def facets(df: DataFrame, fields: list[str]) -> DataFrame:

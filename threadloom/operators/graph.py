@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.scratch import folder
+from threadloom.scratch import written as _keep
+
 
 def roots(edges: DataFrame) -> DataFrame:
     """L1: (node, root, depth) for every node of (node, parent), parent null at a root.
@@ -15,7 +15,7 @@ def roots(edges: DataFrame) -> DataFrame:
     Each round follows all walks on and doubles the distance covered, until none moves. A walk that
     meets an unknown parent ends there; one that runs into a cycle has no root (null, as its depth).
     """
-    root = _shared(edges.sparkSession)
+    root = folder(edges.sparkSession, "graph")
     at = _keep(edges.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.lit(True).alias("moved")), f"{root}/0")
     nodes, reach, k = at.count(), 1, 0
     while True:
@@ -44,7 +44,7 @@ def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
     A walk ends where it meets an ancestor again, and after ``depth`` steps if that is given. Each
     round doubles the distance covered and is a written table.
     """
-    root = _shared(edges.sparkSession)
+    root = folder(edges.sparkSession, "graph")
     leap = edges.where("parent is not null").select("node", F.col("parent").alias("to"), F.col("branch").alias("limit"))
     out = _keep(edges.select("node", F.col("node").alias("ancestor"), F.lit(None).cast("long").alias("limit"), F.lit(0).alias("depth")).distinct(), f"{root}/0")
     reach, before, k = 1, out.count(), 0
@@ -74,6 +74,20 @@ def composed(messages: DataFrame, edges: DataFrame, depth: int | None = None) ->
     return parts.where(F.col("limit").isNull() | (F.col("position") <= F.col("limit"))).withColumnRenamed("node", "session_id").withColumnRenamed("ancestor", "from_session").drop("limit")
 
 
+def lineage_state(edges: DataFrame) -> DataFrame:
+    """(node, state, complete) of each walk up (node, parent): 'rooted', 'missing_parent' or 'cycle'; complete only where rooted."""
+    known = edges.select(F.col("node").alias("root"), F.lit(True).alias("_known"))
+    state = F.when(F.col("root").isNull(), "cycle").when(F.col("_known"), "rooted").otherwise("missing_parent")
+    return roots(edges).join(known, "root", "left").select("node", state.alias("state"), (state == "rooted").alias("complete"))
+
+
+def family(edges: DataFrame, seed) -> DataFrame:
+    """All nodes that share the seed's root, itself included; the seed alone where it has none."""
+    at = _keep(roots(edges), f"{folder(edges.sparkSession, 'graph')}/roots")
+    own = at.where(F.col("node") == seed).select(F.col("root").alias("_root"))
+    return at.join(own, at["root"] == own["_root"], "left_semi").select("node").union(edges.where(F.col("node") == seed).select("node")).distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """How many links enter and leave each node."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leaves"), F.lit(0).alias("enters")), F.struct(F.col("b").alias("node"), F.lit(0).alias("leaves"), F.lit(1).alias("enters")))).alias("x")).select("x.*")
@@ -88,29 +102,14 @@ def one_hop(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> Data
     return out if direction == "out" else into if direction == "in" else out.unionByName(into).distinct()
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/graph-{uuid.uuid4().hex}"
-
-
-def _keep(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component), the least node reachable over links (a, b) in either direction.
 
     A node takes the least label of itself and its neighbours, then that label's own; each round is
     a written table, so a lost executor costs one round at most.
     """
-    spark, root = edges.sparkSession, _shared(edges.sparkSession)
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
+    root = folder(edges.sparkSession, "graph")
+    keep = lambda df, name: _keep(df, f"{root}/{name}")
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     at = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "0")
     k, moving = 0, True
@@ -125,21 +124,32 @@ def components(edges: DataFrame) -> DataFrame:
     return at
 
 
-def simple_cycles(edges: DataFrame, depth: int = 5) -> DataFrame:
-    """Node sets of simple cycles of 2 to ``depth`` nodes; a path starts at its least node.
+def simple_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Node sets of simple cycles, of up to ``most`` nodes if that is given; a path starts at its least node.
 
-    Meant for graphs of item groups; the number of paths grows with the degree to the depth.
+    Rounds go on until no path can be made longer; each is a written table. Meant for graphs of item
+    groups, as the number of paths grows with the degree to their length; only nodes on cycles take part.
     """
-    links = edges.where("a <> b").select(F.col("a").alias("_at"), F.col("b").alias("_to")).distinct()
+    root = folder(edges.sparkSession, "cycles")
+    core = cyclic_core(edges.where("a <> b"))
+    links = _keep(core.select(F.col("a").alias("_at"), F.col("b").alias("_to")), f"{root}/links")
     paths = links.where("_to > _at").select(F.array("_at", "_to").alias("path"))
-    found = None
-    for n in range(2, depth + 1):
-        closed = paths.join(links, (F.element_at("path", -1) == F.col("_at")) & (F.col("_to") == F.element_at("path", 1))).select(F.array_sort("path").alias("members"))
-        found = closed if found is None else found.unionByName(closed)
-        if n < depth:
-            onward = paths.withColumn("_at", F.element_at("path", -1)).join(links, "_at")
-            paths = onward.where((F.col("_to") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path"))
-    return found.distinct()
+    found, n = [], 2
+    while True:
+        paths = _keep(paths, f"{root}/{n}")
+        if not paths.limit(1).count():
+            break
+        found.append(paths.join(links, (F.element_at("path", -1) == F.col("_at")) & (F.col("_to") == F.element_at("path", 1))).select(F.array_sort("path").alias("members")))
+        if n == most:
+            break
+        onward = paths.withColumn("_at", F.element_at("path", -1)).join(links, "_at")
+        paths, n = onward.where((F.col("_to") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path")), n + 1
+    if not found:
+        return links.select(F.array("_at").alias("members")).limit(0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def pairwise(ordered: DataFrame, key: str, item: str, rank: str) -> DataFrame:
@@ -148,34 +158,43 @@ def pairwise(ordered: DataFrame, key: str, item: str, rank: str) -> DataFrame:
     return a.join(b, key).where("_a < _b").select(key, "winner", "loser")
 
 
-def bradley_terry(games: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> dict:
-    """Log strength of each item from (winner, loser) rows.
+#: Pairs of items in one component of comparisons, at most: a component is one row of the iteration.
+PAIRS = 1_000_000
+
 
-    Games are summed to one row for each pair of items by Spark; the iteration is over that
-    matrix of item pairs, which is refused beyond 1,000,000 pairs.
+def bradley_terry(games: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """(item, component, games, strength) from (winner, loser) rows, strength as a logarithm.
+
+    Games are summed to one row for each pair of items and iterated for each component of items that
+    have met, components side by side; the geometric mean of a component's strengths is held at 1.
+    An item without wins keeps its strength but for that. A component of more than ``PAIRS`` pairs is refused.
     """
-    counted = games.groupBy("winner", "loser").agg(F.count("*").alias("n")).limit(1_000_001).collect()
-    if len(counted) > 1_000_000:
-        raise ValueError("too many pairs of items to rank at the driver")
-    import math
-
-    wins: dict = {}
-    met: dict = {}
-    for w, lo, n in counted:
-        wins[w] = wins.get(w, 0) + n
-        met.setdefault(w, {}), met.setdefault(lo, {})
-        met[w][lo] = met[w].get(lo, 0) + n
-        met[lo][w] = met[lo].get(w, 0) + n
-    strength = dict.fromkeys(met, 1.0)
-    for _ in range(rounds):
-        new = {i: wins[i] / sum(n / (strength[i] + strength[j]) for j, n in met[i].items()) if i in wins else strength[i] for i in met}
-        scale = math.exp(sum(map(math.log, new.values())) / len(new)) if new else 1.0
-        new = {i: x / scale for i, x in new.items()}
-        done = all(abs(new[i] - strength[i]) < tolerance for i in new)
-        strength = new
-        if done:
-            break
-    return {i: math.log(x) for i, x in sorted(strength.items())}
+    root = folder(games.sparkSession, "strength")
+    pairs = _keep(games.where("winner <> loser").groupBy("winner", "loser").agg(F.count("*").alias("n")), f"{root}/pairs")
+    label = _keep(components(pairs.select(F.col("winner").alias("a"), F.col("loser").alias("b"))), f"{root}/labels")
+    both = pairs.select(F.col("winner").alias("node"), F.col("loser").alias("other"), F.col("n").alias("wins"), "n").unionByName(pairs.select(F.col("loser").alias("node"), F.col("winner").alias("other"), F.lit(0).cast("long").alias("wins"), "n"))
+    met = both.groupBy("node", "other").agg(F.sum("wins").alias("wins"), F.sum("n").alias("n")).join(label, "node")
+    if met.groupBy("component").count().where(F.col("count") > 2 * PAIRS).limit(1).count():
+        raise ValueError("too many pairs of items in one component")
+    place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
+    placed = label.withColumn("at", place)
+    named = met.join(placed.select(F.col("node").alias("other"), F.col("at").alias("of")), "other")
+    item = named.groupBy("component", "node").agg(F.sum("wins").alias("wins"), F.sum("n").alias("games"), F.collect_list(F.struct("of", "n")).alias("met")).join(placed, ["component", "node"])
+    group = item.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "node", "wins", "games", "met"))).alias("items"))
+    new = """transform(items, i -> IF(i.wins = 0, st.s[i.at], i.wins / aggregate(i.met, 0D, (t, m) -> t + m.n / (st.s[i.at] + st.s[m.of]))))"""
+    scaled = f"transform(array({new}), r -> transform(r, x -> x / exp(aggregate(r, 0D, (t, y) -> t + ln(y)) / size(r))))[0]"
+    step = f"transform(array({scaled}), r -> named_struct('s', r, 'done', forall(sequence(0, size(r) - 1), k -> abs(r[k] - st.s[k]) < {tolerance}D)))[0]"
+    last = F.expr(f"aggregate(sequence(1, {rounds}), named_struct('s', transform(items, i -> 1D), 'done', false), (st, k) -> IF(st.done, st, {step}))")
+    out = group.select("component", "items", last["s"].alias("s")).select("component", "s", F.explode("items").alias("i"))
+    return out.select(F.col("i.node").alias("item"), "component", F.col("i.games").alias("games"), F.log(F.expr("s[i.at]")).alias("strength"))
+
+
+def ranker_fit(games: DataFrame, ties: DataFrame) -> DataFrame:
+    """Items with component, strength, observations and ties, and a total rank by (component, strength down, item)."""
+    tied = ties.select(F.explode(F.array("winner", "loser")).alias("item")).groupBy("item").agg(F.count("*").alias("ties"))
+    fit = bradley_terry(games).join(tied, "item", "full").select("item", "component", F.coalesce("games", F.lit(0)).alias("games"), F.coalesce("ties", F.lit(0)).alias("ties"), "strength")
+    order = Window.orderBy(F.col("component").asc_nulls_last(), F.desc("strength"), "item")  # items, not sessions
+    return fit.withColumn("rank", F.row_number().over(order)).withColumn("n_observations", F.col("games") + F.col("ties"))
 
 
 def edge_kind(branch: Column, missing: str = "unknown") -> Column:
@@ -194,11 +213,10 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 
     Each round is written in the shared folder; there are as many rounds as the longest tail is long.
     """
-    spark, root = edges.sparkSession, _shared(edges.sparkSession)
+    root = folder(edges.sparkSession, "graph")
     left, before, k = edges.select("a", "b").distinct(), -1, 0
     while True:
-        left.write.parquet(f"{root}/core-{k}")
-        left = spark.read.schema(left.schema).parquet(f"{root}/core-{k}")
+        left = _keep(left, f"{root}/core-{k}")
         now = left.count()
         if now in (0, before):
             return left

@@ -2,27 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.scalars import terms
+from threadloom.functions.scalars import WORD, folded, terms
+from threadloom.scratch import folder, written
 
 K1, B = 1.2, 0.75
+#: Parts of an inverted index; a term's postings lie in one, sorted by term.
+BUCKETS = 64
+_ALONE = r"(?<![\p{L}\p{N}])%s(?![\p{L}\p{N}])"
 
 
-def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str]) -> DataFrame:
-    """Scores of documents with some query term (larger is better); counts are taken over all documents."""
-    lengths = docs.select(doc_id, terms(F.col(text)).alias("_terms")).withColumn("_dl", F.size("_terms"))
-    counts = [(F.size("_terms") - F.size(F.array_remove("_terms", q))).alias(f"_{k}") for k, q in enumerate(query)]
-    rows = lengths.select(doc_id, "_dl", *counts)
-    stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_{k}") > 0).alias(f"_df{k}") for k in range(len(query))])
-    joined = rows.where(" or ".join(f"_{k} > 0" for k in range(len(query)))).join(F.broadcast(stats))  # one row
+def _scores(rows: DataFrame, stats: DataFrame, keep: list[str], query: list[str]) -> DataFrame:
+    """BM25 from each row's length _dl and counts _0, _1, … and one row of _n, _avg and document counts."""
 
     def part(k: int):
         idf = F.log(1 + (F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
         return idf * F.col(f"_{k}") * (K1 + 1) / (F.col(f"_{k}") + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
 
-    return joined.select(doc_id, F.round(sum(part(k) for k in range(len(query))), 6).alias("score"))
+    hits = rows.where(" or ".join(f"_{k} > 0" for k in range(len(query)))).join(F.broadcast(stats))  # one row
+    return hits.select(*keep, F.round(sum(part(k) for k in range(len(query))), 6).alias("score"))
+
+
+def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str], keep: list[str] = ()) -> DataFrame:
+    """Scores of documents with some query term (larger is better); counts are taken over all documents.
+
+    Texts are read once: lengths and the query's counts, a narrow row for each document, are written.
+    For many searches of one table see ``write_index``.
+    """
+    keep = [doc_id, *keep]
+    plain = docs.select(*keep, folded(F.col(text)).alias("_text"))
+    counts = [F.when(F.contains("_text", F.lit(q)), F.regexp_count("_text", F.lit(_ALONE % re.escape(q)))).otherwise(0).alias(f"_{k}") for k, q in enumerate(query)]
+    rows = written(plain.select(*keep, F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).alias("_dl"), *counts), f"{folder(docs.sparkSession, 'bm25')}/counts")
+    stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_{k}") > 0).alias(f"_df{k}") for k in range(len(query))])
+    return _scores(rows, stats, keep, query)
+
+
+def write_index(docs: DataFrame, doc_id: str, text: str, path: str) -> None:
+    """An inverted index: postings (term, doc, tf, dl, places), in parts by term and sorted, and the documents' lengths.
+
+    A search then reads the parts and row groups of its terms alone. Places serve phrases.
+    """
+    numbered = docs.select(F.col(doc_id).alias("doc"), terms(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
+    numbered.select("doc", F.when(F.col("dl") < 0, 0).otherwise(F.col("dl")).alias("dl")).write.parquet(f"{path}/lengths")
+    long = numbered.select("doc", "dl", F.posexplode("_t").alias("at", "term"))
+    postings = long.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("places"))
+    parted = postings.withColumn("part", F.pmod(F.hash("term"), F.lit(BUCKETS)))
+    # A frequent term's rows are dealt over several tasks by document.
+    dealt = parted.repartition("part", F.pmod(F.hash("doc"), F.lit(8)))
+    dealt.sortWithinPartitions("part", "term", "doc").write.partitionBy("part").parquet(f"{path}/postings")
+
+
+def _postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("term"))
+    parts = [r.p for r in asked.select(F.pmod(F.hash("term"), F.lit(BUCKETS)).alias("p")).distinct().collect()]  # one for each query word at most
+    return spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts) & F.col("term").isin(words))
+
+
+def search_index(spark: SparkSession, path: str, query: list[str]) -> DataFrame:
+    """(doc, score) as ``bm25`` gives them, from an index."""
+    counts = [F.coalesce(F.max(F.when(F.col("term") == q, F.col("tf"))), F.lit(0)).alias(f"_{k}") for k, q in enumerate(query)]
+    rows = _postings(spark, path, query).groupBy("doc").agg(F.first("dl").alias("_dl"), *counts)
+    whole = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"))
+    held = rows.agg(*[F.count_if(F.col(f"_{k}") > 0).alias(f"_df{k}") for k in range(len(query))])
+    return _scores(rows, whole.join(held), ["doc"], query)
+
+
+def boolean(spark: SparkSession, path: str, every: list[str] = (), some: list[str] = (), none: list[str] = ()) -> DataFrame:
+    """Documents of an index that hold every word of one list, some of another and none of a third."""
+    found = _postings(spark, path, [*every, *some, *none]).groupBy("doc").agg(F.collect_set("term").alias("_t"))  # query words only
+    has = [F.array_contains("_t", w) for w in every]
+    if some:
+        has.append(F.arrays_overlap("_t", F.array(*map(F.lit, some))))
+    has += [~F.array_contains("_t", w) for w in none]
+    if every or some:
+        for one in has:
+            found = found.where(one)
+        return found.select("doc")
+    barred = found.where(F.arrays_overlap("_t", F.array(*map(F.lit, none)))).select("doc") if none else None
+    every_doc = spark.read.parquet(f"{path}/lengths").select("doc")
+    return every_doc if barred is None else every_doc.join(barred, "doc", "left_anti")
+
+
+def phrase_in_index(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    """Documents of an index in which the words stand next to each other, by their places."""
+    here = _postings(spark, path, words).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_m"))
+    back = lambda k: lambda place: place - k
+    at = [F.transform(F.coalesce(F.col("_m")[w], F.array().cast("array<int>")), back(k)) for k, w in enumerate(words)]
+    both = at[0]
+    for more in at[1:]:
+        both = F.array_intersect(both, more)
+    return here.where(F.size(both) > 0).select("doc")
+
+
+def best_blocks(blocks: DataFrame, session: str, block: str, text: str, at: str, query: list[str]) -> DataFrame:
+    """Each session's best block by BM25 over blocks (score, then the later, then the smaller block), in that order of sessions."""
+    scored = bm25(blocks, block, text, query, [session, at])
+    place = F.row_number().over(Window.partitionBy(session).orderBy(F.desc("score"), F.desc(at), block))
+    return scored.withColumn("_r", place).where("_r = 1").drop("_r")
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -60,12 +140,15 @@ def overlap(docs: DataFrame, doc_id: str, text: str, seed: str, least: float) ->
 
 def phrase(text: Column, words: list[str], prefix: bool = False) -> Column:
     """The words stand next to each other; with ``prefix`` the last may go on."""
-    return F.rlike(F.lower(text), F.lit("(^|[^a-z0-9])" + "[^a-z0-9]+".join(w.lower() for w in words) + ("" if prefix else "([^a-z0-9]|$)")))
+    inner = r"[^\p{L}\p{N}]+".join(re.escape(w.lower()) for w in words)
+    return F.rlike(folded(text), F.lit(r"(^|[^\p{L}\p{N}])" + inner + ("" if prefix else r"([^\p{L}\p{N}]|$)")))
 
 
 def snippet(text: Column, word: str, before: int = 6, after: int = 17) -> Column:
-    """The first hit with its neighbours, 24 words by default."""
-    return F.regexp_extract(F.lower(text), f"(?:[a-z0-9]+[^a-z0-9]+){{0,{before}}}(?:{word})(?:[^a-z0-9]+[a-z0-9]+){{0,{after}}}", 0)
+    """The first hit with its neighbours, 24 words by default; each hit in it stands in brackets."""
+    one, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+    cut = F.regexp_extract(folded(text), f"(?:{one}{gap}){{0,{before}}}(?<![\\p{{L}}\\p{{N}}])(?:{word})(?![\\p{{L}}\\p{{N}}])(?:{gap}{one}){{0,{after}}}", 0)
+    return F.regexp_replace(cut, _ALONE % word, f"[{word}]")
 
 
 def plain_score(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:

@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.scratch import folder, written
 
-def flattened(df: DataFrame, key: str, json: str, depth: int = 4) -> DataFrame:
-    """(key, path, value) for each value of the JSON text, to the given depth; broken text gives no rows."""
-    level = df.select(key, F.lit("$").alias("path"), F.expr(f"try_parse_json({json})").alias("_v")).where("_v is not null")
-    out = None
-    for _ in range(depth):
+
+def flattened(df: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
+    """(key, path, type, value) for each value of the JSON text, to any depth unless one is given; broken text gives no rows.
+
+    Each round opens the objects and arrays of the one before, which is a written table, until none is left.
+    """
+    root, n = folder(df.sparkSession, "flattened"), 0
+    level, found = df.select(key, F.lit("$").alias("path"), F.expr(f"try_parse_json({json})").alias("_v")).where("_v is not null"), []
+    while not found or ((depth is None or n < depth) and found[-1].where("type rlike '^(OBJECT|ARRAY)'").limit(1).count()):
         inner = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()).toDF("pos", "key_", "value_"))
         level = inner.select(key, F.concat("path", F.coalesce(F.concat(F.lit("."), "key_"), F.lit("[]"))).alias("path"), F.col("value_").alias("_v"))
-        out = level if out is None else out.unionByName(level)
-    return out.select(key, "path", F.expr("schema_of_variant(_v)").alias("type"), F.expr("cast(_v as string)").alias("value"))
+        n += 1
+        found.append(written(level.select(key, "path", F.expr("schema_of_variant(_v)").alias("type"), F.expr("cast(_v as string)").alias("value")), f"{root}/{n}"))
+        level = found[-1].where("type rlike '^(OBJECT|ARRAY)'").select(key, "path", F.expr("parse_json(value)").alias("_v"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def path_stats(flat: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
@@ -39,6 +39,66 @@ def context_snapshots(sessions: DataFrame) -> DataFrame:
     return sessions.select(F.concat_ws(":", F.lit("context-snapshot"), F.col("session_id").cast("string"), kind).alias("snapshot_ref"), "session_id", F.concat(F.lit("run:"), F.col("session_id").cast("string")).alias("run_ref"), kind.alias("boundary"))
 
 
+def handler_kind(tool: Column, command: Column, semantic: Column) -> Column:
+    """What ran a call: an MCP server by the tool's name, else a shell if there is a command, else its own kind."""
+    return F.when(F.lower(tool).startswith("mcp__"), "mcp").when(F.coalesce(command, F.lit("")) != "", "shell").otherwise(F.coalesce(F.nullif(semantic, F.lit("")), F.lit("tool_use")))
+
+
+def observed_events(sessions: DataFrame, uses: DataFrame, results: DataFrame) -> DataFrame:
+    """A start for each session and an event for each use and result of one (session_id, tool_id); several of either multiply.
+
+    sessions: (session_id, at) rows, of which the earliest counts; uses: (session_id, tool_id, handler);
+    results: (session_id, tool_id, at, is_error) with exit_code if there is such a column, which wins.
+    """
+    none = F.lit(None).cast("string")
+    started = sessions.groupBy("session_id").agg(F.min("at").alias("at")).select("session_id", F.lit("session_started").alias("kind"), "at", none.alias("handler"), none.alias("status"))
+    status = F.when(F.col("is_error") == 1, "failed").when(F.col("is_error") == 0, "ok").otherwise("unknown")
+    if "exit_code" in results.columns:
+        status = F.when(F.col("exit_code").isNotNull(), F.when(F.col("exit_code") == 0, "ok").otherwise("failed")).otherwise(status)
+    named = uses.where(F.coalesce(F.col("tool_id"), F.lit("")) != "")
+    met = named.join(results, ["session_id", "tool_id"])
+    return started.unionByName(met.select("session_id", F.lit("tool_finished").alias("kind"), "at", "handler", status.alias("status")))
+
+
+def blocks(messages: DataFrame) -> DataFrame:
+    """The parts of each message's text as rows, prose and fenced code by turns; blank parts are none.
+
+    messages: (session_id, position, role, text). An open fence reaches to the end. ``language`` is the
+    fence's own word; a tool's message is of kind ``tool_result`` as a whole.
+    """
+    parts = F.when(F.col("role") == "tool", F.array("text")).otherwise(F.split("text", "```"))
+    cut = messages.select("session_id", "position", "role", F.posexplode(parts).alias("part", "raw"))
+    code = F.col("part") % 2 == 1
+    kind = F.when(F.col("role") == "tool", "tool_result").when(code, "code").otherwise("text")
+    language = F.when(code, F.nullif(F.lower(F.regexp_extract("raw", r"\A([A-Za-z0-9_+#.-]+)[ \t]*\n", 1)), F.lit("")))
+    text = F.when(code, F.regexp_replace("raw", r"\A[A-Za-z0-9_+#.-]*[ \t]*\n", "")).otherwise(F.col("raw"))
+    return cut.select("session_id", "position", F.col("part").alias("block"), "role", kind.alias("kind"), language.alias("language"), text.alias("text")).where(F.rlike("text", F.lit(r"\S")))
+
+
+def projected(blocks: DataFrame, kinds: list[str]) -> DataFrame:
+    """Each message's text of blocks of these kinds, in order, joined by line ends, and how many blocks were left out."""
+    keep = F.col("kind").isin(kinds)
+    parts = F.array_sort(F.collect_list(F.when(keep, F.struct("block", "text"))))
+    return blocks.groupBy("session_id", "position").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.count_if(~keep).alias("omitted"))
+
+
+def attached(parents: DataFrame, children: DataFrame, key: str, fields: list[str], order: str, first: int | None = None, last: int | None = None, most: int = 200, text: str | None = None, cut: int = 2000) -> DataFrame:
+    """Each parent with its child rows as a list, in order: the first or last so many, ``most`` at most.
+
+    ``total`` counts all children and ``truncated`` says whether some are left out. Of a text column,
+    the first ``cut`` characters are kept and ``<name>_truncated_chars`` says how many are not.
+    """
+    shown = children
+    if text is not None:
+        shown = shown.withColumn(f"{text}_truncated_chars", F.greatest(F.length(text) - cut, F.lit(0))).withColumn(text, F.substring(text, 1, cut))
+        fields = [*fields, f"{text}_truncated_chars"]
+    n = min(most, first if first is not None else last if last is not None else most)
+    by = F.desc(order) if last is not None and first is None else F.col(order)
+    numbered = shown.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(by))).withColumn("_all", F.count("*").over(Window.partitionBy(key)))
+    lists = numbered.where(F.col("_r") <= n).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias("attached"), F.first("_all").alias("total"))
+    return parents.join(lists, key, "left").withColumn("total", F.coalesce("total", F.lit(0))).withColumn("truncated", F.col("total") > F.coalesce(F.array_size("attached"), F.lit(0)))
+
+
 def delegations(dispatches: DataFrame, links: DataFrame, children: DataFrame) -> DataFrame:
     """Each dispatch (action_id, …) with its child, if a link (action_id, child_id) names one and the child (child_id, …) is here."""
     known = children.withColumn("_here", F.lit(True))

@@ -43,23 +43,22 @@ def in_sequence(df: DataFrame, key: str, order: Column, steps: list[Column], edg
     """Q2: keys whose rows meet the steps in order; all candidates are followed, not the first only.
 
     edge: 'ordered' (later), 'next' (the row right after), 'within' (later, at most so many ms).
-    A session's rows are folded once; what is kept for a step is the places (or times) that reach it.
+    All steps look at one ordering of a key's rows, so these are shuffled and sorted once: a row
+    reaches a step if it meets it and some row before it reaches the step before.
     """
     w = Window.partitionBy(key).orderBy(order)
-    placed = df.withColumn("_at", F.row_number().over(w)).withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    current = placed.where(steps[0]).select(key, "_at", "_ms")
-    for step in steps[1:]:
-        if edge == "ordered":
-            current = current.groupBy(key).agg(F.min("_at").alias("_from"))
-            current = placed.where(step).join(current, key).where(F.col("_at") > F.col("_from")).select(key, "_at", "_ms")
-        elif edge == "next":
-            current = placed.where(step).join(current.select(key, (F.col("_at") + 1).alias("_at")), [key, "_at"], "left_semi").select(key, "_at", "_ms")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("_0", steps[0])
+    for k, step in enumerate(steps[1:]):
+        had = F.col(f"_{k}")
+        if edge == "next":
+            reached = F.lag(had).over(w)
+        elif edge == "within":
+            reached = (F.col("_ms") - F.max(F.when(had, F.col("_ms"))).over(before)).between(0, within_ms)
         else:
-            reach = current.select(key, F.lit(0).alias("_step"), "_at", "_ms").unionByName(placed.where(step).select(key, F.lit(1).alias("_step"), "_at", "_ms"))
-            before = Window.partitionBy(key).orderBy("_at", F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)
-            last = F.max(F.when(F.col("_step") == 0, F.col("_ms"))).over(before)
-            current = reach.withColumn("_last", last).where((F.col("_step") == 1) & (F.col("_ms") - F.col("_last")).between(0, within_ms)).select(key, "_at", "_ms")
-    return current.select(key).distinct()
+            reached = F.max(had).over(before)
+        rows = rows.withColumn(f"_{k + 1}", step & F.coalesce(reached, F.lit(False)))
+    return rows.where(f"_{len(steps) - 1}").select(key).distinct()
 
 
 def first_last(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -108,9 +107,9 @@ def transitions(df: DataFrame, key: str, order: list[str], label: str) -> DataFr
 
 
 def next_where(df: DataFrame, key: str, order: list[str], wanted: Column, value: str, out: str) -> DataFrame:
-    """For each row, the value of the next row of its key that meets a condition."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(out, F.first(F.when(wanted, F.struct(value)), ignorenulls=True).over(w)[value])
+    """For each row, the value of the next row of its key that meets a condition; a running value over the order turned round."""
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.last(F.when(wanted, F.struct(value)), ignorenulls=True).over(w)[value])
 
 
 def within_budget(df: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:

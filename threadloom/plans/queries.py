@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import correlation_label, week_key
-from threadloom.operators import aggregates, filters, graph, search, windows
+from threadloom.operators import aggregates, filters, graph, search, units, windows
 from threadloom.plans.registry import query
 from threadloom.tables import actions, messages, read
 
@@ -81,10 +81,12 @@ def action_pairing(spark, d):
     return pairs.select("session_id", "event_id", "result_event_id", F.when(F.col("found"), "outcome_error").otherwise("no_result").alias("result_state"))
 
 
-@query("SELECT user_id AS session_id, 'session_started' AS kind, min(ts) AS at FROM events GROUP BY 1 UNION ALL SELECT user_id, 'tool_finished', ts FROM events WHERE event_type='error'")
+@query("""SELECT user_id AS session_id, 'session_started' AS kind, min(ts) AS at, CAST(NULL AS VARCHAR) AS handler, CAST(NULL AS VARCHAR) AS status FROM events GROUP BY 1
+UNION ALL SELECT r.user_id, 'tool_finished', r.ts, u.event_type, CASE WHEN r.event_type='error' THEN 'failed' ELSE 'ok' END FROM events r JOIN events u ON u.user_id=r.user_id AND u.props=r.props AND u.event_type='click' WHERE r.event_type IN ('error', 'purchase')""")
 def observed_union(spark, d):
     a = actions(spark, d)
-    return a.groupBy("session_id").agg(F.min("ts").alias("at")).select("session_id", F.lit("session_started").alias("kind"), "at").unionByName(a.where("kind = 'error'").select("session_id", F.lit("tool_finished").alias("kind"), F.col("ts").alias("at")))
+    uses = a.where("kind = 'click'").select("session_id", "tool_id", F.col("kind").alias("handler"))
+    return units.observed_events(a.select("session_id", F.col("ts").alias("at")), uses, a.where("kind in ('error', 'purchase')").select("session_id", "tool_id", F.col("ts").alias("at"), "is_error"))
 
 
 @query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN abs(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 21600000000 THEN 1 ELSE 0 END n FROM events),
@@ -98,7 +100,8 @@ def phases_gap(spark, d):
 SELECT user_id AS session_id, count(*) AS n, round(quantile_disc(g, 0.5), 3) AS p50, round(quantile_disc(g, 0.95), 3) AS p95 FROM g WHERE g > 0 GROUP BY 1""")
 def gap_percentiles(spark, d):
     g = windows.gaps(actions(spark, d), "session_id", "ts", ["ts", "event_id"])
-    return g.groupBy("session_id").agg(F.count("*").alias("n"), F.expr("round(percentile_disc(0.5) within group (order by gap_s), 3)").alias("p50"), F.expr("round(percentile_disc(0.95) within group (order by gap_s), 3)").alias("p95"))
+    ranks = aggregates.nearest_ranks(g, "session_id", "gap_s", [50, 95]).select("session_id", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"))
+    return g.groupBy("session_id").agg(F.count("*").alias("n")).join(ranks, "session_id")
 
 
 @query("""WITH r AS (SELECT user_id, event_type='error' f, sum(CASE WHEN event_type='error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) g FROM events)
@@ -137,7 +140,9 @@ def knn_topk(spark, d):
     return search.nearest(read(spark, d, "embeddings"), SEED, 10)
 
 
-BM25 = """(WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w FROM documents), c AS (SELECT doc_id, len(w) dl, len(list_filter(w, lambda x: x='license')) a, len(list_filter(w, lambda x: x='version')) b FROM t),
+TERMS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"  # words of letters and digits, without diacritics
+
+BM25 = f"""(WITH t AS (SELECT doc_id, {TERMS} w FROM documents), c AS (SELECT doc_id, len(w) dl, len(list_filter(w, lambda x: x='license')) a, len(list_filter(w, lambda x: x='version')) b FROM t),
 s AS (SELECT count(*) n, avg(dl) av, count(*) FILTER (a>0) da, count(*) FILTER (b>0) db FROM c)
 SELECT doc_id, round(ln(1+(n-da+0.5)/(da+0.5))*a*2.2/(a+1.2*(0.25+0.75*dl/av)) + ln(1+(n-db+0.5)/(db+0.5))*b*2.2/(b+1.2*(0.25+0.75*dl/av)), 6) AS score FROM c, s WHERE a>0 OR b>0)"""
 
@@ -157,7 +162,7 @@ def rrf_hybrid(spark, d):
 OVER = "the of and in to that is was by with from this for on are"
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) a, list_distinct(string_split('{OVER}', ' ')) b FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, list_distinct({TERMS}) a, list_distinct(string_split('{OVER}', ' ')) b FROM documents)
 SELECT doc_id, round(len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 6) AS score FROM t WHERE len(a) > 0 AND round(len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 6) >= 0.12""")
 def token_overlap(spark, d):
     return search.overlap(read(spark, d, "documents"), "doc_id", "text", OVER, 0.12)

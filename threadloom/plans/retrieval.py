@@ -6,22 +6,54 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
 from threadloom.operators import search
-from threadloom.plans.queries import BM25
+from threadloom.plans.queries import BM25, TERMS
 from threadloom.plans.registry import query
+from threadloom.scratch import folder
 from threadloom.tables import messages, read, sessions
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])all[^a-z0-9]+rights[^a-z0-9]+reserv')")
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}])all[^\p{L}\p{N}]+rights[^\p{L}\p{N}]+reserv')")
 def phrase_prefix_match(spark, d):
     return read(spark, d, "documents").where(search.phrase(F.col("text"), ["all", "rights", "reserv"], prefix=True)).select("doc_id")
 
 
-@query("SELECT doc_id, regexp_extract(lower(text), '(?:[a-z0-9]+[^a-z0-9]+){0,6}(?:license)(?:[^a-z0-9]+[a-z0-9]+){0,17}', 0) AS snippet FROM documents WHERE contains(lower(text), 'license')")
+@query(r"""SELECT doc_id, regexp_replace(regexp_extract(strip_accents(lower(text)), '(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){0,6}\blicense\b(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+){0,17}', 0), '\blicense\b', '[license]', 'g') AS snippet
+FROM documents WHERE contains(lower(text), 'license')""")
 def snippets(spark, d):
     hits = read(spark, d, "documents").where(F.contains(F.lower("text"), F.lit("license")))
     return hits.select("doc_id", search.snippet(F.col("text"), "license").alias("snippet"))
 
 
+def _index(spark, d):
+    path = f"{folder(spark, 'index')}/documents"
+    search.write_index(read(spark, d, "documents"), "doc_id", "text", path)
+    return path
+
+
+@query(f"SELECT doc_id, score FROM {BM25} ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_from_index(spark, d):
+    found = search.search_index(spark, _index(spark, d), ["license", "version"])
+    return found.select(F.col("doc").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"WITH t AS (SELECT doc_id, {TERMS} w FROM documents) SELECT doc_id FROM t WHERE list_contains(w, 'license') AND (list_contains(w, 'version') OR list_contains(w, 'public')) AND NOT list_contains(w, 'mit')")
+def boolean_terms(spark, d):
+    return search.boolean(spark, _index(spark, d), ["license"], ["version", "public"], ["mit"]).select(F.col("doc").alias("doc_id"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {TERMS} w FROM documents) SELECT doc_id FROM t WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' general public license ')")
+def phrase_from_index(spark, d):
+    return search.phrase_in_index(spark, _index(spark, d), ["general", "public", "license"]).select(F.col("doc").alias("doc_id"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {TERMS} w FROM conversations), c AS (SELECT conv_id, turn, len(w) dl, len(list_filter(w, lambda x: x='the')) a, len(list_filter(w, lambda x: x='que')) b FROM t),
+s AS (SELECT count(*) n, avg(dl) av, count(*) FILTER (a>0) da, count(*) FILTER (b>0) db FROM c),
+h AS (SELECT conv_id, turn, round(ln(1+(n-da+0.5)/(da+0.5))*a*2.2/(a+1.2*(0.25+0.75*dl/av)) + ln(1+(n-db+0.5)/(db+0.5))*b*2.2/(b+1.2*(0.25+0.75*dl/av)), 6) AS score FROM c, s WHERE a>0 OR b>0)
+SELECT conv_id AS session_id, turn AS position, score FROM h QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn DESC) = 1""")
+def bm25_best_per_session(spark, d):
+    return search.best_blocks(messages(spark, d).withColumn("block", F.concat_ws("-", "session_id", "position")), "session_id", "block", "text", "position", ["the", "que"]).select("session_id", "position", "score")
+
+
 @query("""WITH s AS (SELECT conv_id, CASE WHEN contains(lower(text), 'and the') THEN 22 ELSE 0 END + CASE WHEN contains(lower(text), 'and') THEN 4 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 4 ELSE 0 END s FROM conversations)
 SELECT conv_id AS session_id, CAST(max(s) + least(count(*)-1, 5) AS BIGINT) AS score FROM s WHERE s > 0 GROUP BY 1""")
 def plain_scores(spark, d):
