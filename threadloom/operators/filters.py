@@ -30,8 +30,12 @@ def time_or_unknown(c: Column, condition: Column) -> Column:
     return c.isNull() | condition
 
 
-def session_filter(*, origins: list[str] | None = None, exclude_origins: list[str] | None = None, since=None, until=None, title: str | None = None, id_prefix: str | None = None, at_least: dict | None = None, at_most: dict | None = None, tags: list[str] | None = None, exclude_tags: list[str] | None = None, top_level: bool | None = None) -> Column:
-    """One condition of all that are given; rows without a time fail time bounds."""
+def session_filter(*, origins: list[str] | None = None, exclude_origins: list[str] | None = None, since=None, until=None, title: str | None = None, id_prefix: str | None = None, at_least: dict | None = None, at_most: dict | None = None, tags: list[str] | None = None, exclude_tags: list[str] | None = None, top_level: bool | None = None, repos: list[str] | None = None, projects: list[str] | None = None, continuation: bool | None = None, sidechain: bool | None = None, branches: bool | None = None) -> Column:
+    """One condition of all that are given; rows without a time fail time bounds.
+
+    F14: any of the repositories; F15: any of the project names, aliases among them; F20 and F22 are
+    given, refused or left open, and a session of no known kind is neither a continuation nor a sidechain.
+    """
     parts = [F.lit(True)]
     if origins:
         parts.append(F.col("origin").isin(origins))
@@ -52,9 +56,25 @@ def session_filter(*, origins: list[str] | None = None, exclude_origins: list[st
         parts.append(~F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, exclude_tags))), F.lit(False)))
     if top_level is not None:
         parts.append(F.col("parent_session_id").isNull() if top_level else F.col("parent_session_id").isNotNull())
+    if repos:
+        parts.append(F.coalesce(F.arrays_overlap("repos", F.array(*map(F.lit, repos))), F.lit(False)))
+    if projects:
+        parts.append(F.col("project").isin(projects))
+    for kind, wanted in (("continuation", continuation), ("sidechain", sidechain)):
+        if wanted is not None:
+            is_kind = F.coalesce(F.col("branch") == kind, F.lit(False))
+            parts.append(is_kind if wanted else ~is_kind)
+    if branches is not None:
+        parts.append(F.col("has_branches") if branches else ~F.coalesce("has_branches", F.lit(False)))
     return reduce(lambda a, b: a & b, parts)
 
 
+def with_branches(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """sessions with ``has_branches``: whether some message has two or more replies."""
+    many = messages.where("parent_id is not null").groupBy("session_id", "parent_id").agg(F.count("*").alias("_n")).where("_n > 1").select("session_id").distinct()
+    return sessions.join(many.withColumn("_b", F.lit(True)), "session_id", "left").withColumn("has_branches", F.coalesce("_b", F.lit(False))).drop("_b")
+
+
 def page(sessions: DataFrame, offset: int, limit: int) -> DataFrame:
     """A page of the list, newest first, rows without a time last, ties to the larger id."""
     return sessions.orderBy(F.desc_nulls_last("sort_key"), F.desc("session_id")).offset(offset).limit(limit)

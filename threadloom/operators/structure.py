@@ -50,3 +50,27 @@ def log_buckets(df: DataFrame, key: str, value: str, base: float = 1.1) -> DataF
     """H2: counts of positive values by logarithmic bucket; zero and negative ones share bucket null."""
     bucket = F.when(F.col(value) > 0, F.floor(F.log(F.col(value)) / F.log(F.lit(base)) + 1e-9).cast("long"))
     return df.where(F.col(value).isNotNull()).groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def collapsed(flat: DataFrame, most: int = 50) -> DataFrame:
+    """H5: paths whose keys are data and not names become one: a key that is a number, a hash or a UUID, or one of more than ``most`` beside each other, is ``*``."""
+    parts = flat.withColumn("parent", F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)).withColumn("key", F.regexp_extract("path", r"([^.]*)$", 1))
+    wide = parts.groupBy("parent").agg(F.count_distinct("key").alias("_keys"))
+    is_id = F.rlike("key", F.lit(r"^([0-9]+|[0-9a-f]{16,}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"))
+    named = parts.join(wide, "parent").withColumn("path", F.when(is_id | (F.col("_keys") > most), F.concat("parent", F.lit(".*"))).otherwise(F.col("path")))
+    return named.select(*flat.columns)
+
+
+def relations(flat: DataFrame, least: float = 0.95, values: int = 20) -> DataFrame:
+    """H8: (child, parent, shared): paths whose values lie in another's, of at least so many different values and such a share of them.
+
+    Different values meet once for each two paths that hold them, so the pairs grow with the paths, which
+    are few, and not with the rows.
+    """
+    seen = flat.where(F.col("value").isNotNull()).select("path", "value").distinct()
+    sizes = seen.groupBy("path").agg(F.count("*").alias("_n")).where(F.col("_n") >= values)
+    kept = seen.join(sizes, "path")
+    lists = kept.groupBy("value").agg(F.collect_list(F.struct("path", "_n")).alias("_p")).where(F.size("_p") > 1)
+    pair = lists.select(F.explode("_p").alias("c"), "_p").select("c", F.explode("_p").alias("p")).where("c.path <> p.path")
+    met = pair.groupBy(F.col("c.path").alias("child"), F.col("p.path").alias("parent"), F.col("c._n").alias("_c"), F.col("p._n").alias("_p")).agg(F.count("*").alias("shared"))
+    return met.where((F.col("shared") >= F.col("_c") * least) & (F.col("_c") <= F.col("_p"))).select("child", "parent", "shared")
