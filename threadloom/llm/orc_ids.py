@@ -1,9 +1,10 @@
 """Operator 9: token ids in ORC files.
 
-Documents are encoded, their ids range-partitioned and sorted by document, and written by Spark's
-ORC writer: integer run-length encoding for the ids, row indexes at a fixed stride, and Bloom filters
-on doc_id. Stripes are the unit of parallel reads; filters on doc_id skip files, stripes and row
-groups from metadata alone. Ids are what is shuffled, at two bytes each, not texts.
+Documents are range-partitioned and sorted by id, encoded, and written by Spark's ORC writer:
+integer run-length encoding for the ids, row indexes at a fixed stride, and Bloom filters on
+doc_id. Stripes are the unit of parallel reads; filters on doc_id skip files, stripes and row
+groups from metadata alone. Texts are what is shuffled: encoding first and sorting ids moves about as
+many bytes, as ids compress less, and must write them once more.
 
 Cases: null or empty text is the end id alone; a null doc_id sorts first; equal ids are ordered by
 text hash and place in the input; an empty table gives no rows; other columns are ignored.
@@ -30,29 +31,21 @@ ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.f
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Writes the files: one for each range of doc_id, rows ascending."""
-    vocabulary, work = vocabulary or tokens.default_vocabulary(), Scratch(docs.sparkSession)
+    vocabulary = vocabulary or tokens.default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(vocabulary)
+        enc, part, at = tokens.encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
             ids = [x + END.to_bytes(2, "little") for x in enc.encode(texts(batch))]
-            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in ("doc_id", "_hash", "_in")], pa.array(ids, pa.binary())], names=["doc_id", "_hash", "_in", "ids"])
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "ids"):
-            raw = column(batch, "ids").to_pylist()
-            n = np.array([len(x) // 2 for x in raw], dtype=np.int64)
+            n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
             ends = np.cumsum(n)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<u2").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), ids], schema=FILE)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u2").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), lists], schema=FILE)
             at += int(ends[-1])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("*", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_in"))
-    encoded = work.save(keyed.mapInArrow(encode, "doc_id long, _hash long, _in long, ids binary"), "encoded")
-    ranged = encoded.repartitionByRange("doc_id", "_hash", "_in").sortWithinPartitions("doc_id", "_hash", "_in").select("doc_id", "ids")
-    ranged.mapInArrow(lists, spark_schema(FILE)).write.options(**ORC).orc(path)
-    work.drop("encoded")
+    ranged = keyed.repartitionByRange("doc_id", "_hash", "_in").sortWithinPartitions("doc_id", "_hash", "_in").select("doc_id", "text")
+    ranged.mapInArrow(encode, spark_schema(FILE)).write.options(**ORC).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
