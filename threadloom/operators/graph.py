@@ -32,6 +32,23 @@ def threads(edges: DataFrame) -> DataFrame:
     return roots(edges).where("root is not null").groupBy("root").agg(F.count("*").alias("members"), F.max("depth").alias("depth"))
 
 
+def thread_report(sessions: DataFrame) -> DataFrame:
+    """L4: each root's family with leaves, bounds, cost, most common repository and how well it is supported.
+
+    sessions: (node, parent, started, ended, cost, repo). A session whose parent is not known is a root.
+    """
+    root = folder(sessions.sparkSession, "threads")
+    known = sessions.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    own = _keep(sessions.join(known, "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known"), f"{root}/sessions")
+    parents = own.select(F.col("parent").alias("node"), F.lit(True).alias("_has")).where("node is not null").distinct()
+    placed = _keep(roots(own.select("node", "parent")).where("root is not null").join(own, "node").join(parents, "node", "left"), f"{root}/placed")
+    repo = placed.where("repo is not null").groupBy("root", "repo").agg(F.count("*").alias("_n")).groupBy("root").agg(F.min(F.struct((-F.col("_n")).alias("n"), "repo"))["repo"].alias("dominant_repo"))
+    whole = placed.groupBy("root").agg(F.count("*").alias("members"), F.max("depth").alias("depth"), F.count_if(F.col("_has").isNull()).alias("branch_count"), F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("cost").alias("cost"))
+    many = F.col("members") > 1
+    signals = F.array_compact(F.array(F.lit("explicit_lineage"), F.when(many, "multi_session_thread"), F.when(F.col("branch_count") > 1, "branching_continuations"), F.when(F.col("dominant_repo").isNotNull(), "dominant_repo"), F.when(F.col("started").isNotNull() & F.col("ended").isNotNull(), "wallclock_bounds")))
+    return whole.join(repo, "root", "left").select("*", F.when(many, "strong").otherwise("moderate").alias("support"), F.when(many, 1.0).otherwise(0.85).alias("confidence"), signals.alias("signals"))
+
+
 def descendants(edges: DataFrame, root) -> DataFrame:
     """L2: the nodes below one root, with their depth."""
     return roots(edges).where((F.col("root") == root) & (F.col("node") != root)).select("node", "depth")

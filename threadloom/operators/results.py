@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.scratch import folder, written
+
 
 def snapshot(df: DataFrame, key: str, path: str) -> DataFrame:
     """V2: writes the members and returns the written table."""
@@ -31,3 +33,26 @@ def corrected(rows: DataFrame, corrections: DataFrame, key: str, value: str, ver
     """The latest correction of each key laid over the derived value."""
     newest = corrections.groupBy(key).agg(F.max_by(F.struct(F.col(value).alias("v")), version).alias("_c"))
     return rows.join(newest, key, "left").withColumn(value, F.coalesce("_c.v", value)).drop("_c")
+
+
+def merkle_roots(df: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, members, root): the root of a tree of SHA-256 over each key's sorted member hashes.
+
+    Two neighbours make one hash a level up; the last of an odd number is taken twice. Members are
+    numbered within 4096 ranges of their hashes, so one large key is many tasks' work, and each level
+    is a written table of half the rows.
+    """
+    root, k = folder(df.sparkSession, "merkle"), 0
+    hashed = df.select(key, F.sha2(F.col(member).cast("string"), 256).alias("h")).withColumn("_range", F.substring("h", 1, 3))
+    sizes = hashed.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    before = sizes.select(key, "_range", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(key, "_range").orderBy("h")) - 1
+    level = written(hashed.withColumn("_at", place).join(before, [key, "_range"]).select(key, "h", (F.col("_at") + F.col("_before")).alias("n")), f"{root}/0")
+    count = level.groupBy(key).agg(F.count("*").alias("members"))
+    while level.where("n > 0").limit(1).count():
+        k += 1
+        pair = level.groupBy(key, F.floor(F.col("n") / 2).alias("n")).agg(F.min_by("h", "n").alias("a"), F.max_by("h", "n").alias("b"), F.max("n").alias("_last"))
+        single = F.col("n") == 0
+        alone = level.groupBy(key).agg(F.max("n").alias("_top"))
+        level = written(pair.join(alone, key).select(key, F.when(single & (F.col("_top") == 0), F.col("a")).otherwise(F.sha2(F.concat("a", "b"), 256)).alias("h"), "n"), f"{root}/{k}")
+    return level.select(key, F.col("h").alias("root")).join(count, key)

@@ -202,9 +202,32 @@ def neighbours(sessions: DataFrame, ref, k: int, hours: float = 24.0) -> DataFra
     return scored.orderBy(F.desc("score"), F.desc("sort_key"), "session_id").limit(k).select("session_id", "score")
 
 
+def neighbours_by_reasons(reasons: DataFrame, k: int) -> DataFrame:
+    """Sessions near one from any reasons (session_id, reason, strength), each counted once at its best.
+
+    Fixed weights: same title 3.0; near in time 1.5 by closeness, 0.1 at least; attachment 4.0; content
+    1.75; query match 2.0, or by its strength from 0.5 to 3; similarity 3.0 by its strength.
+    """
+    s = F.col("strength")
+    score = (
+        F.when(F.col("reason") == "same_title", 3.0)
+        .when(F.col("reason") == "nearby_time", 1.5 * F.greatest(s, F.lit(0.1)))
+        .when(F.col("reason") == "attachment", 4.0)
+        .when(F.col("reason") == "content_search", 1.75)
+        .when(F.col("reason") == "query_match", F.greatest(F.lit(0.5), F.least(F.lit(3.0), F.coalesce(s, F.lit(2.0)))))
+        .when(F.col("reason") == "similarity", 3.0 * s)
+    )
+    best = reasons.withColumn("_score", score).groupBy("session_id", "reason").agg(F.max("_score").alias("_score"))
+    whole = best.groupBy("session_id").agg(F.round(F.sum("_score"), 6).alias("score"), F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("reasons"))
+    return whole.where("score > 0").orderBy(F.desc("score"), "session_id").limit(k)
+
+
 def metadata_similarity(sessions: DataFrame, ref, k: int) -> DataFrame:
-    """R24, fixed weights: 3 same shape, 1 same origin, 2 within 3 days or 1 within 14."""
-    one = F.broadcast(sessions.where(F.col("session_id") == ref).select(F.col("state").alias("_shape"), F.col("origin").alias("_origin"), F.col("sort_key").alias("_at")))
+    """R24, fixed weights: 3 same shape, 1 same origin, 2 within 3 days or 1 within 14, 1 for each tag in common where there is such a column."""
+    tagged = "tags" in sessions.columns
+    one = F.broadcast(sessions.where(F.col("session_id") == ref).select(F.col("state").alias("_shape"), F.col("origin").alias("_origin"), F.col("sort_key").alias("_at"), *([F.col("tags").alias("_tags")] if tagged else [])))
     days = F.abs(F.date_diff("sort_key", "_at"))
     score = F.when(F.col("state") == F.col("_shape"), 3).otherwise(0) + F.when(F.col("origin") == F.col("_origin"), 1).otherwise(0) + F.when(days <= 3, 2).when(days <= 14, 1).otherwise(0)
+    if tagged:
+        score = score + F.coalesce(F.size(F.array_intersect("tags", "_tags")), F.lit(0))
     return sessions.where(F.col("session_id") != ref).join(one).withColumn("score", score.cast("long")).where("score > 0").orderBy(F.desc("score"), "session_id").limit(k).select("session_id", "score")

@@ -130,3 +130,13 @@ def outlook(daily: DataFrame, key: str, day: str, value: str, cycle_days: int) -
     per = daily.withColumn("_r", recent).groupBy(key).agg(F.count("*").alias("days"), F.sum(value).alias("spent"), F.avg(F.when(F.col("_r") <= 7, F.col(value))).alias("_recent"))
     left = F.greatest(F.lit(cycle_days) - F.col("days"), F.lit(0))
     return per.select(key, "days", F.round("spent", 3).alias("spent"), F.round(F.col("spent") / F.col("days") * cycle_days, 3).alias("linear"), F.round(F.col("spent") + F.col("_recent") * left, 3).alias("trailing"))
+
+
+def quota_outlook(daily: DataFrame, key: str, day: str, value: str, cycle_days: int, quota: float) -> DataFrame:
+    """The linear projection against a quota: share used, what would go over it, and the day it was or would be reached (from 1)."""
+    to = F.sum(value).over(Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(day))
+    per = daily.withColumn("_to", to).withColumn("_nth", nth).groupBy(key).agg(F.count("*").alias("days"), F.sum(value).alias("spent"), F.min(F.when(F.col("_to") >= quota, F.col("_nth"))).alias("_reached"))
+    rate = F.col("spent") / F.col("days")
+    ahead = F.when((rate > 0) & (rate * cycle_days >= quota), F.ceil(F.lit(float(quota)) / rate))
+    return per.select(key, "days", F.round(F.col("spent") / quota, 4).alias("pressure"), F.round(F.greatest(rate * cycle_days - quota, F.lit(0.0)), 3).alias("overage"), F.coalesce(F.col("_reached").cast("long"), ahead).alias("breach_day"))

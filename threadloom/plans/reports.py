@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import content
-from threadloom.operators import filters, graph, judgement, reports, search, structure, units
+from threadloom.operators import filters, graph, judgement, reports, results, search, structure, units, windows
 from threadloom.plans.queries import TERMS
 from threadloom.plans.registry import query
 from threadloom.tables import actions, messages, read, sessions
@@ -297,3 +297,41 @@ def value_relations(spark, d):
     col = lambda t, c: read(spark, d, t).select(F.lit(c).alias("path"), F.col(c).cast("string").alias("value"))
     flat = col("orders", "o_custkey").union(col("customer", "c_custkey")).union(col("orders", "o_orderpriority"))
     return structure.relations(flat, 0.95, 50)
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 7 = 0 OR c_custkey < 2 THEN NULL WHEN c_custkey % 31 = 0 THEN -1 ELSE c_custkey // 2 END AS parent, c_nationkey AS repo FROM customer),
+w AS (SELECT node, node AS root, 0 AS depth FROM e WHERE parent IS NULL OR parent = -1 UNION ALL SELECT e.node, w.root, w.depth + 1 FROM e JOIN w ON e.parent = w.node),
+r AS (SELECT root, arg_min(repo, k) AS repo FROM (SELECT root, repo, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, repo) AS k FROM w JOIN e USING (node) GROUP BY 1, 2) GROUP BY 1)
+SELECT root, count(*) AS members, max(depth) AS depth, count(*) FILTER (node NOT IN (SELECT parent FROM e WHERE parent IS NOT NULL)) AS branch_count, max(r.repo) AS dominant_repo, CASE WHEN count(*) > 1 THEN 'strong' ELSE 'moderate' END AS support, CASE WHEN count(*) > 1 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS confidence
+FROM w JOIN r USING (root) GROUP BY 1""")
+def thread_reports(spark, d):
+    n = F.col("c_custkey")
+    parent = F.when((n % 7 == 0) | (n < 2), None).when(n % 31 == 0, -1).otherwise(F.floor(n / 2))
+    none = F.lit(None).cast("timestamp")
+    rows = read(spark, d, "customer").select(n.alias("node"), parent.alias("parent"), none.alias("started"), none.alias("ended"), F.lit(0.0).alias("cost"), F.col("c_nationkey").alias("repo"))
+    return graph.thread_report(rows).select("root", "members", "depth", "branch_count", "dominant_repo", "support", "confidence")
+
+
+@query("""WITH RECURSIVE l AS (SELECT source, sha256(CAST(doc_id AS VARCHAR)) AS h, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) - 1 AS n, count(*) OVER (PARTITION BY source) AS c, count(*) OVER (PARTITION BY source) AS members FROM documents),
+t AS (SELECT source, list(h ORDER BY n) AS hs, any_value(members) AS members FROM l GROUP BY 1 UNION ALL SELECT source, list_transform(range(0, len(hs), 2), lambda i: sha256(hs[i + 1] || coalesce(hs[i + 2], hs[i + 1]))), members FROM t WHERE len(hs) > 1)
+SELECT source, hs[1] AS root, members FROM t WHERE len(hs) = 1""")
+def merkle_roots(spark, d):
+    return results.merkle_roots(read(spark, d, "documents"), "source", "doc_id")
+
+
+@query("""WITH r AS (SELECT user_id AS session_id, CASE event_type WHEN 'view' THEN 'nearby_time' WHEN 'click' THEN 'content_search' WHEN 'purchase' THEN 'query_match' WHEN 'signup' THEN 'similarity' ELSE CASE WHEN value > 50 THEN 'attachment' ELSE 'same_title' END END AS reason, value / 100 AS s, event_id FROM events WHERE value > 80 OR event_id % 5 = 0),
+b AS (SELECT session_id, reason, max(CASE reason WHEN 'same_title' THEN 3.0::DOUBLE WHEN 'nearby_time' THEN 1.5::DOUBLE * greatest(s, 0.1) WHEN 'attachment' THEN 4.0::DOUBLE WHEN 'content_search' THEN 1.75::DOUBLE WHEN 'query_match' THEN greatest(0.5, least(3.0, coalesce(CASE WHEN event_id % 2 = 0 THEN s * 4 END, 2.0::DOUBLE))) ELSE 3.0::DOUBLE * s END) AS x FROM r GROUP BY 1, 2)
+SELECT session_id, round(sum(x), 6) AS score, string_agg(reason, ',' ORDER BY reason) AS reasons FROM b GROUP BY 1 HAVING round(sum(x), 6) > 0 ORDER BY score DESC, session_id LIMIT 40""")
+def neighbour_reasons(spark, d):
+    k, v = F.col("kind"), F.col("value")
+    reason = F.when(k == "view", "nearby_time").when(k == "click", "content_search").when(k == "purchase", "query_match").when(k == "signup", "similarity").when(v > 50, "attachment").otherwise("same_title")
+    strength = F.when(k == "purchase", F.when(F.col("event_id") % 2 == 0, v / 100 * 4)).otherwise(v / 100)
+    rows = actions(spark, d).where("value > 80 or event_id % 5 = 0").select("session_id", reason.alias("reason"), strength.alias("strength"))
+    return search.neighbours_by_reasons(rows, 40)
+
+
+@query("""WITH t AS (SELECT event_type kind, CAST(ts AS DATE) AS day, sum(value) v FROM events GROUP BY 1, 2), r AS (SELECT *, sum(v) OVER (PARTITION BY kind ORDER BY day) AS x, row_number() OVER (PARTITION BY kind ORDER BY day) AS k FROM t)
+SELECT kind, count(*) AS days, round(sum(v) / 20000, 4) AS pressure, round(greatest(sum(v) / count(*) * 45 - 20000, 0), 3) AS overage, coalesce(min(k) FILTER (x >= 20000), CASE WHEN sum(v) > 0 AND sum(v) / count(*) * 45 >= 20000 THEN CAST(ceil(20000 / (sum(v) / count(*))) AS BIGINT) END) AS breach_day FROM r GROUP BY 1""")
+def quota_outlook(spark, d):
+    daily = actions(spark, d).groupBy("kind", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    return windows.quota_outlook(daily, "kind", "day", "v", 45, 20_000)
