@@ -104,3 +104,41 @@ def within_band(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: i
     near = left.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
     other = right.select(key, band.alias("_band"), *[F.col(c).alias(f"other_{c}") for c in right.columns if c != key])
     return near.join(other, [key, "_band"]).where(F.abs(at(ts) - at(f"other_{ts}")) <= width).drop("_band")
+
+
+def session_order(sessions: DataFrame, messages: DataFrame, by: str, reverse: bool = False, seed: str = "") -> DataFrame:
+    """O1: sessions with ``order_key`` in order of date, messages, words, longest, tokens or random; the largest first, ``reverse`` the least; ties by id.
+
+    Sessions without messages have 0 and, by date, come as the earliest. A random order is the same for one seed.
+    """
+    measures = {"messages": F.count("*"), "words": F.sum("word_count"), "longest": F.max("word_count"), "tokens": F.floor(F.sum(F.coalesce(F.length("text"), F.lit(0))) / 4)}
+    if by in measures:
+        keyed = sessions.join(messages.groupBy("session_id").agg(measures[by].alias("order_key")), "session_id", "left").withColumn("order_key", F.coalesce("order_key", F.lit(0)))
+    else:
+        keyed = sessions.withColumn("order_key", F.col("sort_key") if by == "date" else F.sha2(F.concat(F.lit(seed), F.col("session_id").cast("string")), 256))
+    return keyed.orderBy(F.col("order_key").asc_nulls_first() if reverse else F.col("order_key").desc_nulls_last(), "session_id")
+
+
+def child_filter(sessions: DataFrame, children: DataFrame, column: str, some: list[str] = (), without: list[str] = ()) -> DataFrame:
+    """Sessions with a child whose column (folded) is any of these and none of those; 'none' stands for no child with a value at all.
+
+    Each session's children are looked at once, for all names asked.
+    """
+    told = children.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("session_id").agg(F.collect_set(F.when(F.lower(column).isin([*some, *without]), F.lower(column))).alias("_names"))
+    both = sessions.join(told, "session_id", "left")
+
+    def holds(names: list[str]) -> Column:
+        named = [F.lit(n) for n in names if n != "none"]
+        out = F.coalesce(F.arrays_overlap("_names", F.array(*named)), F.lit(False)) if named else F.lit(False)
+        return out | F.col("_names").isNull() if "none" in names else out
+
+    if some:
+        both = both.where(holds(some))
+    if without:
+        both = both.where(~holds(without))
+    return both.drop("_names")
+
+
+def has_kinds(messages: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """for each session, whether some message is of each kind (thinking, tools, attachments, summary, …), in one pass."""
+    return messages.groupBy("session_id").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"has_{name}") for name, c in kinds.items()])

@@ -67,3 +67,31 @@ def scoped_facets(df: DataFrame, fields: list[str], scope: Column) -> DataFrame:
     """Each field's values with their count in the scope and in all, in one pass."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
     return df.select(scope.alias("_in"), F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count_if("_in").alias("scoped"), F.count("*").alias("overall"))
+
+
+def _gaps(messages: DataFrame) -> DataFrame:
+    """Messages (session_id, position, at, role, kind) with the role before and the whole milliseconds since, 0 where a time is missing or earlier."""
+    w = Window.partitionBy("session_id").orderBy("position")
+    us = F.unix_micros(F.col("at").cast("timestamp"))
+    gap = F.greatest(F.coalesce(_millis(us - F.lag(us).over(w)), F.lit(0)), F.lit(0))
+    return messages.select("*", F.lag("role").over(w).alias("_before"), gap.alias("_gap"), us.alias("_us"))
+
+
+def session_timing(messages: DataFrame) -> DataFrame:
+    """What a session's time went to: a gap belongs to the message it ends with, as a tool's after an assistant's message, thinking, or output; and tool calls a minute."""
+    tool = F.col("kind").isin("tool_use", "tool_result") & (F.col("_before") == "assistant")
+    thinking = F.col("kind") == "thinking"
+    output = (F.col("role") == "assistant") & (F.col("kind") == "message")
+    label = F.when(F.col("_before").isNull(), None).when(tool, "tool").when(thinking, "thinking").when(output, "output")
+    told = _gaps(messages).withColumn("_label", label)
+    spent = lambda name: F.coalesce(F.sum(F.when(F.col("_label") == name, F.col("_gap"))), F.lit(0)).cast("long").alias(f"{name}_ms")
+    per = told.groupBy("session_id").agg(spent("thinking"), spent("output"), spent("tool"), F.count_if(F.col("kind") == "tool_use").alias("_calls"), _millis(F.max("_us") - F.min("_us")).alias("_wall"))
+    rate = F.when((F.col("_calls") > 0) & (F.col("_wall") > 0), F.round(F.col("_calls") / (F.col("_wall") / 60_000), 2)).otherwise(0.0)
+    return per.select("session_id", "thinking_ms", "output_ms", "tool_ms", rate.alias("calls_per_minute"))
+
+
+def response_times(messages: DataFrame) -> DataFrame:
+    """I8: medians of the time an agent takes to answer a user, and a user an agent; 0 where there is none."""
+    turn = F.when((F.col("role") == "assistant") & (F.col("_before") == "user"), "agent").when((F.col("role") == "user") & (F.col("_before") == "assistant"), "user")
+    told = _gaps(messages).withColumn("_turn", turn).withColumn("agent", F.when(F.col("_turn") == "agent", F.col("_gap"))).withColumn("user", F.when(F.col("_turn") == "user", F.col("_gap")))
+    return told.groupBy("session_id").agg(floor_median("agent").alias("agent_response_ms"), floor_median("user").alias("user_response_ms"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import content
-from threadloom.operators import filters, graph, judgement, reports, results, search, structure, units, windows
+from threadloom.operators import filters, graph, judgement, outcomes, reports, results, search, structure, units, windows
 from threadloom.plans.queries import TERMS
 from threadloom.plans.registry import query
 from threadloom.tables import actions, messages, read, sessions
@@ -335,3 +335,50 @@ SELECT kind, count(*) AS days, round(sum(v) / 20000, 4) AS pressure, round(great
 def quota_outlook(spark, d):
     daily = actions(spark, d).groupBy("kind", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
     return windows.quota_outlook(daily, "kind", "day", "v", 45, 20_000)
+
+
+_TURNS = """m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) AS t, CASE WHEN event_type IN ('view', 'signup') THEN 'user' ELSE 'assistant' END AS role,
+CASE event_type WHEN 'error' THEN 'tool_result' WHEN 'purchase' THEN 'thinking' WHEN 'signup' THEN 'tool_use' ELSE 'message' END AS kind FROM events),
+g AS (SELECT *, lag(role) OVER w AS b, greatest((t - lag(t) OVER w) // 1000, 0) AS gap FROM m WINDOW w AS (PARTITION BY user_id ORDER BY k))"""
+
+
+def turns(spark, d):
+    k = F.col("kind")
+    kind = F.when(k == "error", "tool_result").when(k == "purchase", "thinking").when(k == "signup", "tool_use").otherwise("message")
+    rows = actions(spark, d).withColumn("role", F.when(k.isin("view", "signup"), "user").otherwise("assistant"))
+    return rows.select("session_id", F.struct("ts", "event_id").alias("position"), F.col("ts").alias("at"), "role", kind.alias("kind"))
+
+
+@query(f"""WITH {_TURNS} SELECT user_id AS session_id, CAST(coalesce(sum(gap) FILTER (kind = 'thinking'), 0) AS BIGINT) AS thinking_ms, CAST(coalesce(sum(gap) FILTER (kind = 'message' AND role = 'assistant'), 0) AS BIGINT) AS output_ms,
+CAST(coalesce(sum(gap) FILTER (kind IN ('tool_use', 'tool_result') AND b = 'assistant'), 0) AS BIGINT) AS tool_ms, CASE WHEN count(*) FILTER (kind = 'tool_use') > 0 AND max(t) > min(t) THEN round(count(*) FILTER (kind = 'tool_use') / (((max(t) - min(t)) // 1000) / 60000), 2) ELSE 0 END AS calls_per_minute FROM g GROUP BY 1""")
+def session_timing(spark, d):
+    return outcomes.session_timing(turns(spark, d))
+
+
+@query(f"""WITH {_TURNS} SELECT user_id AS session_id, coalesce(CAST(floor(quantile_cont(gap, 0.5) FILTER (role = 'assistant' AND b = 'user')) AS BIGINT), 0) AS agent_response_ms, coalesce(CAST(floor(quantile_cont(gap, 0.5) FILTER (role = 'user' AND b = 'assistant')) AS BIGINT), 0) AS user_response_ms FROM g GROUP BY 1""")
+def response_times(spark, d):
+    return outcomes.response_times(turns(spark, d))
+
+
+@query("""SELECT conv_id AS session_id, n AS order_key FROM (SELECT conv_id, max(len(regexp_extract_all(text, '[^ \t\n\r]+'))) AS n FROM conversations GROUP BY 1) ORDER BY n DESC, conv_id LIMIT 25""")
+def sessions_by_longest(spark, d):
+    m = messages(spark, d)
+    return filters.session_order(m.select("session_id").distinct(), m, "longest").limit(25)
+
+
+@query("""SELECT conv_id AS session_id, CAST(n // 4 AS BIGINT) AS order_key FROM (SELECT conv_id, sum(length(text)) AS n FROM conversations GROUP BY 1) ORDER BY n // 4, conv_id LIMIT 25""")
+def sessions_by_tokens_reversed(spark, d):
+    m = messages(spark, d)
+    return filters.session_order(m.select("session_id").distinct(), m, "tokens", reverse=True).limit(25)
+
+
+@query("""SELECT DISTINCT conv_id AS session_id FROM conversations WHERE (conv_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90) OR conv_id NOT IN (SELECT user_id FROM events WHERE value > 90)) AND conv_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)""")
+def tool_filter_with_none(spark, d):
+    calls = actions(spark, d).where("value > 90").select("session_id", F.upper("kind").alias("tool"))
+    return filters.child_filter(messages(spark, d).select("session_id").distinct(), calls, "tool", ["purchase", "none"], ["error"])
+
+
+@query("""SELECT user_id AS session_id, bool_or(event_type = 'purchase' AND value > 95) AS has_thinking, bool_or(event_type = 'signup' AND value > 95) AS has_tools, bool_or(length(props) > 9 AND value > 97) AS has_attachments FROM events GROUP BY 1""")
+def sessions_with_kinds(spark, d):
+    k, v = F.col("kind"), F.col("value")
+    return filters.has_kinds(actions(spark, d), {"thinking": (k == "purchase") & (v > 95), "tools": (k == "signup") & (v > 95), "attachments": (F.length("tool_id") > 9) & (v > 97)})
