@@ -142,9 +142,13 @@ def session_topology(spark, d):
     return graph.topology(links, s.select(F.col("session_id").alias("node")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey a, (p_partkey * p_partkey) % 97 b FROM part WHERE p_partkey < 97 AND (p_partkey * p_partkey) % 97 <> p_partkey), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT DISTINCT a n FROM r WHERE a = b)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey a, p_partkey // 2 b FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey, p_partkey * 2 FROM part WHERE p_partkey % 10 = 4 AND p_partkey * 2 IN (SELECT p_partkey FROM part)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT DISTINCT a n FROM r WHERE a = b)
 SELECT a, b FROM e WHERE (a IN (SELECT n FROM c) OR a IN (SELECT r.b FROM r JOIN c ON r.a = c.n)) AND (b IN (SELECT n FROM c) OR b IN (SELECT r.a FROM r JOIN c ON r.b = c.n))""")
 def definition_cycles(spark, d):
-    k = F.col("p_partkey")
-    edges = read(spark, d, "part").where((k < 97) & (k * k % 97 != k)).select(k.alias("a"), (k * k % 97).alias("b"))
+    """Each part stands on the one of half its number; every tenth on that of twice its number as well, which closes cycles."""
+    k = read(spark, d, "part").select(F.col("p_partkey").alias("a"))
+    up = k.where("a >= 2").select("a", F.floor(F.col("a") / 2).alias("b"))
+    down = k.where("a % 10 = 4").select("a", (F.col("a") * 2).alias("b")).join(k.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
+    edges = up.union(down)
     return graph.cyclic_core(edges)

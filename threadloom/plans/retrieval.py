@@ -61,9 +61,9 @@ def plain_scores(spark, d):
 
 
 @query("""SELECT a.vec_id, round(min(sqrt(list_sum(list_transform(list_zip(a.embedding, s.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))))), 6) AS distance
-FROM embeddings a, (SELECT embedding FROM embeddings WHERE label=3 AND vec_id < 200) s WHERE NOT (a.label=3 AND a.vec_id < 200) GROUP BY 1 ORDER BY distance, a.vec_id LIMIT 20""")
+FROM embeddings a, (SELECT embedding FROM embeddings WHERE label=3) s WHERE a.label IS DISTINCT FROM 3 GROUP BY 1 ORDER BY distance, a.vec_id LIMIT 20""")
 def knn_session_seed(spark, d):
-    v = read(spark, d, "embeddings").select("vec_id", "embedding", F.when((F.col("label") == 3) & (F.col("vec_id") < 200), "seed").otherwise("other").alias("session"))
+    v = read(spark, d, "embeddings").select("vec_id", "embedding", F.when(F.col("label") == 3, "seed").otherwise("other").alias("session"))
     return search.nearest_to_seeds(v, "session", "seed", 20)
 
 
