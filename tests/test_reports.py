@@ -66,3 +66,14 @@ def test_keys_that_are_data(spark):
     rows = [(1, f"$.m.k{k}", "STRING", "v") for k in range(5)] + [(1, "$.u.0123456789abcdef01", "STRING", "v"), (1, "$.n", "STRING", "v")]
     got = {r.path for r in structure.collapsed(spark.createDataFrame(rows, "id int, path string, type string, value string"), most=4).collect()}
     assert got == {"$.m.*", "$.u.*", "$.n"}
+
+
+def test_made_up_records(spark):
+    import json
+
+    rows = [(k, "$.a", "STRING", f"v{k % 3}") for k in range(100)] + [(k, "$.b.c", "BIGINT", str(k)) for k in range(50)] + [(1, "$.b", "OBJECT<c: BIGINT>", "{}"), (1, "$.l[]", "BIGINT", "1")]
+    flat = spark.createDataFrame(rows, "id int, path string, type string, value string")
+    got = {r.id: json.loads(r.json) for r in structure.synthetic(flat, 400, 5).collect()}
+    assert set(got) == set(range(400)) and {x["a"] for x in got.values()} == {"v0", "v1", "v2"}
+    assert set().union(*got.values()) == {"a", "b.c"} and 140 < sum("b.c" in x for x in got.values()) < 260
+    assert got == {r.id: json.loads(r.json) for r in structure.synthetic(flat, 400, 5).collect()}

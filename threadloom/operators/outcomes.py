@@ -57,6 +57,56 @@ def session_costs(usage: DataFrame, prices: DataFrame, reported: DataFrame) -> D
     return per.join(reported, "session_id", "left").select("session_id", F.round(F.coalesce("reported", "computed"), 4).alias("cost"), basis.alias("basis"))
 
 
+def subscription_credits(usage: DataFrame, rates: DataFrame, fee: float, pool: int) -> DataFrame:
+    """Credits of each session and their share of a plan's monthly fee.
+
+    usage: (session_id, model, input, output, cache_read, cache_write) tokens; rates: (model, those four
+    rates, divisor), credits being tokens * rate / divisor, rounded up. A model without a rate costs none.
+    """
+    kinds = ("input", "output", "cache_read", "cache_write")
+    priced = usage.join(rates.select("model", "divisor", *[F.col(k).alias(f"_{k}") for k in kinds]), "model", "left")
+    each = sum(F.when(F.col(k) > 0, F.ceil(F.col(k) * F.col(f"_{k}") / F.col("divisor"))).otherwise(0) for k in kinds)
+    per = priced.groupBy("session_id").agg(F.sum(F.coalesce(each, F.lit(0))).cast("long").alias("credits"))
+    return per.select("session_id", "credits", F.round(F.greatest("credits", F.lit(0)) / pool * fee, 6).alias("usd"))
+
+
+# What an end says of a session's objective, and assertions that outrank it, the strongest first.
+POSTURES = {"tool_left": "awaiting_effect", "error_left": "blocked", "question_left": "ambiguous", "unknown": "ambiguous"}
+ASSERTED = [("blocker", "blocked"), ("decision", "awaiting_operator"), ("handoff", "awaiting_operator")]
+
+
+def objective_posture(profiles: DataFrame, assertions: DataFrame) -> DataFrame:
+    """I32: each session's posture, its authority and confidence, and how many weaker statements it contradicts.
+
+    profiles: (session_id, terminal_state, confidence), of which 0.8 at most is taken; assertions:
+    (session_id, kind, confidence), 0.85 where none of the winning kind has one.
+    """
+    known = F.create_map(*[F.lit(x) for p in POSTURES.items() for x in p])
+    own = F.try_element_at(known, F.col("terminal_state"))
+    rank = F.coalesce(*[F.when(F.col("kind") == k, n) for n, (k, _) in enumerate(ASSERTED)])
+    told = assertions.withColumn("_rank", rank).where("_rank is not null")
+    best = told.groupBy("session_id", "_rank").agg(F.max("confidence").alias("_c"), F.count("*").alias("_n"))
+    won = best.groupBy("session_id").agg(F.min("_rank").alias("_rank"), F.min_by("_c", "_rank").alias("_c"), (F.sum("_n") - F.min_by("_n", "_rank")).alias("_others"))
+    both = profiles.join(won, "session_id", "left").withColumn("_own", own)
+    by = F.col("_rank").isNotNull()
+    posture = F.when(by, F.element_at(F.array(*[F.lit(p) for _, p in ASSERTED]), F.col("_rank") + 1)).otherwise(F.coalesce("_own", F.lit("unknown")))
+    confidence = F.when(by, F.round(F.greatest(F.least(F.coalesce("_c", F.lit(0.85)), F.lit(1.0)), F.lit(0.0)), 4)).when(F.col("_own").isNotNull(), F.round(F.greatest(F.least("confidence", F.lit(0.8)), F.lit(0.0)), 4))
+    authority = F.when(by, "assertion").when(F.col("_own").isNotNull(), "structural_inference").otherwise("none")
+    against = F.when(by, F.col("_others") + F.col("_own").isNotNull().cast("int")).otherwise(0)
+    return both.select("session_id", posture.alias("posture"), authority.alias("authority"), confidence.alias("confidence"), against.cast("long").alias("contradictions"))
+
+
+# What a judgement makes of a claim's link to an effect.
+ASSOCIATIONS = {"supported": "resolved", "partial": "ambiguous", "contradicted": "contradicted", "unresolved": "unresolved", "superseded": "superseded"}
+
+
+def reconciled(claims: DataFrame, effects: DataFrame, judgements: DataFrame) -> DataFrame:
+    """Judgements (claim, effect, evaluation) as links with a state; 'rejected' where the claim or the effect is not known. Only judgements link."""
+    known = judgements.join(claims.select("claim").distinct().withColumn("_c", F.lit(True)), "claim", "left").join(effects.select("effect").distinct().withColumn("_e", F.lit(True)), "effect", "left")
+    state = F.try_element_at(F.create_map(*[F.lit(x) for p in ASSOCIATIONS.items() for x in p]), F.col("evaluation"))
+    return known.select("claim", "effect", F.when(F.col("_c") & F.col("_e"), F.coalesce(state, F.lit("rejected"))).otherwise("rejected").alias("state"))
+
+
 def coverage(items: DataFrame, vectors: DataFrame, key: str, group: str, vector: str) -> DataFrame:
     """For each group, its items, those without a vector, and the number of different dimensions."""
     found = items.join(vectors.select(key, F.size(vector).alias("_dim")), key, "left")

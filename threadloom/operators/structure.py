@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.scratch import folder, written
@@ -74,3 +74,20 @@ def relations(flat: DataFrame, least: float = 0.95, values: int = 20) -> DataFra
     pair = lists.select(F.explode("_p").alias("c"), "_p").select("c", F.explode("_p").alias("p")).where("c.path <> p.path")
     met = pair.groupBy(F.col("c.path").alias("child"), F.col("p.path").alias("parent"), F.col("c._n").alias("_c"), F.col("p._n").alias("_p")).agg(F.count("*").alias("shared"))
     return met.where((F.col("shared") >= F.col("_c") * least) & (F.col("_c") <= F.col("_p"))).select("child", "parent", "shared")
+
+
+def synthetic(flat: DataFrame, rows: int, seed: int = 0, values: int = 50) -> DataFrame:
+    """H9: (id, json): made-up records of the paths seen, each with a value that the path has had and as often there as in the records.
+
+    A path's values are the ``values`` of least hash; paths without objects and lists below them are
+    taken, so a record is flat. The same seed gives the same records.
+    """
+    leaf = flat.where("type not rlike '^(OBJECT|ARRAY)' and path not like '%[]%'")
+    seen = leaf.groupBy("path").agg(F.count("*").alias("_n")).withColumn("_share", F.col("_n") / F.max("_n").over(Window.partitionBy()))  # one row for each path
+    held = leaf.select("path", "value").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("value", F.lit(seed)), "value"))).where(F.col("_r") <= values)
+    lists = held.groupBy("path").agg(F.array_sort(F.collect_list("value")).alias("_values")).join(seen, "path")
+    draw = lambda salt: F.pmod(F.xxhash64("id", "path", F.lit(seed), F.lit(salt)), F.lit(1 << 30))
+    made = flat.sparkSession.range(rows).join(F.broadcast(lists))  # a bounded row for each path
+    kept = made.where((draw(1) < F.col("_share") * (1 << 30)) & (F.size("_values") > 0))
+    value = F.element_at("_values", (F.pmod(draw(2), F.size("_values")) + 1).cast("int"))
+    return kept.groupBy("id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.regexp_replace("path", r"^\$\.", "").alias("k"), value.alias("v")))))).alias("json"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.functions import content
+from threadloom.functions import content, scalars
 from threadloom.operators import filters, graph, judgement, outcomes, reports, results, search, structure, units, windows
 from threadloom.plans.queries import TERMS
 from threadloom.plans.registry import query
@@ -382,3 +382,51 @@ def tool_filter_with_none(spark, d):
 def sessions_with_kinds(spark, d):
     k, v = F.col("kind"), F.col("value")
     return filters.has_kinds(actions(spark, d), {"thinking": (k == "purchase") & (v > 95), "tools": (k == "signup") & (v > 95), "attachments": (F.length("tool_id") > 9) & (v > 97)})
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\[Pasted\s+(text|content|image)\s*#\d+[^\[\]]*\]') THEN 'marked' WHEN length(t) > 4000 OR regexp_matches(t, '(?i)here\s+(is|are)\s+(the\s+)?(full\s+)?(chat\s*)?log') OR doc_id % 11 = 3 OR doc_id % 11 = 4 THEN 'likely' END AS paste
+FROM (SELECT doc_id, CASE doc_id % 11 WHEN 1 THEN text || ' [Pasted text #2 +6 lines] ' WHEN 2 THEN 'Here is the full log ' || text WHEN 3 THEN repeat('aB', 300) WHEN 4 THEN chr(10) || '```' || chr(10) || repeat('word ', 20) || chr(10) || '```' WHEN 5 THEN repeat('a', 600) ELSE text END AS t FROM documents)""")
+def paste_evidence(spark, d):
+    n, t = F.col("doc_id") % 11, F.col("text")
+    said = F.when(n == 1, F.concat(t, F.lit(" [Pasted text #2 +6 lines] "))).when(n == 2, F.concat(F.lit("Here is the full log "), t)).when(n == 3, F.repeat(F.lit("aB"), 300)).when(n == 4, F.concat(F.lit("\n```\n"), F.repeat(F.lit("word "), 20), F.lit("\n```"))).when(n == 5, F.repeat(F.lit("a"), 600)).otherwise(t)
+    return read(spark, d, "documents").select("doc_id", content.paste_evidence(said).alias("paste"))
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('click', 6, 30, 0, 6, 15), ('view', 10, 50, 0, 10, 15), ('error', 2, 10, 0, 2, 15)) t(model, i, o, r, w, d)), u AS (SELECT user_id, event_type AS model, event_id % 1000 AS i, event_id % 70 AS o, event_id % 9 AS r, event_id % 5 AS w FROM events),
+c AS (SELECT user_id, CAST(sum(coalesce(ceil(u.i * r.i / 15) + ceil(u.o * r.o / 15) + ceil(u.w * r.w / 15), 0)) AS BIGINT) AS credits FROM u LEFT JOIN r USING (model) GROUP BY 1) SELECT user_id AS session_id, credits, round(credits / 21700000 * 20, 6) AS usd FROM c""")
+def subscription_credits(spark, d):
+    e = F.col("event_id")
+    usage = actions(spark, d).select("session_id", F.col("kind").alias("model"), (e % 1000).alias("input"), (e % 70).alias("output"), (e % 9).alias("cache_read"), (e % 5).alias("cache_write"))
+    rates = spark.createDataFrame([("click", 6, 30, 0, 6, 15), ("view", 10, 50, 0, 10, 15), ("error", 2, 10, 0, 2, 15)], "model string, input int, output int, cache_read int, cache_write int, divisor int")
+    return outcomes.subscription_credits(usage, rates, 20.0, 21_700_000)
+
+
+@query(f"""WITH {_PROFILES}, a AS (SELECT l_orderkey AS session_id, min(CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 0 END) AS k, count(*) FILTER (l_linenumber IN (2, 3, 4)) AS n FROM lineitem GROUP BY 1),
+j AS (SELECT p.session_id, k, n, terminal_state, CASE terminal_state WHEN 'tool_left' THEN 'awaiting_effect' WHEN 'error_left' THEN 'blocked' WHEN 'question_left' THEN 'ambiguous' WHEN 'unknown' THEN 'ambiguous' END AS own, (p.session_id % 10) / 10 AS c FROM p LEFT JOIN a USING (session_id))
+SELECT session_id, CASE WHEN k = 0 THEN 'blocked' WHEN k > 0 THEN 'awaiting_operator' ELSE coalesce(own, 'unknown') END AS posture, CASE WHEN k IS NOT NULL THEN 'assertion' WHEN own IS NOT NULL THEN 'structural_inference' ELSE 'none' END AS authority,
+CASE WHEN k = 0 THEN 0.9::DOUBLE WHEN k > 0 THEN 0.85::DOUBLE WHEN own IS NOT NULL THEN round(least(c, 0.8::DOUBLE), 4) END AS confidence, CASE WHEN k IS NOT NULL THEN n - (SELECT count(*) FROM lineitem WHERE l_orderkey = session_id AND l_linenumber = [4, 3, 2][k + 1]) + CAST(own IS NOT NULL AS INT) ELSE 0 END AS contradictions FROM j""")
+def objective_postures(spark, d):
+    p = profiles(spark, d).select("session_id", "terminal_state", (F.col("session_id") % 10 / 10).alias("confidence"))
+    n = F.col("l_linenumber")
+    kind = F.when(n == 2, "handoff").when(n == 3, "decision").when(n == 4, "blocker").otherwise("note")
+    return outcomes.objective_posture(p, read(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), kind.alias("kind"), F.when(n == 4, 0.9).alias("confidence")))
+
+
+@query("""SELECT state, count(*) AS n FROM (SELECT CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3) OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 'rejected' ELSE CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'ambiguous' ELSE 'contradicted' END END AS state FROM orders) GROUP BY 1""")
+def reconciled_claims(spark, d):
+    claims = read(spark, d, "customer").where("c_nationkey <> 3").select(F.col("c_custkey").alias("claim"))
+    effects = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("effect"))
+    told = F.when(F.col("state") == "F", "supported").when(F.col("state") == "O", "partial").otherwise("contradicted")
+    judged = sessions(spark, d).select(F.col("project").alias("claim"), F.col("session_id").alias("effect"), told.alias("evaluation"))
+    return outcomes.reconciled(claims, effects, judged).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS session_id FROM orders WHERE (o_orderstatus = 'F' OR o_orderpriority = '1-URGENT') AND o_orderpriority <> '5-LOW' AND starts_with(CAST(o_orderkey AS VARCHAR), '7')")
+def tag_filters(spark, d):
+    s = sessions(spark, d).withColumn("tags", F.array(F.concat(F.lit("state:"), "state"), F.concat(F.lit("origin:"), "origin")))
+    return s.where(filters.session_filter(tags=["state:F", "origin:1-URGENT"], exclude_tags=["origin:5-LOW"], id_prefix="7")).select("session_id")
+
+
+@query("SELECT band, count(*) AS n FROM (SELECT CASE WHEN value / 100 >= 0.75 THEN 'strong' WHEN value / 100 >= 0.55 THEN 'moderate' ELSE 'weak' END AS band FROM events) GROUP BY 1")
+def similarity_bands(spark, d):
+    return actions(spark, d).groupBy(scalars.similarity_band(F.col("value") / 100).alias("band")).agg(F.count("*").alias("n"))
