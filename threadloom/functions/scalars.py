@@ -51,11 +51,14 @@ def _bases() -> tuple[str, str]:
 
 _MARKED, _PLAIN = _bases()
 WORD = r"[\p{L}\p{N}]+"
+#: The same words in a text that is not folded, where a letter's mark may stand by itself.
+RAW_WORD = r"[\p{L}\p{N}][\p{L}\p{N}\u0300-\u036F]*"
 
 
 def folded(text: Column) -> Column:
-    """Lower case, Latin letters without their diacritics."""
-    return F.translate(F.lower(text), _MARKED, _PLAIN)
+    """Lower case, Latin letters without their diacritics; a text of ASCII alone has none."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, _MARKED, _PLAIN))
 
 
 def terms(text: Column) -> Column:

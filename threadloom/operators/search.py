@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.scalars import WORD, folded, terms
+from threadloom.functions.scalars import RAW_WORD, folded, terms
 from threadloom.scratch import folder, written
 
 K1, B = 1.2, 0.75
@@ -34,9 +34,9 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str], keep: list[s
     For many searches of one table see ``write_index``.
     """
     keep = [doc_id, *keep]
-    plain = docs.select(*keep, folded(F.col(text)).alias("_text"))
+    plain = docs.select(*keep, F.coalesce(F.regexp_count(text, F.lit(RAW_WORD)), F.lit(0)).alias("_dl"), folded(F.col(text)).alias("_text"))
     counts = [F.when(F.contains("_text", F.lit(q)), F.regexp_count("_text", F.lit(_ALONE % re.escape(q)))).otherwise(0).alias(f"_{k}") for k, q in enumerate(query)]
-    rows = written(plain.select(*keep, F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).alias("_dl"), *counts), f"{folder(docs.sparkSession, 'bm25')}/counts")
+    rows = written(plain.select(*keep, "_dl", *counts), f"{folder(docs.sparkSession, 'bm25')}/counts")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_{k}") > 0).alias(f"_df{k}") for k in range(len(query))])
     return _scores(rows, stats, keep, query)
 
