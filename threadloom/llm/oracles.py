@@ -57,3 +57,37 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken FROM draws d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.seed = c.seed
 """
+
+
+def _places(kind: str, pattern: str, keep: str, value: str) -> str:
+    """A subquery of one kind's matches: what stands between matches and the matches themselves give the places."""
+    return f"""SELECT row, {kind} AS kind, s, s + length(m) AS e, {value} AS value, m FROM (
+  SELECT row, m, CAST(coalesce(list_sum(list_transform(between[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (
+    SELECT row, between, matches, unnest(range(1, len(matches) + 1)) AS i, unnest(matches) AS m FROM (
+      SELECT row, string_split_regex(text, '{pattern}') AS between, regexp_extract_all(text, '{pattern}') AS matches FROM docs WHERE regexp_matches(text, '{pattern}'))))
+  WHERE {keep}"""
+
+
+def secret_ownership(assign: str, access: str, hex_: str, token: str, different: int, assigned: int, owners: int, repos: int) -> str:
+    quoted = assign.replace("'", "''")
+    value = f"regexp_extract(m, '{quoted}', 2)"
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, source, concat_ws('/', source, lang) AS repo FROM documents
+), base AS (
+  {_places("0", quoted, f"length({value}) >= {assigned}", value)} UNION ALL {_places("1", access, "true", "m")} UNION ALL {_places("2", hex_, "true", "m")}
+), mixed AS (
+  {_places("3", token, f"len(list_distinct(string_split(m, ''))) >= {different} AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')", "m")}
+), hits AS (
+  SELECT * FROM base UNION ALL SELECT * FROM mixed t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = t.row AND b.s < t.e AND t.s < b.e)
+), held AS (
+  SELECT value, count(DISTINCT coalesce(source, chr(0))) >= {owners} OR count(DISTINCT (coalesce(source, chr(0)), coalesce(repo, chr(0)))) >= {repos} AS example FROM hits JOIN docs USING (row) GROUP BY value
+), shown AS (
+  SELECT row, kind, example, s, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || s || ':' || e AS span FROM hits JOIN held USING (value)
+), told AS (
+  SELECT row, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+  string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3 OR NOT example) AS spans, count(*) FILTER (example) AS x FROM shown GROUP BY row
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(x, 0) AS n_examples
+FROM docs LEFT JOIN told USING (row)
+"""
