@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import oracles, secret_scan
+from threadloom.llm.alignment import op12_token_alignment
 from threadloom.llm.ann import op10_kmeans_tree
 from threadloom.llm.html_blocks import op4_main_text
 from threadloom.llm.licenses import op5_license_index
@@ -22,7 +23,7 @@ from threadloom.llm.transport import op8_transport_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_feistel_shards, op2_cotrained_quality, op3_concat_cut, op4_main_text, op5_license_index, op6_bottom_k_dedup, op7_source_mix, op8_transport_streams, op9_orc_ids, op10_kmeans_tree, op11_phrase_runs, op13_secret_ownership)
+    for f in (op1_feistel_shards, op2_cotrained_quality, op3_concat_cut, op4_main_text, op5_license_index, op6_bottom_k_dedup, op7_source_mix, op8_transport_streams, op9_orc_ids, op10_kmeans_tree, op11_phrase_runs, op12_token_alignment, op13_secret_ownership)
 }
 
 #: Results that SQL can express in full. Permutations, tokenizers, trained models and media streams are
