@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -97,14 +98,29 @@ def test_empty_table_and_null_ids(spark):
     assert len(rows) == 2 and rows[0] == rows[1] and rows[0].count_sum == 2 * rows[0].n_links
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab  \t\n.é▁漢​\xa0<"), max_size=30))
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.text(st.sampled_from("ab  \t\n.é▁漢​\xa0<"), max_size=30), st.text(st.sampled_from("stbÄ   \n\t'.,19½_-"), max_size=30)))
 def test_units_keep_every_token(libraries, text):
     pair = alignment.loaded(A, B)
     parts = alignment.units(text) if text else []
-    assert "".join(f" {x}" for x in parts) == (f" {text}" if text else "")
-    ids, want = pair.ids(parts), tokens(libraries, text)
-    if all(ids) and parts:
-        assert [[k for x in ids for k in memoryview(x[n]).cast("i")] for n in (0, 1)] == [[k for k, _, _ in w] for w in want]
+    assert "".join(parts) == (f" {text}" if text else "")
+    want = tokens(libraries, text)
+    whole, (ids_a, n_a, ids_b, n_b) = pair.ids(list(dict.fromkeys(parts))) if parts else ([], [[]] * 4)
+    if parts and set(whole) == set(parts):
+        for ids, n, w in ((ids_a, n_a, want[0]), (ids_b, n_b, want[1])):
+            of = dict(zip(whole, np.split(ids, np.cumsum(n)[:-1]), strict=True))
+            assert [int(k) for x in parts for k in of[x]] == [k for k, _, _ in w]
     else:
         assert want == ([], [])
+
+
+def test_cleared_units_are_learned_again(libraries, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(alignment, "CACHE_UNITS", 3)
+    con, pair = duckdb.connect(), alignment.Pair(A, B)
+    given = ["one two three four", "two ▁", "five, six; one", None]
+    first = [alignment.aligned(con, pair, [x]) for x in given]
+    again = alignment.aligned(con, alignment.Pair(A, B), given)
+    for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "times"):
+        assert [x[name][0] if isinstance(x[name], list) else x[name].tolist()[0] for x in first] == list(again[name] if isinstance(again[name], list) else again[name].tolist())

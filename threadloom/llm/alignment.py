@@ -1,11 +1,12 @@
 """Operator 12: where the tokens of two tokenizers meet.
 
-Both tokenizers cut a text before a space that follows a character other than white space, so texts
-are taken apart there and each different unit of an Arrow batch is aligned once. DuckDB does that in
-the task, over two tables of token intervals on one axis of bytes: an ASOF join finds the B token in
-which an A token begins, another the one in which it ends, the range between them gives the links,
-and window sums over the ends that both share number the groups. Units meet their documents again
-in a join; each document's different id pairs are kept with their number of links.
+Both tokenizers always cut a text at certain places (before a space that follows a character other
+than white space; in Latin texts, at the ends of words), so texts are taken apart there and a worker
+aligns each different unit once. DuckDB does that in the task, for each Arrow batch's new units, over
+two tables of token intervals on one axis of bytes: an ASOF join finds the B token in which an A
+token begins, another the one in which it ends, the range between them gives the links, and window
+sums over the ends that both share number the groups. Units meet their documents again in a join;
+each document's different id pairs are kept with their number of links.
 
 How many documents hold a pair linked is counted in partial sums by task and merged in Spark. The
 ``HEAD`` most frequent pairs go to the tasks as arrays, a bounded size; what documents hold of
@@ -24,6 +25,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ SLICE = 4_000_000
 #: Different pairs that a task sums up before it sends them on.
 PARTIAL = 4_000_000
 
-#: Units kept with their ids in a worker, and the longest that is kept.
-CACHE_UNITS, UNIT_CHARS = 250_000, 64
+#: Different units that a worker keeps with their alignment, and characters of their groups, at most.
+CACHE_UNITS, CACHE_CHARS = 600_000, 60_000_000
 
 #: An id pair is one number: A's id, then this many bits for B's.
 B_BITS = 15
@@ -52,6 +54,12 @@ _SPACE = "\\s\u180e\u200b\ufeff"
 _LOOSE = re.compile(f"[{_SPACE}] ")
 _LOOSE_END = re.compile(f"[{_SPACE}]\\Z")
 
+#: Texts of this alphabet alone are cut at the ends of words too; its letters.
+_ELSE = re.compile("[^\t\n\r -~\xa1-\xac\xae-\u024f]")
+_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: A word with the space before it; or a run of others, which takes the word behind it along where a tokenizer may look over the cut.
+_FINE = re.compile(f" ?[{_L}]+|(?:[^{_L}'\\s]|[\t\n\r'](?![{_L}])| +(?![{_L} ]))+(?:(?: {{2,}}|[\t\n\r'])[{_L}]+)?|(?: {{2,}}|[\t\n\r'])[{_L}]+")
+
 DOCUMENT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<int>, times array<int>"
 
 #: Tables a and b have a row for each token of the batch's units: unit u, place k, id, and bytes s to e.
@@ -64,27 +72,33 @@ CREATE OR REPLACE TEMP TABLE links AS
 SELECT r.u, r.id AS a, b.id AS b FROM (
   SELECT f.u, f.id, unnest(range(f.k0, l.k + 1)) AS k FROM (SELECT a.u, a.id, a.e, b.k AS k0 FROM a ASOF JOIN b ON a.s >= b.s) f ASOF JOIN b l ON f.e > l.s) r
 JOIN b ON b.k = r.k"""
+#: The groups of all units, a line for each unit.
+TOLD = """
+SELECT string_agg(mark || id, '' ORDER BY g, side, s) FROM (
+  SELECT g, side, s, id, CASE WHEN lag(u) OVER o IS NULL THEN '' WHEN lag(u) OVER o <> u THEN chr(10) WHEN lag(g) OVER o <> g THEN ';' WHEN lag(side) OVER o <> side THEN '|' ELSE ',' END AS mark FROM grouped WINDOW o AS (ORDER BY g, side, s))"""
 UNITS = """
-SELECT t.u, n_a, n_b, n_groups, n_links, told FROM (
-  SELECT u, count(*) FILTER (side = 0) AS n_a, count(*) FILTER (side = 1) AS n_b, (max(g) - min(g) + 1)::BIGINT AS n_groups, string_agg(mark || id, '' ORDER BY g, side, s) AS told FROM (
-    SELECT *, CASE WHEN lag(u) OVER o IS DISTINCT FROM u THEN '' WHEN lag(g) OVER o <> g THEN ';' WHEN lag(side) OVER o <> side THEN '|' ELSE ',' END AS mark FROM grouped WINDOW o AS (ORDER BY g, side, s))
-  GROUP BY u) t JOIN (SELECT u, count(*) AS n_links FROM links GROUP BY u) USING (u) ORDER BY u"""
-PAIRS = f"""
-SELECT doc, pair::INT AS pair, sum(n * times)::INT AS times FROM held JOIN (SELECT u, a * {1 << B_BITS} + b AS pair, count(*) AS times FROM links GROUP BY ALL) USING (u)
-GROUP BY doc, pair ORDER BY doc, pair"""
+SELECT u, n_a, n_b, n_groups, n_links FROM (SELECT u, count(*) FILTER (side = 0) AS n_a, count(*) FILTER (side = 1) AS n_b, (max(g) - min(g) + 1)::BIGINT AS n_groups FROM grouped GROUP BY u)
+JOIN (SELECT u, count(*) AS n_links FROM links GROUP BY u) USING (u) ORDER BY u"""
+LINKS = f"SELECT u, (a * {1 << B_BITS} + b)::BIGINT AS pair, count(*) AS times FROM links GROUP BY ALL"
+PAIRS = """
+SELECT doc, pair::INT AS pair, sum(n * times)::INT AS times FROM held JOIN known USING (u) GROUP BY doc, pair ORDER BY doc, pair"""
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+_SPACED = re.compile(f" [{_L}]+")
+#: So many words go to A in one call.
+JOINED = 256
 
 
 def units(text: str) -> list[str]:
-    """The text's units, each without its leading space (the first one's stands before the text)."""
-    words = text.split(" ")
-    if not _LOOSE.search(text) and words[0]:
-        return words
-    out = words[:1]
-    for w in words[1:]:
-        if not out[-1] or _LOOSE_END.search(out[-1]):
+    """Space and text in parts; both tokenizers end a token where a part ends and look at no other part."""
+    if not _ELSE.search(text):
+        return _FINE.findall(f" {text}")
+    out: list[str] = []
+    for w in text.split(" "):
+        if out and (out[-1] == " " or _LOOSE_END.search(out[-1])):
             out[-1] += f" {w}"
         else:
-            out.append(w)
+            out.append(f" {w}")
     return out
 
 
@@ -95,7 +109,7 @@ def byte_of_character() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, their tokens' bytes, and the ids of units met before."""
+    """Both tokenizers, their tokens' bytes, and the alignment of units met before."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -108,34 +122,73 @@ class Pair:
         bytes_of, size = byte_of_character(), self.b.get_piece_size()
         spelled = sorted(self.a.get_vocab().items(), key=lambda x: x[1])
         self.bytes_a = [bytes(map(bytes_of.__getitem__, t)) if all(c in bytes_of for c in t) else t.encode() for t, _ in spelled]
-        piece = lambda k: bytes([int(self.b.id_to_piece(k)[1:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("\u2581", " ").encode()
-        self.bytes_b = [piece(k) for k in range(size)]
+        pieces = [None if self.b.is_byte(k) else self.b.id_to_piece(k).replace("\u2581", " ") for k in range(size)]
+        self.bytes_b = [bytes([int(self.b.id_to_piece(k)[1:-1], 16)]) if p is None else p.encode() for k, p in enumerate(pieces)]
         if [k for _, k in spelled] != list(range(len(spelled))) or size > 1 << B_BITS or len(spelled) > 1 << (31 - B_BITS):
             raise ValueError("ids must be gapless, and a pair must fit 31 bits")
-        if any(" " in x.lstrip(b" ").decode("latin-1") for x in self.bytes_b):
-            raise ValueError("a piece of B reaches over a space, so texts can't be cut there")
+        cores = [p.lstrip(" ") for k, p in enumerate(pieces) if p and not self.b.is_control(k) and not self.b.is_unknown(k)]
+        if any(" " in p or not _ELSE.search(p) and re.search(f"[{_L}][^{_L}]|[^{_L}][{_L}]", p) for p in cores):
+            raise ValueError("a piece of B reaches over the end of a word, so texts can't be cut there")
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("\u2581")
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def ids(self, wanted: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Of each unit both lists of ids (4 bytes each), or None where either's bytes aren't the unit's."""
-        new = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known, new = {}, wanted
-        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1) if new else []
-        found = self.known
-        if any(len(w) > UNIT_CHARS for w in new):
-            found = dict(found)
-        for w, a, b in zip(new, ids_a, ids_b, strict=True):
-            b = b if w else [self.space]
-            raw = f" {w}".encode("utf-8", "surrogatepass")
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            found[w] = (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
-            if len(w) <= UNIT_CHARS:
-                self.known[w] = found[w]
-        return [found[w] for w in wanted]
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}  # -1: bytes of A or B are not the unit's
+        self.told: list[str] = []
+        self.chars = 0
+        self.counts = np.zeros((4, 0), np.int64)
+        self.links = pa.table({k: pa.array([], t) for k, t in (("u", pa.int64()), ("pair", pa.int64()), ("times", pa.int64()))})
+
+    def ids(self, wanted: list[str]) -> tuple[list[str], list[np.ndarray]]:
+        """Those units whose bytes A and B give back, and for each tokenizer their ids and how many belong to each."""
+        # Words with a space before them are cut apart in any text, so many go to A in one call.
+        spaced = [w for w in wanted if w[0] == " " and _SPACED.fullmatch(w)]
+        rest = list(set(wanted).difference(spaced))
+        units = spaced + rest
+        joined = ["".join(spaced[k : k + JOINED]) for k in range(0, len(spaced), JOINED)]
+        ids_a = np.fromiter(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(joined + rest, add_special_tokens=False)), np.int32)
+        # B puts a space before each text; a line end, which is a byte of its own, keeps it from a word without one.
+        in_b = self.b.encode([w[1:] if w[0] == " " else f"\n{w}" for w in units], num_threads=1)
+        in_b = [[self.space] if w == " " else b if w[0] == " " else b[2:] for w, b in zip(units, in_b, strict=True)]
+        ids_b, n_b = np.fromiter(chain.from_iterable(in_b), np.int32), np.array([len(b) for b in in_b])
+        raw = [w.encode("utf-8", "replace") for w in units]
+        ends = np.cumsum([len(x) for x in raw])
+        last_a = np.searchsorted(np.cumsum(self.sizes_a[ids_a]), ends, "right")
+        n_a = np.diff(last_a, prepend=0)
+        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        if b"".join(raw) == b"".join(map(of_a, ids_a.tolist())) == b"".join(map(of_b, ids_b.tolist())) and (np.cumsum(self.sizes_b[ids_b])[np.cumsum(n_b) - 1] == ends).all():
+            return units, [ids_a, n_a, ids_b, n_b]
+        kept = []  # one of them at least differs: each on its own
+        in_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        for w, x, a, b in zip(units, raw, in_a, in_b, strict=True):
+            if b"".join(map(of_a, a)) == x == b"".join(map(of_b, b)):
+                kept.append((w, a, b))
+        flat = lambda k: np.fromiter(chain.from_iterable(x[k] for x in kept), np.int32)
+        return [x[0] for x in kept], [flat(1), np.array([len(x[1]) for x in kept], int), flat(2), np.array([len(x[2]) for x in kept], int)]
+
+    def learn(self, con, wanted: list[str]) -> None:
+        """Aligns units that are new."""
+        if len(self.place) > CACHE_UNITS or self.chars > CACHE_CHARS:
+            self.clear()
+        new = [w for w in wanted if w not in self.place]
+        if not new:
+            return
+        units, (ids_a, n_a, ids_b, n_b) = self.ids(new)
+        first = len(self.told)
+        self.place |= dict.fromkeys(new, -1)
+        self.place |= dict(zip(units, range(first, first + len(units)), strict=True))
+        if not units:
+            return
+        con.register("a", intervals(ids_a, n_a, self.sizes_a, first))
+        con.register("b", intervals(ids_b, n_b, self.sizes_b, first))
+        con.execute(TOKENS)
+        told = con.sql(TOLD).fetchall()[0][0]
+        self.told += told.split("\n")
+        self.chars += len(told)
+        found = con.sql(UNITS).to_arrow_table()
+        self.counts = np.concatenate([self.counts, [found[c].to_numpy() for c in COUNTS]], axis=1)
+        self.links = pa.concat_tables([self.links, con.sql(LINKS).to_arrow_table()]).combine_chunks()
 
 
 @lru_cache(maxsize=2)
@@ -144,43 +197,30 @@ def loaded(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def intervals(ids: list[bytes], sizes: np.ndarray) -> pa.Table:
-    """The tokens of units that lie one behind the other."""
-    flat = np.frombuffer(b"".join(ids), np.int32)
-    ends = np.cumsum(sizes[flat])
-    u = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
-    return pa.table({"u": u, "k": np.arange(len(flat)), "id": flat, "s": ends - sizes[flat], "e": ends})
+def intervals(ids: np.ndarray, size: np.ndarray, sizes: np.ndarray, first: int) -> pa.Table:
+    """The tokens of units that lie one behind the other, numbered from ``first``."""
+    ends = np.cumsum(sizes[ids])
+    return pa.table({"u": np.repeat(np.arange(first, first + len(size)), size), "k": np.arange(len(ids)), "id": ids, "s": ends - sizes[ids], "e": ends})
 
 
 def aligned(con, pair: Pair, given: list[str]) -> dict[str, list]:
     """Columns of DOCUMENT without doc_id, for a slice's texts."""
     parts = [units(x) if x else [] for x in given]
-    place = {w: k for k, w in enumerate(dict.fromkeys(w for x in parts for w in x))}
-    ids = pair.ids(list(place))
-    good = [x is not None for x in ids]
-    number = (np.cumsum(good) - 1).tolist()
-    at = [[number[k] for k in ks] if (ks := [place[w] for w in x]) and all(good[k] for k in ks) else [] for x in parts]
+    pair.learn(con, list(set().union(*parts)))
+    at = [list(map(pair.place.__getitem__, x)) for x in parts]
+    at = [x if x and min(x) >= 0 else [] for x in at]
     n = len(given)
-    out = {k: np.zeros(n, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": [""] * n}
-    bounds, pairs, times = np.zeros(n + 1, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    if any(at):
-        sound = [x for x in ids if x is not None]
-        con.register("a", intervals([a for a, _ in sound], pair.sizes_a))
-        con.register("b", intervals([b for _, b in sound], pair.sizes_b))
-        doc = np.repeat(np.arange(n), [len(x) for x in at])
-        flat = np.concatenate([np.array(x, np.int64) for x in at])
-        both, count = np.unique(doc * len(sound) + flat, return_counts=True)
-        con.register("held", pa.table({"doc": both // len(sound), "u": both % len(sound), "n": count}))
-        con.execute(TOKENS)
-        told = con.execute(UNITS).to_arrow_table()
-        for name in ("n_a", "n_b", "n_groups", "n_links"):
-            out[name] = np.bincount(doc, weights=told[name].to_numpy()[flat], minlength=n).astype(np.int64)
-        words = told["told"].to_pylist()
-        out["groups_sha256"] = [hashlib.sha256(";".join([words[k] for k in x]).encode()).hexdigest() if x else "" for x in at]
-        rows = con.execute(PAIRS).to_arrow_table()
-        pairs, times = rows["pair"].to_numpy(), rows["times"].to_numpy()
-        bounds = np.searchsorted(rows["doc"].to_numpy(), np.arange(n + 1)).astype(np.int32)
-    return out | {"pairs": pa.ListArray.from_arrays(bounds, pa.array(pairs, pa.int32())), "times": pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))}
+    size = np.array([len(x) for x in at])
+    doc, flat = np.repeat(np.arange(n), size), np.fromiter(chain.from_iterable(at), np.int64, size.sum())
+    out: dict[str, list] = {name: np.bincount(doc, weights=c[flat], minlength=n).astype(np.int64) for name, c in zip(COUNTS, pair.counts, strict=True)}
+    out["groups_sha256"] = [hashlib.sha256(";".join(map(pair.told.__getitem__, x)).encode()).hexdigest() if x else "" for x in at]
+    units_known = len(pair.told) + 1
+    held, count = np.unique(doc * units_known + flat, return_counts=True)
+    con.register("held", pa.table({"doc": held // units_known, "u": held % units_known, "n": count}))
+    con.register("known", pair.links)
+    rows = con.sql(PAIRS).to_arrow_table()
+    bounds = np.searchsorted(rows["doc"].to_numpy(), np.arange(n + 1)).astype(np.int32)
+    return out | {c: pa.ListArray.from_arrays(bounds, rows[c].combine_chunks()) for c in ("pair", "times")}
 
 
 def documents(docs: DataFrame, path_a: str, path_b: str, work: Scratch) -> DataFrame:
@@ -193,7 +233,7 @@ def documents(docs: DataFrame, path_a: str, path_b: str, work: Scratch) -> DataF
         with duckdb.connect(config={"threads": 1, "temp_directory": ""}) as con:
             for batch in slices(batches, "text", SLICE):
                 out = aligned(con, pair, texts(batch))
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(x if isinstance(x, pa.Array) else pa.array(x) for x in out.values())], names=["doc_id", *out])
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(x if isinstance(x, pa.Array) else pa.array(x) for x in out.values())], names=["doc_id", *COUNTS, "groups_sha256", "pairs", "times"])
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return work.save(narrow.mapInArrow(run, DOCUMENT).withColumn("row", F.monotonically_increasing_id()), "documents")
