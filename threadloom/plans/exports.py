@@ -56,6 +56,43 @@ def export_sessions(spark, d):
     return exports.sessions(exports.messages(documents(spark, d))).groupBy("provider").agg(F.count("*").alias("sessions"), F.sum("messages").alias("messages"))
 
 
+#: In which provider's shape a user's calls are written, by the id's remainder.
+CALLERS = ["claude_code", "codex", "hermes"]
+
+
+def calls(spark, d):
+    """Clicks as calls and errors as results, as exports: records of a line each, or a document for each user."""
+    e = read(spark, d, "events").where("event_type in ('click', 'error')")
+    click, at, user = F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("user_id").cast("string")
+    part = F.when(click, F.struct(F.lit("tool_use").alias("type"), F.col("props").alias("id"), F.col("event_type").alias("name"), F.struct("value").alias("input"), *[F.lit(None).cast(t).alias(c) for c, t in (("tool_use_id", "string"), ("content", "string"), ("is_error", "boolean"))]))
+    part = part.otherwise(F.struct(F.lit("tool_result").alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("id", "name")], F.lit(None).cast("struct<value:double>").alias("input"), F.col("props").alias("tool_use_id"), F.lit("out").alias("content"), F.lit(True).alias("is_error")))
+    code = F.struct(user.alias("sessionId"), F.col("event_id").cast("string").alias("uuid"), at.alias("timestamp"), F.struct(F.when(click, "assistant").otherwise("user").alias("role"), F.array(part).alias("content")).alias("message"))
+    output = F.to_json(F.struct(F.lit("out").alias("output"), F.struct((F.col("event_id") % 2).alias("exit_code")).alias("metadata")))
+    payload = F.struct(F.when(click, "function_call").otherwise("function_call_output").alias("type"), F.col("props").alias("call_id"), F.when(click, F.col("event_type")).alias("name"), F.when(click, "{}").alias("arguments"), F.when(~click, output).alias("output"))
+    codex = F.struct(F.lit("response_item").alias("type"), at.alias("timestamp"), payload.alias("payload"))
+    lines = e.where("user_id % 3 < 2").select(user.alias("path"), F.when(F.col("user_id") % 3 == 0, F.to_json(code)).otherwise(F.to_json(codex)).alias("payload"))
+    call = F.array(F.struct(F.col("props").alias("id"), F.struct(F.col("event_type").alias("name"), F.lit("{}").alias("arguments")).alias("function")))
+    turn = F.struct("ts", F.when(click, "assistant").otherwise("tool").alias("role"), F.when(click, call).alias("tool_calls"), F.when(~click, F.col("props")).alias("tool_call_id"), F.when(~click, "out").alias("content"))
+    whole = e.where("user_id % 3 = 2").groupBy("user_id").agg(F.array_sort(F.collect_list(turn)).alias("messages"))
+    docs = whole.select(user.alias("path"), F.to_json(F.struct(user.alias("session_id"), F.lit("cli").alias("platform"), "messages")).alias("payload"))
+    return lines.union(docs)
+
+
+_CALLS = f"""e AS (SELECT *, {CALLERS}[user_id % 3 + 1] AS provider, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS position FROM events WHERE event_type IN ('click', 'error'))"""
+
+
+@query(f"""WITH {_CALLS}, u AS (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY ts) AS r FROM e WHERE event_type = 'click'), x AS (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY ts) AS r FROM e WHERE event_type = 'error')
+SELECT u.provider, CAST(u.user_id AS VARCHAR) AS session_id, u.position, u.props AS tool_id, x.position AS result_position,
+CASE WHEN x.r IS NULL THEN 'no_result' WHEN u.provider = 'hermes' THEN 'outcome_unknown' WHEN u.provider = 'claude_code' OR x.event_id % 2 = 1 THEN 'outcome_error' ELSE 'outcome_success' END AS state FROM u LEFT JOIN x ON x.user_id = u.user_id AND x.props = u.props AND x.r = u.r""")
+def export_actions(spark, d):
+    return exports.actions(exports.blocks(calls(spark, d))).select("provider", "session_id", "position", "tool_id", "result_position", "state")
+
+
+@query(f"WITH {_CALLS} SELECT provider, CASE event_type WHEN 'click' THEN 'tool_use' ELSE 'tool_result' END AS kind, count(*) AS n, count(DISTINCT user_id) AS sessions FROM e GROUP BY 1, 2")
+def export_blocks(spark, d):
+    return exports.blocks(calls(spark, d)).groupBy("provider", "kind").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'inserted' WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 5 = 0 THEN 'replaced' ELSE 'same' END AS change, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 5 = 0 THEN 'old' ELSE text END AS text, CASE WHEN doc_id % 2 = 0 THEN 'mine' END AS note
 FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0""")
 def content_upsert(spark, d):
