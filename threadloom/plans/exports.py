@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import units
 from threadloom.plans.registry import query
-from threadloom.sources import exports
+from threadloom.scratch import folder
+from threadloom.sources import exports, packed
 from threadloom.tables import messages, read
 
 #: In which provider's shape a conversation is written, by its id's remainder.
@@ -56,6 +57,16 @@ def export_sessions(spark, d):
     return exports.sessions(exports.messages(documents(spark, d))).groupBy("provider").agg(F.count("*").alias("sessions"), F.sum("messages").alias("messages"))
 
 
+@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role, text FROM conversations WHERE text <> ''")
+def packed_messages(spark, d):
+    """Files of conversations, read back in slices of 64 kB, a document of more than 4 kB in parts."""
+    turn = F.struct("turn", F.col("role").alias("sender"), "text")
+    docs = read(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("uuid")).agg(F.array_sort(F.collect_list(turn)).alias("chat_messages"))
+    path = f"{folder(spark, 'exports')}/files"
+    docs.write.json(path)
+    return exports.messages(packed.read(spark, path, 1 << 16, 1 << 12).where("state = 'ok'")).select("session_id", "position", "role", "text")
+
+
 #: In which provider's shape a user's calls are written, by the id's remainder.
 CALLERS = ["claude_code", "codex", "hermes"]
 
