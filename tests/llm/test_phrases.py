@@ -54,21 +54,25 @@ def test_odd_texts(spark, head):
 def test_ranges_and_partial_counts_change_nothing(spark, monkeypatch):
     docs = table(spark, SF, "documents")
     want = brute([(r.text, r.lang) for r in docs.select("text", "lang").collect()], 4, 50)
-    for name, value in (("RANGE_KEYS", 3000), ("PARTIAL_KEYS", 10_000), ("PARTIAL_WORDS", 500), ("SAMPLE", 2000)):
-        monkeypatch.setattr(phrases, name, value)
-    assert rows_of(phrases.collocations(docs, least=4, top=None, head=500)) == want
+    monkeypatch.setattr(phrases, "RANGE_KEYS", 5000)
+    how = {"head": 500, "bits": 7, "words_at_once": 500, "keys_at_once": 10_000}  # so few bits that the filter is full
+    assert rows_of(phrases.collocations(docs, least=4, top=None, **how)) == want
+    assert rows_of(phrases.collocations(docs, least=4, top=7, **how)) == [x for x in want if x[1] <= 7]
 
 
 def test_keys_and_runs():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 5, 4000).astype(np.int32)
-    pair, third, n = phrases.run_lengths(*phrases.packed(ids))
-    want = Counter(tuple(ids[k : k + 3]) for k in range(len(ids) - 2) if (ids[k : k + 3] > 0).all())
-    want += Counter((*ids[k : k + 2], 0) for k in range(len(ids) - 1) if (ids[k : k + 2] > 0).all())
-    keys = [(int(p >> np.uint64(32)), int(p & np.uint64(2**32 - 1)), int(t)) for p, t in zip(pair, third, strict=True)]
-    assert keys == sorted(keys) and dict(zip(keys, n.tolist(), strict=True)) == want
-    again = phrases.run_lengths(np.tile(pair, 3), np.tile(third, 3), np.tile(n, 3))
-    assert (again[0] == pair).all() and (again[2] == 3 * n).all() and len(phrases.run_lengths(pair[:0], third[:0])[0]) == 0
+    everything = np.full(1 << (phrases.FILTER_BITS - 3), 255, np.uint8)
+    for size, seen in ((2, None), (3, everything)):
+        pair, third, n = phrases.run_lengths(*phrases.keys_of(ids, seen))
+        want = Counter((*ids[k : k + size], 0)[:3] for k in range(len(ids) - size + 1) if (ids[k : k + size] > 0).all())
+        keys = [(int(p >> np.uint64(32)), int(p & np.uint64(2**32 - 1)), int(t)) for p, t in zip(pair, third, strict=True)]
+        assert keys == sorted(keys) and dict(zip(keys, n.tolist(), strict=True)) == want
+        again = phrases.run_lengths(np.tile(pair, 3), np.tile(third, 3), np.tile(n, 3))
+        assert (again[0] == pair).all() and (again[2] == 3 * n).all() and len(phrases.run_lengths(pair[:0], third[:0])[0]) == 0
+        for x in (pair, third, n.astype(np.uint32), pair[:0]):
+            assert (phrases._spread(phrases._squeezed(x), len(x), x.dtype.type) == x).all()
 
 
 def test_products_beyond_64_bits(spark):
