@@ -226,16 +226,106 @@ def topology(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) left when those without a way in or out are peeled off; none are left if, and only if, there is no cycle.
+    """Edges (a, b) left when those without a way in or out are peeled off, which are those on cycles and from one cycle to another; none are left if, and only if, there is no cycle."""
+    keep = _numbered(folder(edges.sparkSession, "core"))
+    every = keep(edges.select("a", "b").distinct())
+    of = keep(strong_components(edges))
+    one, two = (of.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+    merged = every.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    left, runs, _ = _raked(keep(merged), of.select(F.col("component").alias("node")).distinct(), keep)
+    held = keep(left.select(F.col("a").alias("node")).union(left.select("b")).union(of.select("node")).distinct())
+    for run in reversed(runs):  # a run is between two cycles if both its ends are
+        held = keep(held.union(run.join(held.select(F.col("node").alias("up")), "up", "left_semi").join(held.select(F.col("node").alias("down")), "down", "left_semi").select("node")))
+    return every.join(held.select(F.col("node").alias("a")), "a", "left_semi").join(held.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
 
-    Each round is written in the shared folder; there are as many rounds as the longest tail is long.
+
+def _numbered(root: str):
+    steps = iter(range(1 << 30))
+    return lambda df: _keep(df, f"{root}/{next(steps)}")
+
+
+def _raked(left: DataFrame, fixed: DataFrame | None, keep) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Edges (a, b) without ends and runs: nodes with one way only go, a node with one way in and one out becomes part of an edge; ``fixed`` nodes stay.
+
+    Gives what is left, the runs in order (node, up, down: the nodes at both ends) and rings of such nodes alone (node, label).
     """
-    root = folder(edges.sparkSession, "graph")
-    left, before, k = edges.select("a", "b").distinct(), -1, 0
+    runs, rings = [], []
+    while left.limit(1).count():
+        ways = left.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("o")).join(left.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("i")), "node", "full")
+        if fixed is not None:
+            ways = ways.join(fixed.withColumn("_fixed", F.lit(2)), "node", "left").select("node", *[(F.coalesce(c, F.lit(0)) + F.coalesce("_fixed", F.lit(0))).alias(c) for c in "io"])
+        ways = keep(ways.where("i > 0 and o > 0"))
+        chain = ways.where("i = 1 and o = 1").select("node")
+        long = chain.count()
+        if not long:
+            inner = keep(left.join(ways.select(F.col("node").alias("a")), "a", "left_semi").join(ways.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"))
+            if inner.count() == left.count():
+                break
+            left = inner
+            continue
+        up, down = left.select(F.col("b").alias("node"), F.col("a").alias("up")), left.select(F.col("a").alias("node"), F.col("b").alias("down"))
+        at, reach, moving = keep(chain.join(up, "node").join(down, "node").withColumn("least", F.col("node"))), 1, True
+        while moving and reach <= 2 * long:  # a pointer that still moves then is on a ring
+            on = at.select(F.col("node").alias("down"), F.col("down").alias("_down"), F.col("least").alias("_least"))
+            back = at.select(F.col("node").alias("up"), F.col("up").alias("_up"))
+            at = keep(at.join(on, "down", "left").join(back, "up", "left").select("node", F.coalesce("_up", "up").alias("up"), F.coalesce("_down", "down").alias("down"), F.least("least", F.coalesce("_least", "least")).alias("least"), (F.col("_down").isNotNull() | F.col("_up").isNotNull()).alias("moved")))
+            reach, moving = reach * 2, at.where("moved").limit(1).count() > 0
+        still = F.col("moved") if moving else F.lit(False)
+        rings.append(at.where(still).select("node", F.col("least").alias("label")))
+        runs.append(at.where(~still).select("node", "up", "down"))
+        past = runs[-1].select(F.col("node").alias("b"), F.col("down").alias("_to"))
+        left = keep(left.join(chain.select(F.col("node").alias("a")), "a", "left_anti").join(past, "b", "left").select("a", F.coalesce("_to", "b").alias("b")).where("a <> b").distinct())
+    return left, runs, rings
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes on cycles of edges (a, b), the component being its least node.
+
+    Nodes without a way in or out go, and runs of nodes with one way in and one way out become one
+    edge each, by pointers that double their reach; trees, tails and rings so need a number of rounds
+    that grows with the logarithm of their size. In what is left, colours run forward (each node takes
+    the greatest that reaches it) and a component is what reaches its colour's own node backward; that
+    takes rounds by the core's diameter. Each round is a written table. Edges with a null end are none.
+    """
+    keep = _numbered(folder(edges.sparkSession, "strong"))
+    every = keep(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    left, runs = keep(every.where("a <> b")), []
+    found = left.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
     while True:
-        left = _keep(left, f"{root}/core-{k}")
-        now = left.count()
-        if now in (0, before):
-            return left
-        starts, ends = left.select(F.col("a").alias("b")).distinct(), left.select(F.col("b").alias("a")).distinct()
-        left, before, k = left.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"), now, k + 1
+        left, more, rings = _raked(left, None, keep)
+        runs += more
+        for ring in rings:
+            found = found.union(ring)
+        if not left.limit(1).count():
+            break
+        ways = left.select(F.col("a").alias("node")).distinct()
+        ends = lambda df, *c: [df.select(F.col("node").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in c]) for x in "ab"]
+        colour = keep(ways.select("node", F.col("node").alias("colour")))
+        moving = True
+        while moving:
+            came = left.join(colour.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("came"))
+            new = keep(colour.join(came, "node", "left").select("node", F.greatest("colour", F.coalesce("came", "colour")).alias("colour"), (F.col("came") > F.col("colour")).alias("moved")))
+            moving = new.where("moved").limit(1).count() > 0
+            colour = new.select("node", "colour")
+        one, two = ends(colour, "colour")
+        same = keep(left.join(one, "a").join(two, "b").where("colour_a = colour_b").select("a", "b", F.col("colour_a").alias("label")))
+        front = keep(colour.where("node = colour").select("node", F.col("colour").alias("label")))
+        reached = front
+        while front.limit(1).count():
+            back = same.join(front.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "label").distinct()
+            front = keep(back.join(reached.select("node"), "node", "left_anti"))
+            reached = keep(reached.union(front))
+        found = keep(found.union(reached))
+        out = reached.select("node")
+        left = keep(left.join(out.withColumnRenamed("node", "a"), "a", "left_anti").join(out.withColumnRenamed("node", "b"), "b", "left_anti"))
+    for run in reversed(runs):  # a run belongs to a component if both its ends do
+        label = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))  # noqa: E731, B023
+        both = run.join(label("up"), "up", "left").join(label("down"), "down", "left").select("node", F.coalesce("_up", "up").alias("_up"), F.coalesce("_down", "down").alias("_down"), "up")
+        held = both.where("_up = _down")
+        alone = held.where("_up = up").select(F.col("up").alias("node"), F.col("up").alias("label"))  # its end's own cycle goes through it
+        found = keep(found.union(held.select("node", F.col("_up").alias("label"))).union(alone).distinct())
+    loops = every.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label")).join(found.select("node"), "node", "left_anti")
+    sizes = found.groupBy("label").agg(F.count("*").alias("_n"), F.min("node").alias("component"))
+    several = found.join(sizes.where("_n > 1"), "label").select("node", "component")
+    single = found.join(sizes.where("_n = 1"), "label").join(every.where("a = b").select(F.col("a").alias("node")), "node").select("node", F.col("node").alias("component"))
+    return several.union(single).union(loops.select("node", F.col("label").alias("component")))

@@ -55,15 +55,8 @@ def bootstrap(df: DataFrame, key: str, value: str, item: str, resamples: int = 2
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(node) of each node that is reachable from itself: pairs are closed over what is left when loose ends are peeled off."""
-    root, k = folder(edges.sparkSession, "closure"), 0
-    at = written(graph.cyclic_core(edges).distinct(), f"{root}/0")
-    before, now = -1, at.count()
-    while now != before:
-        k += 1
-        at = written(at.union(at.join(at.select(F.col("a").alias("b"), F.col("b").alias("_c")), "b").select("a", F.col("_c").alias("b"))).distinct(), f"{root}/{k}")
-        before, now = now, at.count()
-    return at.where("a = b").select(F.col("a").alias("node"))
+    """(node) of each node that is reachable from itself."""
+    return graph.strong_components(edges).select("node")
 
 
 def ancestry(roots: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
