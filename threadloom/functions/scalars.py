@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -45,7 +46,7 @@ def fold_stroke(c: Column) -> Column:
 def _bases() -> tuple[str, str]:
     """Small Latin letters with marks and, in the same places, those letters alone; then the marks."""
     pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for block in ((0xDF, 0x250), (0x1E00, 0x1F00)) for k in range(*block)]
-    pairs = [(a, b) for a, b in pairs if a == a.lower() and "a" <= b <= "z"]
+    pairs = [(a, b) for a, b in pairs if a == a.lower() and "a" <= b <= "z"] + [("ł", "l")]  # R2: its stroke is no mark
     return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
 
 
@@ -66,6 +67,12 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
+def query_terms(words: list[str]) -> list[str]:
+    """What a user asks for, folded and cut into terms as texts are; each once."""
+    table = str.maketrans(_MARKED[: len(_PLAIN)], _PLAIN, _MARKED[len(_PLAIN) :])
+    return list(dict.fromkeys(t for w in words for t in re.findall(r"[^\W_]+", w.lower().translate(table))))
+
+
 def correlation_label(r: Column) -> Column:
     """I21."""
     a = F.abs(r)

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.scalars import RAW_WORD, folded, terms
+from threadloom.functions.scalars import RAW_WORD, folded, query_terms, terms
+from threadloom.operators.index import Index
 from threadloom.scratch import folder, written
 
 K1, B = 1.2, 0.75
-#: Parts of an inverted index; a term's postings lie in one, sorted by term.
-BUCKETS = 64
 _ALONE = r"(?<![\p{L}\p{N}])%s(?![\p{L}\p{N}])"
 
 
@@ -33,7 +32,9 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str], keep: list[s
     Texts are read once: lengths and the query's counts, a narrow row for each document, are written.
     For many searches of one table see ``write_index``.
     """
-    keep = [doc_id, *keep]
+    keep, query = [doc_id, *keep], query_terms(query)
+    if not query:
+        return docs.select(*keep, F.lit(0.0).alias("score")).limit(0)
     plain = docs.select(*keep, F.coalesce(F.regexp_count(text, F.lit(RAW_WORD)), F.lit(0)).alias("_dl"), folded(F.col(text)).alias("_text"))
     counts = [F.when(F.contains("_text", F.lit(q)), F.regexp_count("_text", F.lit(_ALONE % re.escape(q)))).otherwise(0).alias(f"_{k}") for k, q in enumerate(query)]
     rows = written(plain.select(*keep, "_dl", *counts), f"{folder(docs.sparkSession, 'bm25')}/counts")
@@ -41,39 +42,48 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str], keep: list[s
     return _scores(rows, stats, keep, query)
 
 
-def write_index(docs: DataFrame, doc_id: str, text: str, path: str) -> None:
-    """An inverted index: postings (term, doc, tf, dl, places), in parts by term and sorted, and the documents' lengths.
+def write_index(docs: DataFrame, doc_id: str, text: str, path: str) -> Index:
+    """An inverted index of all documents; ``Index.apply`` keeps it up to date. Of rows with one id one is taken."""
+    index = Index(docs.sparkSession, path)
+    index.apply(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.lit(False).alias("deleted")))
+    return index
 
-    A search then reads the parts and row groups of its terms alone. Places serve phrases.
-    """
-    numbered = docs.select(F.col(doc_id).alias("doc"), terms(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    numbered.select("doc", F.when(F.col("dl") < 0, 0).otherwise(F.col("dl")).alias("dl")).write.parquet(f"{path}/lengths")
-    long = numbered.select("doc", "dl", F.posexplode("_t").alias("at", "term"))
-    postings = long.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("places"))
-    parted = postings.withColumn("part", F.pmod(F.hash("term"), F.lit(BUCKETS)))
-    # A frequent term's rows are dealt over several tasks by document.
-    dealt = parted.repartition("part", F.pmod(F.hash("doc"), F.lit(8)))
-    dealt.sortWithinPartitions("part", "term", "doc").write.partitionBy("part").parquet(f"{path}/postings")
+
+#: Indexes of this process by session, table and column.
+_KEPT: dict[tuple, tuple[str, str]] = {}
 
 
-def _postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
-    asked = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("term"))
-    parts = [r.p for r in asked.select(F.pmod(F.hash("term"), F.lit(BUCKETS)).alias("p")).distinct().collect()]  # one for each query word at most
-    return spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts) & F.col("term").isin(words))
+def kept_index(docs: DataFrame, doc_id: str, text: str) -> Index:
+    """The index of a table of files: built when first asked for, and brought up to date when its files are others than before."""
+    spark = docs.sparkSession
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    mark = str(files.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0])
+    key = (spark.sparkContext.applicationId, doc_id, text, str(docs.inputFiles()[:1]).rsplit("/", 1)[0])
+    path, seen = _KEPT.get(key, (None, None))
+    if path is None:
+        path = f"{folder(spark, 'kept')}/index"
+        write_index(docs, doc_id, text, path)
+    elif seen != mark:
+        index, source = Index(spark, path), docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+        index.apply(index.drift(source).join(source, "doc", "left").select("doc", "text", (F.col("state") == "extra").alias("deleted")))
+    _KEPT[key] = (path, mark)
+    return Index(spark, path)
 
 
-def search_index(spark: SparkSession, path: str, query: list[str]) -> DataFrame:
+def search_index(index: Index, query: list[str]) -> DataFrame:
     """(doc, score) as ``bm25`` gives them, from an index."""
+    query = query_terms(query)
     counts = [F.coalesce(F.max(F.when(F.col("term") == q, F.col("tf"))), F.lit(0)).alias(f"_{k}") for k, q in enumerate(query)]
-    rows = _postings(spark, path, query).groupBy("doc").agg(F.first("dl").alias("_dl"), *counts)
-    whole = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"))
+    rows = index.postings(query).groupBy("doc").agg(F.first("dl").alias("_dl"), *counts)
+    docs, words = index.counts()
     held = rows.agg(*[F.count_if(F.col(f"_{k}") > 0).alias(f"_df{k}") for k in range(len(query))])
-    return _scores(rows, whole.join(held), ["doc"], query)
+    return _scores(rows, held.select("*", F.lit(docs).alias("_n"), F.lit(words / max(docs, 1)).alias("_avg")), ["doc"], query)
 
 
-def boolean(spark: SparkSession, path: str, every: list[str] = (), some: list[str] = (), none: list[str] = ()) -> DataFrame:
+def boolean(index: Index, every: list[str] = (), some: list[str] = (), none: list[str] = ()) -> DataFrame:
     """Documents of an index that hold every word of one list, some of another and none of a third."""
-    found = _postings(spark, path, [*every, *some, *none]).groupBy("doc").agg(F.collect_set("term").alias("_t"))  # query words only
+    every, some, none = map(query_terms, (every, some, none))
+    found = index.postings([*every, *some, *none]).groupBy("doc").agg(F.collect_set("term").alias("_t"))  # query words only
     has = [F.array_contains("_t", w) for w in every]
     if some:
         has.append(F.arrays_overlap("_t", F.array(*map(F.lit, some))))
@@ -83,13 +93,19 @@ def boolean(spark: SparkSession, path: str, every: list[str] = (), some: list[st
             found = found.where(one)
         return found.select("doc")
     barred = found.where(F.arrays_overlap("_t", F.array(*map(F.lit, none)))).select("doc") if none else None
-    every_doc = spark.read.parquet(f"{path}/lengths").select("doc")
+    every_doc = index.docs()
     return every_doc if barred is None else every_doc.join(barred, "doc", "left_anti")
 
 
-def phrase_in_index(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+def _in_order(words: list[str]) -> list[str]:
+    """A phrase's terms, repeated ones as often as they stand in it."""
+    return [t for w in words for part in re.findall(r"[^\W_]+", w) for t in query_terms([part])]
+
+
+def phrase_in_index(index: Index, words: list[str]) -> DataFrame:
     """Documents of an index in which the words stand next to each other, by their places."""
-    here = _postings(spark, path, words).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_m"))
+    words = _in_order(words)
+    here = index.postings(list(dict.fromkeys(words))).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_m"))
     back = lambda k: lambda place: place - k
     at = [F.transform(F.coalesce(F.col("_m")[w], F.array().cast("array<int>")), back(k)) for k, w in enumerate(words)]
     both = at[0]
@@ -140,12 +156,13 @@ def overlap(docs: DataFrame, doc_id: str, text: str, seed: str, least: float) ->
 
 def phrase(text: Column, words: list[str], prefix: bool = False) -> Column:
     """The words stand next to each other; with ``prefix`` the last may go on."""
-    inner = r"[^\p{L}\p{N}]+".join(re.escape(w.lower()) for w in words)
+    inner = r"[^\p{L}\p{N}]+".join(map(re.escape, _in_order(words)))
     return F.rlike(folded(text), F.lit(r"(^|[^\p{L}\p{N}])" + inner + ("" if prefix else r"([^\p{L}\p{N}]|$)")))
 
 
 def snippet(text: Column, word: str, before: int = 6, after: int = 17) -> Column:
     """The first hit with its neighbours, 24 words by default; each hit in it stands in brackets."""
+    word = "|".join(query_terms([word]))
     one, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
     cut = F.regexp_extract(folded(text), f"(?:{one}{gap}){{0,{before}}}(?<![\\p{{L}}\\p{{N}}])(?:{word})(?![\\p{{L}}\\p{{N}}])(?:{gap}{one}){{0,{after}}}", 0)
     return F.regexp_replace(cut, _ALONE % word, f"[{word}]")

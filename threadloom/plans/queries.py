@@ -149,7 +149,8 @@ SELECT doc_id, round(ln(1+(n-da+0.5)/(da+0.5))*a*2.2/(a+1.2*(0.25+0.75*dl/av)) +
 
 @query(f"SELECT doc_id, score FROM {BM25} ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
-    return search.bm25(read(spark, d, "documents"), "doc_id", "text", ["license", "version"]).orderBy(F.desc("score"), "doc_id").limit(20)
+    found = search.search_index(search.kept_index(read(spark, d, "documents"), "doc_id", "text"), ["license", "version"])
+    return found.select(F.col("doc").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(f"""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) r FROM {BM25} QUALIFY r <= 30), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) r FROM documents QUALIFY r <= 30)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import scalars
+from threadloom.operators import index as grams
 from threadloom.operators import search
 from threadloom.plans.queries import BM25, TERMS
 from threadloom.plans.registry import query
@@ -25,25 +26,52 @@ def snippets(spark, d):
 
 
 def _index(spark, d):
-    path = f"{folder(spark, 'index')}/documents"
-    search.write_index(read(spark, d, "documents"), "doc_id", "text", path)
-    return path
+    return search.kept_index(read(spark, d, "documents"), "doc_id", "text")
 
 
 @query(f"SELECT doc_id, score FROM {BM25} ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_from_index(spark, d):
-    found = search.search_index(spark, _index(spark, d), ["license", "version"])
+    found = search.search_index(_index(spark, d), ["License", "version"])
     return found.select(F.col("doc").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(f"WITH t AS (SELECT doc_id, {TERMS} w FROM documents) SELECT doc_id FROM t WHERE list_contains(w, 'license') AND (list_contains(w, 'version') OR list_contains(w, 'public')) AND NOT list_contains(w, 'mit')")
 def boolean_terms(spark, d):
-    return search.boolean(spark, _index(spark, d), ["license"], ["version", "public"], ["mit"]).select(F.col("doc").alias("doc_id"))
+    return search.boolean(_index(spark, d), ["LICENSE"], ["version", "Public"], ["MIT"]).select(F.col("doc").alias("doc_id"))
 
 
 @query(f"WITH t AS (SELECT doc_id, {TERMS} w FROM documents) SELECT doc_id FROM t WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' general public license ')")
 def phrase_from_index(spark, d):
-    return search.phrase_in_index(spark, _index(spark, d), ["general", "public", "license"]).select(F.col("doc").alias("doc_id"))
+    return search.phrase_in_index(_index(spark, d), ["General", "Public License"]).select(F.col("doc").alias("doc_id"))
+
+
+@query(f"""WITH now AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, text || ' license' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0), t AS (SELECT doc_id, {TERMS} w FROM now),
+c AS (SELECT doc_id, len(w) dl, len(list_filter(w, lambda x: x='license')) a FROM t), s AS (SELECT count(*) n, avg(dl) av, count(*) FILTER (a>0) da FROM c)
+SELECT doc_id, round(ln(1+(n-da+0.5)/(da+0.5))*a*2.2/(a+1.2*(0.25+0.75*dl/av)), 6) AS score FROM c, s WHERE a > 0""")
+def bm25_after_changes(spark, d):
+    """All documents indexed, then in three batches a third of them changed or deleted, and the segments merged."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.lit(False).alias("deleted"))
+    index = search.write_index(docs, "doc", "text", f"{folder(spark, 'index')}/changed")
+    third = docs.where("doc % 3 = 0")
+    index.apply(third.withColumn("text", F.lit("license license")))
+    index.apply(third.where("doc % 2 = 1").withColumn("deleted", F.lit(True)))
+    index.apply(third.where("doc % 2 = 0").withColumn("text", F.concat("text", F.lit(" license"))))
+    index.merge(like=2)
+    return search.search_index(index, ["license"]).withColumnRenamed("doc", "doc_id")
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS doc, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'stale' END AS state FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
+def index_drift(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    old = docs.where("doc % 7 <> 0").withColumn("text", F.when(F.col("doc") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return search.write_index(old, "doc", "text", f"{folder(spark, 'index')}/drifted").drift(docs)
+
+
+@query("SELECT doc_id AS doc, length(text) AS chars FROM documents WHERE contains(text, 'rights reserved')")
+def substring_by_grams(spark, d):
+    path = f"{folder(spark, 'grams')}/documents"
+    grams.write_grams(read(spark, d, "documents"), "doc_id", "text", path)
+    return grams.containing(spark, path, "rights reserved").select("doc", F.length("text").cast("long").alias("chars"))
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, {TERMS} w FROM conversations), c AS (SELECT conv_id, turn, len(w) dl, len(list_filter(w, lambda x: x='the')) a, len(list_filter(w, lambda x: x='que')) b FROM t),
