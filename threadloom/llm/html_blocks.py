@@ -36,6 +36,10 @@ OUTSIDE = set("nav footer aside button form menu dialog".split())
 INSIDE = set("article main".split())
 #: Words in class, id or role that tell what a container is for.
 OUTSIDE_WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice overlay pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+#: Of these, what is never a part of the article, however long its paragraphs; and others that say so.
+NEVER_WORDS = set("ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsored sponsors sponsorship promo promoted promotion colophon comment comments commentlist reply replies respond disqus consent cookie cookies gdpr contentinfo copyright disclaimer footer impressum imprint legal newsletter nav navbar navigation menu menubar breadcrumb breadcrumbs".split())
+#: Words that tell nothing beside another: "sponsor-box" is a sponsor's.
+FILLER_WORDS = set("area bar block bottom box card container frame global group holder inner left list item items module outer page panel region right section site slot space stack top unit widget wrap wrapper zone".split())
 INSIDE_WORDS = set("article body content entry main post story text".split())
 #: A name that begins so tells of the layout and not of the container.
 LAYOUT_WORDS = set("has no with without".split())
@@ -49,7 +53,7 @@ _BODY = re.compile(r"<body\b", re.I)
 _TAG = re.compile(rf"<(/?)([a-zA-Z][\w:-]*)({_ATTRIBUTES})(?:>|\Z)")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-OUT, DOUBT, NEUTRAL, IN = 0, 1, 2, 3
+NEVER, OUT, DOUBT, NEUTRAL, IN = 0, 1, 2, 3, 4
 PARA, HEADING, ITEM, OTHER = 0, 1, 2, 3
 
 
@@ -76,7 +80,9 @@ LABELLED = [
     (IN, SHORT, MANY, [ITEM, OTHER], LINKS, ANY, 0),
     (IN, SHORT, MANY, [ITEM, OTHER], TEXT + BIT + EDGE, LINKS, 0),
     (IN, SHORT, MANY, [ITEM, OTHER], TEXT + BIT + EDGE, TEXT + BIT + EDGE, 1),
-    # Parts named as outside: long paragraphs among long ones are text all the same.
+    # Comments, footers, adverts and the like: nothing is text.
+    (NEVER, SHORT + LONG, FEW + MANY, KINDS, ANY, ANY, 0),
+    # Parts named as outside in other ways: long paragraphs among long ones are text all the same.
     (OUT, SHORT + LONG, MANY, KINDS, ANY, ANY, 0),
     (OUT, SHORT + LONG, FEW, [HEADING, ITEM, OTHER], ANY, ANY, 0),
     (OUT, [2, 14, 26, 45], FEW, [PARA], ANY, ANY, 0),
@@ -158,16 +164,21 @@ def decide(node: Node | bool, row: tuple) -> bool:
 
 
 def _container(name: str, attributes: str, within: int) -> int:
-    """OUT holds for all inside; DOUBT, a listed word in a longer name, until an article; a header inside an article is part of it."""
-    if within == OUT or name in OUTSIDE or name == "header" and within != IN:
-        return OUT
+    """NEVER holds for all inside, and OUT but for NEVER; DOUBT, a listed word in a longer name, until an article; a header inside an article is part of it."""
+    if within == NEVER or name in OUTSIDE:
+        return NEVER
     names = [_WORD.findall(x) for m in _NAMED.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
     names = [x for x in names if x and x[0] not in LAYOUT_WORDS]
-    if names and name not in ("html", "head", "body", "article", "main"):
+    plain = names and name not in ("html", "head", "body", "article", "main")
+    if plain and any(NEVER_WORDS.issuperset(y) for x in names if (y := [w for w in x if w not in FILLER_WORDS])):
+        return NEVER
+    if within == OUT or name == "header" and within != IN:
+        return OUT
+    if plain:
         listed = OUTSIDE_WORDS - {"header", "tags", "text"} if within == IN else OUTSIDE_WORDS
         if any(listed.issuperset(x) for x in names):
             return OUT
-        if any(not listed.isdisjoint(x) for x in names):
+        if any(not (listed | NEVER_WORDS).isdisjoint(x) for x in names):
             return DOUBT
     if name in INSIDE:
         return IN
@@ -254,7 +265,7 @@ def blocks(page: str) -> list[Block]:
             elif m[3] or name in OUTSIDE:
                 inner = _container(name, m[3], container)
                 inner = container if inner == DOUBT else inner
-                if inner == OUT != container:
+                if inner <= OUT and inner != container:
                     flush()
                 if not m[3].endswith("/"):
                     stack.append((name, inner))
