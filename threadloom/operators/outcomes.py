@@ -30,14 +30,26 @@ def _millis(micros: Column) -> Column:
 
 
 def call_times(events: DataFrame, key: str, call: str, order: list[str], ts: str, starts: Column, outputs: Column) -> DataFrame:
-    """Each call's start or output with ``ms`` (of an output that follows its start) and ``left_open`` (a last start). Without a call id an event takes no part."""
-    w = Window.partitionBy(key, call).orderBy(*order)
+    """Each call's start or output with ``ms`` (of an output that follows its start) and ``left_open`` (a start whose output never came).
+
+    Of several starts with one id the last counts. Events without an id pair first in, first out; an
+    output that finds none open is ignored. Events without a time take no part.
+    """
     kind = F.when(starts, "start").when(outputs, "output")
-    paired = events.where(F.col(call).isNotNull()).withColumn("_kind", kind).where("_kind is not null")
+    named = F.when(F.trim(F.col(call).cast("string")) != "", F.col(call).cast("string"))
+    told = events.where(F.col(ts).isNotNull()).withColumn("_kind", kind).where("_kind is not null").withColumn("_call", named)
+    each = Window.partitionBy(key, "_call").orderBy(*order)
+    # Open calls without an id: a sum of ones and minus ones that is held at 0 from below; an output at a new least finds none.
+    balance = told.withColumn("_sum", F.sum(F.when(F.col("_kind") == "start", 1).otherwise(-1)).over(each))
+    least = F.min(F.least("_sum", F.lit(0))).over(each.rowsBetween(Window.unboundedPreceding, -1))
+    queued = balance.withColumn("_idle", F.col("_call").isNull() & (F.col("_kind") == "output") & (F.col("_sum") < F.coalesce(least, F.lit(0))))
+    turn = F.sum(F.when(~F.col("_idle"), 1).otherwise(0)).over(Window.partitionBy(key, "_call", "_kind").orderBy(*order))
+    dealt = queued.withColumn("_turn", F.when(F.col("_call").isNull() & ~F.col("_idle"), turn).when(F.col("_idle"), -1))
+    w = Window.partitionBy(key, "_call", "_turn").orderBy(*order)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     before, after = F.lag("_kind").over(w), F.lead("_kind").over(w)
     ms = F.when((F.col("_kind") == "output") & (before == "start"), F.greatest(_millis(at - F.lag(at).over(w)), F.lit(0)))
-    return paired.select("*", ms.alias("ms"), ((F.col("_kind") == "start") & after.isNull()).alias("left_open"), at.alias("at_us")).drop("_kind")
+    return dealt.select("*", ms.alias("ms"), ((F.col("_kind") == "start") & after.isNull()).alias("left_open"), at.alias("at_us")).drop("_kind", "_call", "_sum", "_idle", "_turn")
 
 
 def latency_profile(calls: DataFrame, ends: DataFrame, key: str, stuck_ms: int = 300_000) -> DataFrame:
@@ -140,8 +152,21 @@ def session_timing(messages: DataFrame) -> DataFrame:
     return per.select("session_id", "thinking_ms", "output_ms", "tool_ms", rate.alias("calls_per_minute"))
 
 
+#: A user who comes back later than this was away and did not answer.
+AWAY_MS = 1_800_000
+
+
 def response_times(messages: DataFrame) -> DataFrame:
-    """I8: medians of the time an agent takes to answer a user, and a user an agent; 0 where there is none."""
-    turn = F.when((F.col("role") == "assistant") & (F.col("_before") == "user"), "agent").when((F.col("role") == "user") & (F.col("_before") == "assistant"), "user")
-    told = _gaps(messages).withColumn("_turn", turn).withColumn("agent", F.when(F.col("_turn") == "agent", F.col("_gap"))).withColumn("user", F.when(F.col("_turn") == "user", F.col("_gap")))
-    return told.groupBy("session_id").agg(floor_median("agent").alias("agent_response_ms"), floor_median("user").alias("user_response_ms"))
+    """I8: medians of the time an agent takes to answer a user, and a user an agent; 0 where there is none.
+
+    A message is answered by the next one of a user or an assistant; rows of others between them, and rows without a
+    time, are looked through. Answers of users after ``AWAY_MS`` are none.
+    """
+    us = F.unix_micros(F.col("at").cast("timestamp"))
+    turn = F.when(F.col("role").isin("user", "assistant") & F.col("at").isNotNull(), F.struct("role", us.alias("us")))
+    before = F.last(turn, ignorenulls=True).over(Window.partitionBy("session_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
+    told = messages.withColumn("_now", turn).withColumn("_before", before)
+    gap = F.greatest(_millis(F.col("_now.us") - F.col("_before.us")), F.lit(0))
+    agent = F.when((F.col("_now.role") == "assistant") & (F.col("_before.role") == "user"), gap)
+    user = F.when((F.col("_now.role") == "user") & (F.col("_before.role") == "assistant") & (gap <= AWAY_MS), gap)
+    return told.select("session_id", agent.alias("agent"), user.alias("user")).groupBy("session_id").agg(floor_median("agent").alias("agent_response_ms"), floor_median("user").alias("user_response_ms"))

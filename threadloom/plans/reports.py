@@ -355,9 +355,14 @@ def session_timing(spark, d):
     return outcomes.session_timing(turns(spark, d))
 
 
-@query(f"""WITH {_TURNS} SELECT user_id AS session_id, coalesce(CAST(floor(quantile_cont(gap, 0.5) FILTER (role = 'assistant' AND b = 'user')) AS BIGINT), 0) AS agent_response_ms, coalesce(CAST(floor(quantile_cont(gap, 0.5) FILTER (role = 'user' AND b = 'assistant')) AS BIGINT), 0) AS user_response_ms FROM g GROUP BY 1""")
+@query("""WITH m AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE epoch_us(ts) END AS t, CASE WHEN event_type IN ('view', 'signup') THEN 'user' WHEN event_type = 'error' THEN 'tool' ELSE 'assistant' END AS role FROM events),
+p AS (SELECT x.user_id, x.role, x.t, (SELECT struct_pack(role := y.role, t := y.t) FROM m y WHERE y.user_id = x.user_id AND y.t IS NOT NULL AND y.role IN ('user', 'assistant') AND (y.ts, y.event_id) > (x.ts, x.event_id) ORDER BY y.ts, y.event_id LIMIT 1) AS n FROM m x WHERE x.t IS NOT NULL),
+g AS (SELECT user_id, greatest((n.t - t) // 1000, 0) AS gap, role = 'user' AND n.role = 'assistant' AS agent, role = 'assistant' AND n.role = 'user' AS human FROM p WHERE n IS NOT NULL)
+SELECT s.user_id AS session_id, coalesce(CAST(floor(quantile_cont(gap, 0.5) FILTER (agent)) AS BIGINT), 0) AS agent_response_ms, coalesce(CAST(floor(quantile_cont(gap, 0.5) FILTER (human AND gap <= 1800000)) AS BIGINT), 0) AS user_response_ms FROM (SELECT DISTINCT user_id FROM events) s LEFT JOIN g ON g.user_id = s.user_id GROUP BY 1""")
 def response_times(spark, d):
-    return outcomes.response_times(turns(spark, d))
+    k = F.col("kind")
+    rows = actions(spark, d).withColumn("role", F.when(k.isin("view", "signup"), "user").when(k == "error", "tool").otherwise("assistant"))
+    return outcomes.response_times(rows.select("session_id", F.struct("ts", "event_id").alias("position"), F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("at"), "role"))
 
 
 @query("""SELECT conv_id AS session_id, n AS order_key FROM (SELECT conv_id, max(len(regexp_extract_all(text, '[^ \t\n\r]+'))) AS n FROM conversations GROUP BY 1) ORDER BY n DESC, conv_id LIMIT 25""")
