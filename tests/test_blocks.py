@@ -85,3 +85,10 @@ def test_lists_and_shapes_seen_before_messages(spark):
 def test_what_is_not_read_has_a_state(spark):
     docs = [("a", "{broken"), ("b", None), ("c", "[1]"), ("d", json.dumps({"chunks": [{"role": "user", "text": "x" * 20_100_000}]})), ("e", json.dumps({"chunks": []}))]
     assert sorted(tuple(r) for r in exports.unread(frame(spark, docs)).collect()) == [("a", "invalid"), ("b", "invalid"), ("c#0", "unknown"), ("d", "too_long")]
+
+
+def test_commands_tell_categories(spark):
+    inputs = [('{"command":" \\n git status"}', "git"), ('{"cmd":["git","log"]}', "git"), ('{"cmd":"ls"}', "shell"), ("not json", "shell"), (None, "shell")]
+    docs = [(f"c{k}", json.dumps({"sessionId": "s", "uuid": str(k), "timestamp": "t", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": str(k), "name": "bash", "input": x if x is None or x[0] != "{" else json.loads(x)}]}})) for k, (x, _) in enumerate(inputs)]
+    got = {r.tool_id: r.category for r in exports.actions(exports.blocks(frame(spark, docs))).collect()}
+    assert got == {str(k): want for k, (_, want) in enumerate(inputs)}

@@ -39,6 +39,14 @@ def tool_category(name: Column, command: Column) -> Column:
         tests += [low.startswith(p) for p in AGENT_PREFIXES] if label == "agent" else []
         return reduce(Column.__or__, tests)
 
-    git = F.when(F.ltrim(command).startswith("git "), "git").otherwise("shell")
+    git = F.when(F.rlike(command, F.lit(r"^\s*git ")), "git").otherwise("shell")
     out = {"shell": git, "shell_other": F.lit("shell")}
     return F.coalesce(*[F.when(holds(*rule), out.get(rule[0], F.lit(rule[0]))) for rule in RULES], F.lit("other"))
+
+
+def command_of(tool_input: Column) -> Column:
+    """A call's shell command from its input as JSON, a text or a list of words under ``command`` or ``cmd``."""
+    v = F.try_parse_json(tool_input)
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    words = lambda path: F.array_join(F.try_variant_get(v, path, "array<string>"), " ")
+    return F.coalesce(text("$.command"), text("$.cmd"), words("$.command"), words("$.cmd"))

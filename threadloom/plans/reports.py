@@ -389,11 +389,12 @@ def sessions_with_kinds(spark, d):
     return filters.has_kinds(actions(spark, d), {"thinking": (k == "purchase") & (v > 95), "tools": (k == "signup") & (v > 95), "attachments": (F.length("tool_id") > 9) & (v > 97)})
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\[Pasted\s+(text|content|image)\s*#\d+[^\[\]]*\]') THEN 'marked' WHEN length(t) > 4000 OR regexp_matches(t, '(?i)here\s+(is|are)\s+(the\s+)?(full\s+)?(chat\s*)?log') OR doc_id % 11 = 3 OR doc_id % 11 = 4 THEN 'likely' END AS paste
-FROM (SELECT doc_id, CASE doc_id % 11 WHEN 1 THEN text || ' [Pasted text #2 +6 lines] ' WHEN 2 THEN 'Here is the full log ' || text WHEN 3 THEN repeat('aB', 300) WHEN 4 THEN chr(10) || '```' || chr(10) || repeat('word ', 20) || chr(10) || '```' WHEN 5 THEN repeat('a', 600) ELSE text END AS t FROM documents)""")
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(t, '{content.PASTE_MARK}') THEN 'marked' WHEN regexp_matches(t, '\S{{400,}}') OR (len(l) >= 6 AND 2 * len(list_filter(l, lambda x: regexp_matches(x, '{content.MACHINE_LINE}'))) >= len(l)) THEN 'likely' END AS paste FROM (
+SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM (SELECT doc_id, CASE doc_id % 11 WHEN 1 THEN text || ' [Pasted text #2 +6 lines] ' WHEN 2 THEN repeat('2024-01-02 10:00:00 up' || chr(10), 6) || 'see above' WHEN 3 THEN repeat('aB', 300)
+WHEN 4 THEN repeat('$ ls' || chr(10), 5) || 'no' WHEN 5 THEN repeat('word ', 600) WHEN 6 THEN repeat('  at a.b.C(D.java:1)' || chr(10), 3) || repeat('and so' || chr(10), 4) ELSE text END AS t FROM documents))""")
 def paste_evidence(spark, d):
     n, t = F.col("doc_id") % 11, F.col("text")
-    said = F.when(n == 1, F.concat(t, F.lit(" [Pasted text #2 +6 lines] "))).when(n == 2, F.concat(F.lit("Here is the full log "), t)).when(n == 3, F.repeat(F.lit("aB"), 300)).when(n == 4, F.concat(F.lit("\n```\n"), F.repeat(F.lit("word "), 20), F.lit("\n```"))).when(n == 5, F.repeat(F.lit("a"), 600)).otherwise(t)
+    said = F.when(n == 1, F.concat(t, F.lit(" [Pasted text #2 +6 lines] "))).when(n == 2, F.lit("2024-01-02 10:00:00 up\n" * 6 + "see above")).when(n == 3, F.lit("aB" * 300)).when(n == 4, F.lit("$ ls\n" * 5 + "no")).when(n == 5, F.lit("word " * 600)).when(n == 6, F.lit("  at a.b.C(D.java:1)\n" * 3 + "and so\n" * 4)).otherwise(t)
     return read(spark, d, "documents").select("doc_id", content.paste_evidence(said).alias("paste"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.scalars import result_state
+from threadloom.functions.tools import command_of, tool_category
 from threadloom.operators.windows import pair_by_rank
 
 BLOCK = "struct<kind:string,text:string,tool_name:string,tool_id:string,tool_input:string,is_error:int,exit_code:int>"
@@ -293,7 +294,8 @@ def actions(rows: DataFrame) -> DataFrame:
     uses = rows.where("kind = 'tool_use'").select(*key, "position", "block", "ts", "tool_name", "tool_input")
     results = rows.where("kind = 'tool_result'").select(*key, "position", "block", "text", "is_error", "exit_code")
     paired = pair_by_rank(uses, results, key, ["position", "block"])
-    return paired.withColumn("state", result_state(F.col("found"), F.col("result_is_error"), F.col("result_exit_code")))
+    told = paired.withColumn("state", result_state(F.col("found"), F.col("result_is_error"), F.col("result_exit_code")))
+    return told.withColumn("category", tool_category(F.col("tool_name"), command_of(F.col("tool_input"))))
 
 
 def interactions(told: DataFrame) -> DataFrame:
