@@ -13,8 +13,8 @@ def multi_count(df: DataFrame, fields: list[str]) -> DataFrame:
     keyed = df.select(*[group_key(F.col(f)).alias(f) for f in fields])
     counts = keyed.groupBy(*fields).agg(F.count("*").alias("n"))
     odd = lambda word: sum((F.col(f) == word).cast("int") for f in fields)
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(*fields, "n", total.alias("denominator"), F.round(F.col("n") / total, 6).alias("proportion"), odd("[missing]").alias("missing_fields"), odd("unknown").alias("unknown_fields"))
+    total = counts.agg(F.sum("n").alias("denominator"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(*fields, "n", "denominator", F.round(F.col("n") / F.col("denominator"), 6).alias("proportion"), odd("[missing]").alias("missing_fields"), odd("unknown").alias("unknown_fields"))
 
 
 def nearest_ranks(df: DataFrame, key: str, field: str, percentiles: list[float], prefix: str = "p") -> DataFrame:
@@ -37,9 +37,10 @@ def metrics(df: DataFrame, key: str, field: str, percentiles: list[int]) -> Data
 
 def facets(df: DataFrame, fields: list[str]) -> DataFrame:
     """Values of each field with document counts and ln(N / df), in one pass over the table."""
-    n = F.sum("df").over(Window.partitionBy("facet"))
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select("x.*")
-    return long.groupBy("facet", "value").agg(F.count("*").alias("df")).select("facet", "value", "df", F.round(F.log(n / F.col("df")), 6).alias("idf"))
+    counts = long.groupBy("facet", "value").agg(F.count("*").alias("df"))
+    whole = counts.groupBy("facet").agg(F.sum("df").alias("_n"))  # a row for each field
+    return counts.join(F.broadcast(whole), "facet").select("facet", "value", "df", F.round(F.log(F.col("_n") / F.col("df")), 6).alias("idf"))
 
 
 def membership_stats(facts: DataFrame, key: str, member: str) -> DataFrame:

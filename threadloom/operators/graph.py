@@ -175,6 +175,13 @@ def pairwise(ordered: DataFrame, key: str, item: str, rank: str) -> DataFrame:
     return a.join(b, key).where("_a < _b").select(key, "winner", "loser")
 
 
+def win_rates(games: DataFrame) -> DataFrame:
+    """(item, wins, games, rate) from (winner, loser) rows: each game counts for both of its sides; a game against oneself is none."""
+    real = games.where("winner <> loser")
+    sides = real.select(F.col("winner").alias("item"), F.lit(1).alias("won")).union(real.select("loser", F.lit(0)))
+    return sides.groupBy("item").agg(F.sum("won").alias("wins"), F.count("*").alias("games")).withColumn("rate", F.round(F.col("wins") / F.col("games"), 6))
+
+
 #: Pairs of items in one component of comparisons, at most: a component is one row of the iteration.
 PAIRS = 1_000_000
 

@@ -56,3 +56,49 @@ def merkle_roots(df: DataFrame, key: str, member: str) -> DataFrame:
         alone = level.groupBy(key).agg(F.max("n").alias("_top"))
         level = written(pair.join(alone, key).select(key, F.when(single & (F.col("_top") == 0), F.col("a")).otherwise(F.sha2(F.concat("a", "b"), 256)).alias("h"), "n"), f"{root}/{k}")
     return level.select(key, F.col("h").alias("root")).join(count, key)
+
+
+def cohort(candidates: DataFrame, size: int, cap: int | None, seed: str = "", cursor: str = "") -> tuple[DataFrame, DataFrame]:
+    """(ref, stratum, template, place) of a sample that takes strata by turns, and per stratum population, eligible, selected with the sample's shortfall.
+
+    candidates: (ref, stratum, template, excluded). A stratum's candidates stand in the order of a seeded hash; at its turn the
+    first one counts whose template (null: none) was taken fewer than ``cap`` times in the whole sample. No more than ``cap`` of
+    a stratum and template, and of those 2 * ``size`` of a stratum, can come up (at most ``size`` rows are of templates that are
+    full), so the pass by turns sees a bounded number of rows for each stratum.
+    """
+    rank = F.sha2(F.concat_ws("\0", F.lit(seed), F.lit(cursor), F.col("ref").cast("string")), 256)
+    known = candidates.select(F.col("ref").cast("string").alias("ref"), F.coalesce(F.col("stratum").cast("string"), F.lit("unknown")).alias("stratum"), F.col("template").cast("string").alias("template"), "excluded", rank.alias("h"))
+    fit = known.where(~F.coalesce(F.col("excluded"), F.lit(False)))
+    alike = F.row_number().over(Window.partitionBy("stratum", F.coalesce("template", "ref"), F.col("template").isNull()).orderBy("h", "ref"))
+    some = fit.withColumn("k", alike).where(F.col("template").isNull() | (F.col("k") <= (size if cap is None else cap)))
+    first = some.withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy("h", "ref"))).where(F.col("k") <= 2 * size)
+
+    def by_turns(rows):
+        import pandas as pd
+
+        rows = rows.sort_values(["stratum", "k"])
+        lines = {s: [(r, t if isinstance(t, str) else None) for r, t in zip(g["ref"], g["template"], strict=True)] for s, g in rows.groupby("stratum", sort=True)}
+        at, taken, out, active = dict.fromkeys(lines, 0), {}, [], list(lines)
+        while active and len(out) < size:
+            onward = []
+            for s in active:
+                while at[s] < len(lines[s]):
+                    ref, t = lines[s][at[s]]
+                    at[s] += 1
+                    if t is None or cap is None or taken.get(t, 0) < cap:
+                        taken[t] = taken.get(t, 0) + 1
+                        out.append((ref, s, t, len(out)))
+                        break
+                if at[s] < len(lines[s]):
+                    onward.append(s)
+                if len(out) == size:
+                    break
+            active = onward
+        return pd.DataFrame(out, columns=["ref", "stratum", "template", "place"])
+
+    path = folder(candidates.sparkSession, "cohort")
+    taken = written(first.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(by_turns, "ref string, stratum string, template string, place long"), f"{path}/taken")
+    counts = known.groupBy("stratum").agg(F.count("*").alias("population"), F.count_if(~F.coalesce(F.col("excluded"), F.lit(False))).alias("eligible"))
+    got = taken.groupBy("stratum").agg(F.count("*").alias("selected"))
+    short = taken.agg(F.greatest(F.lit(size) - F.count("*"), F.lit(0)).alias("shortfall"))
+    return taken, counts.join(got, "stratum", "left").crossJoin(F.broadcast(short)).select("stratum", "population", "eligible", F.coalesce("selected", F.lit(0)).alias("selected"), "shortfall")

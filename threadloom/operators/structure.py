@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.scratch import folder, written
@@ -52,6 +52,35 @@ def log_buckets(df: DataFrame, key: str, value: str, base: float = 1.1) -> DataF
     return df.where(F.col(value).isNotNull()).groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def sketches(df: DataFrame, keys: list[str], value: str, base: float = 1.02) -> DataFrame:
+    """H2/H3: per keys count, bounds, a sketch of distinct values and counts by logarithmic bucket: what merges without the rows.
+
+    keys are those of a stored part, as a path and a day. Values of 0 or less share bucket null.
+    """
+    v = F.col(value)
+    bucket = F.when(v > 0, F.floor(F.log(v) / F.log(F.lit(base)) + 1e-9).cast("long"))
+    whole = df.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.hll_sketch_agg(v.cast("string")).alias("distinct"))
+    counts = df.where(v.isNotNull()).groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))
+    return whole.join(counts, keys)
+
+
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """H2/H3: stored sketches as those of all their rows."""
+    whole = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.hll_union_agg("distinct").alias("distinct"))
+    long = parts.select(*keys, F.explode("buckets").alias("b")).groupBy(*keys, "b.bucket").agg(F.sum("b.n").alias("n"))
+    return whole.join(long.groupBy(*keys).agg(F.collect_list(F.struct("bucket", "n")).alias("buckets")), keys)
+
+
+def told(sketch: DataFrame, keys: list[str], quantiles: list[float], base: float = 1.02) -> DataFrame:
+    """What sketches tell: n, bounds, the estimate of distinct values, and each nearest-rank quantile within a factor of ``base`` (0 for values of 0 or less)."""
+    def at(q: float) -> Column:
+        fold = f"aggregate(array_sort(transform(buckets, b -> struct(coalesce(b.bucket, -9223372036854775807L) AS bucket, b.n AS n))), cast((0L, null) as struct<t:long,b:long>), (s, b) -> cast((s.t + b.n, IF(s.b is null and s.t + b.n >= ceil(n * {q}D), b.bucket, s.b)) as struct<t:long,b:long>), s -> s.b)"
+        middle = F.pow(F.lit(base), F.expr(fold) + 0.5)
+        return F.when(F.expr(fold) == -9223372036854775807, 0.0).otherwise(middle)
+
+    return sketch.select(*keys, "n", "least", "most", F.hll_sketch_estimate("distinct").alias("distinct"), *[at(q).alias(f"p{q * 100:g}") for q in quantiles])
+
+
 def collapsed(flat: DataFrame, most: int = 50) -> DataFrame:
     """H5: paths whose keys are data and not names become one: a key that is a number, a hash or a UUID, or one of more than ``most`` beside each other, is ``*``."""
     parts = flat.withColumn("parent", F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)).withColumn("key", F.regexp_extract("path", r"([^.]*)$", 1))

@@ -140,3 +140,18 @@ def quota_outlook(daily: DataFrame, key: str, day: str, value: str, cycle_days:
     rate = F.col("spent") / F.col("days")
     ahead = F.when((rate > 0) & (rate * cycle_days >= quota), F.ceil(F.lit(float(quota)) / rate))
     return per.select(key, "days", F.round(F.col("spent") / quota, 4).alias("pressure"), F.round(F.greatest(rate * cycle_days - quota, F.lit(0.0)), 3).alias("overage"), F.coalesce(F.col("_reached").cast("long"), ahead).alias("breach_day"))
+
+
+def split_phases(df: DataFrame, keys: list[str], order: list[str], kind: Column, longest: int = 15, least: int = 3) -> DataFrame:
+    """(keys, start, stop) ranges of places in each phase; a phase of more than ``longest`` messages is split where the kind changes.
+
+    kind: that of a message's first action, null where it has none. A range begins where a message and the one before it
+    both have a kind, and another, if the range before has ``least`` messages then. Only places of changes are gathered.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    placed = df.select(*keys, *order, kind.alias("_kind")).select(*keys, (F.row_number().over(w) - 1).alias("_i"), (F.lag("_kind").over(w) != F.col("_kind")).alias("_other"))
+    phases_ = placed.groupBy(*keys).agg(F.count("*").cast("int").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_other"), F.col("_i")))).alias("_at"))
+    fold = "aggregate(_at, array(0), (s, i) -> IF(i - element_at(s, -1) >= {}, array_append(s, i), s))".format(least)
+    starts = F.when(F.col("_n") > longest, F.expr(fold)).otherwise(F.array(F.lit(0)))
+    each = phases_.select(*keys, "_n", starts.alias("_s")).select(*keys, "_n", "_s", F.posexplode("_s").alias("_k", "start"))
+    return each.select(*keys, "start", F.coalesce(F.try_element_at("_s", F.col("_k") + 2), F.col("_n")).alias("stop"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import correlation_label, week_key
-from threadloom.operators import aggregates, filters, graph, search, units, windows
+from threadloom.operators import aggregates, filters, graph, search, structure, units, windows
 from threadloom.plans.registry import query
+from threadloom.scratch import folder
 from threadloom.tables import actions, messages, read
 
 WORDS = "CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS BIGINT)"
@@ -248,10 +249,35 @@ def activity_bands(spark, d):
     return actions(spark, d).groupBy(F.date_trunc("hour", "ts").alias("bucket")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bucket").limit(5)
 
 
-@query("SELECT kind, count(*) AS games, count(*) FILTER (won) AS wins, round(count(*) FILTER (won) / count(*), 6) AS rate FROM (SELECT event_type kind, value > 50 won FROM events) GROUP BY 1")
+@query("""WITH a AS (SELECT user_id, event_type AS kind, avg(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT x.kind AS w, y.kind AS l FROM a x JOIN a y ON x.user_id = y.user_id AND x.v > y.v)
+SELECT item, CAST(sum(won) AS BIGINT) AS wins, count(*) AS games, round(sum(won) / count(*), 6) AS rate FROM (SELECT w AS item, 1 AS won FROM g UNION ALL SELECT l, 0 FROM g) GROUP BY 1""")
 def win_rate(spark, d):
-    won = F.count_if(F.col("value") > 50)
-    return actions(spark, d).groupBy("kind").agg(F.count("*").alias("games"), won.alias("wins"), F.round(won / F.count("*"), 6).alias("rate"))
+    """A user's kinds of events play each other: the one of the higher mean wins."""
+    mean = actions(spark, d).groupBy("session_id", "kind").agg((-F.avg("value")).alias("rank"))
+    return graph.win_rates(graph.pairwise(mean, "session_id", "kind", "rank"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, nullif(event_type, 'view') AS k FROM events), n AS (SELECT user_id, count(*) AS n FROM m GROUP BY 1),
+c AS (SELECT user_id, i FROM (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY i) AS p FROM m) JOIN n USING (user_id) WHERE p <> k AND n > 15),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS i FROM n UNION ALL SELECT s.user_id, (SELECT min(c.i) FROM c WHERE c.user_id = s.user_id AND c.i >= s.i + 3) FROM s WHERE EXISTS (SELECT 1 FROM c WHERE c.user_id = s.user_id AND c.i >= s.i + 3))
+SELECT user_id AS session_id, s.i AS start, coalesce(lead(s.i) OVER (PARTITION BY user_id ORDER BY s.i), n) AS stop FROM s JOIN n USING (user_id)""")
+def split_phases(spark, d):
+    kind = F.when(F.col("kind") != "view", F.col("kind"))
+    return windows.split_phases(actions(spark, d), ["session_id"], ["ts", "event_id"], kind)
+
+
+@query("""WITH e AS (SELECT event_type AS kind, value, user_id FROM events), b AS (SELECT kind, CASE WHEN value > 0 THEN CAST(floor(ln(value) / ln(1.02) + 1e-9) AS BIGINT) END AS b, count(*) AS n FROM e GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY b NULLS FIRST) AS t, sum(n) OVER (PARTITION BY kind) AS total FROM b)
+SELECT kind, CAST(max(total) AS BIGINT) AS n, round(power(1.02, min(b) FILTER (t >= ceil(total * 0.5)) + 0.5), 4) AS p50, round(power(1.02, min(b) FILTER (t >= ceil(total * 0.95)) + 0.5), 4) AS p95, (SELECT count(DISTINCT user_id) FROM e WHERE e.kind = r.kind) AS users FROM r GROUP BY kind""")
+def merged_sketches(spark, d):
+    """Sketches of each day, stored, and merged over days without the events: quantiles of values, and distinct users."""
+    a = actions(spark, d).withColumn("day", F.to_date("ts"))
+    path = folder(spark, "sketches")
+    structure.sketches(a, ["kind", "day"], "value").write.parquet(f"{path}/values")
+    structure.sketches(a, ["kind", "day"], "session_id").write.parquet(f"{path}/users")
+    stored = lambda name: structure.merged(spark.read.parquet(f"{path}/{name}"), ["kind"])
+    users = structure.told(stored("users"), ["kind"], []).select("kind", F.col("distinct").alias("users"))
+    return structure.told(stored("values"), ["kind"], [0.5, 0.95]).join(users, "kind").select("kind", "n", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "users")
 
 
 @query("WITH p AS (SELECT user_id, avg(value) FILTER (event_type='view') a, avg(value) FILTER (event_type='click') b FROM events GROUP BY 1) SELECT count(*) AS subjects, round(avg(a-b), 6) AS mean_difference FROM p WHERE a IS NOT NULL AND b IS NOT NULL")
