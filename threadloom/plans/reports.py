@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import content, scalars
-from threadloom.operators import filters, graph, judgement, outcomes, reports, results, search, structure, units, windows
+from threadloom.operators import filters, graph, judgement, members, outcomes, reports, results, search, structure, units, windows
 from threadloom.plans.queries import TERMS
 from threadloom.plans.registry import query
+from threadloom.scratch import folder
 from threadloom.tables import actions, messages, read, sessions
 
 #: Orders as session profiles: an end, a shape, paths and times derived from an order's columns.
@@ -436,3 +437,12 @@ def tag_filters(spark, d):
 @query("SELECT band, count(*) AS n FROM (SELECT CASE WHEN value / 100 >= 0.75 THEN 'strong' WHEN value / 100 >= 0.55 THEN 'moderate' ELSE 'weak' END AS band FROM events) GROUP BY 1")
 def similarity_bands(spark, d):
     return actions(spark, d).groupBy(scalars.similarity_band(F.col("value") / 100).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS member, CASE WHEN doc_id % 13 = 0 THEN 'added' ELSE 'removed' END AS change FROM documents WHERE (doc_id % 13 = 0) <> (doc_id % 17 = 0)")
+def stored_set_changes(spark, d):
+    """A watched result stored twice, and compared from the top of its digests down."""
+    docs = read(spark, d, "documents").select("doc_id")
+    watch = members.Standing(spark, f"{folder(spark, 'standing')}/documents")
+    watch.advance(docs.where("doc_id % 13 <> 0"), "doc_id")
+    return watch.advance(docs.where("doc_id % 17 <> 0"), "doc_id")
