@@ -28,11 +28,34 @@ def nearest_ranks(df: DataFrame, key: str, field: str, percentiles: list[float],
     return ranked.groupBy(key).agg(*[F.min(F.when(F.col("_to") >= F.ceil(F.col("_all") * F.lit(p) / 100), F.col(field))).alias(f"{prefix}{p:g}") for p in percentiles])
 
 
+def linear_ranks(df: DataFrame, key: str, field: str, shares: dict[str, float]) -> DataFrame:
+    """(key, names) percentiles by linear interpolation between the two values around each share's place, from counts of values as in ``nearest_ranks``."""
+    w = Window.partitionBy(key)
+    counts = df.where(F.col(field).isNotNull()).groupBy(key, field).agg(F.count("*").alias("_n"))
+    ranked = counts.withColumn("_to", F.sum("_n").over(w.orderBy(field).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    place = {name: (F.col("_all") - 1) * F.lit(float(share)) for name, share in shares.items()}
+    least = lambda at: F.min(F.when(F.col("_to") >= at + 1, F.col(field)))
+    ends = [x for name, at in place.items() for x in (least(F.floor(at)).alias(f"_{name}_lo"), least(F.ceil(at)).alias(f"_{name}_hi"), F.max(at - F.floor(at)).alias(f"_{name}_part"))]
+    return ranked.groupBy(key).agg(*ends).select(key, *[(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")).alias(n) for n in shares])
+
+
+def with_ranks(plain: DataFrame, ranks: DataFrame, key: str) -> DataFrame:
+    """Aggregates of each key (null is one) with its percentiles, null where it has no values."""
+    other = ranks.withColumnRenamed(key, "_key")
+    return plain.join(other, plain[key].eqNullSafe(other["_key"]), "left").drop("_key")
+
+
 def metrics(df: DataFrame, key: str, field: str, percentiles: list[int]) -> DataFrame:
-    """A4/A5: count, sum, mean, bounds and nearest-rank percentiles; nulls are skipped."""
-    plain = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(field).cast("double").alias(f"sum_{field}"), F.round(F.avg(field), 6).alias(f"avg_{field}"), F.min(field).alias(f"min_{field}"), F.max(field).alias(f"max_{field}"))
-    ranks = nearest_ranks(df, key, field, percentiles).select(F.col(key).alias("_key"), *[F.col(f"p{p}").cast("double").alias(f"p{p}_{field}") for p in percentiles])
-    return plain.join(ranks, plain[key].eqNullSafe(ranks["_key"]), "left").drop("_key")
+    """A4/A5: count, sum, mean, bounds and nearest-rank percentiles; nulls are skipped. Values are counted once, and all comes from the counts."""
+    v, n, w = F.col(field), F.col("_n"), Window.partitionBy(key)
+    counts = df.groupBy(key, field).agg(F.count("*").alias("_n"))
+    known = F.when(v.isNotNull(), n).otherwise(0)
+    ranked = counts.withColumn("_to", F.sum(known).over(w.orderBy(v.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum(known).over(w))
+    rank = lambda p: F.min(F.when(v.isNotNull() & (F.col("_to") >= F.ceil(F.col("_all") * F.lit(p) / 100)), v)).cast("double")
+    return ranked.groupBy(key).agg(
+        F.sum("_n").alias("n"), F.sum(v * n).cast("double").alias(f"sum_{field}"), F.round(F.sum(v * n) / F.nullif(F.sum(known), F.lit(0)), 6).alias(f"avg_{field}"),
+        F.min(field).alias(f"min_{field}"), F.max(field).alias(f"max_{field}"), *[rank(p).alias(f"p{p}_{field}") for p in percentiles],
+    )
 
 
 def facets(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -70,7 +93,9 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 def distribution(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count, total, bounds, mean and linear percentiles, to six places."""
     v = F.col(value)
-    return df.groupBy(key).agg(F.count(v).alias("n"), F.round(F.sum(v), 6).alias("total"), F.min(v).alias("least"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.9), 6).alias("p90"), F.max(v).alias("largest"), F.round(F.avg(v), 6).alias("mean"))
+    plain = df.groupBy(key).agg(F.count(v).alias("n"), F.round(F.sum(v), 6).alias("total"), F.min(v).alias("least"), F.max(v).alias("largest"), F.round(F.avg(v), 6).alias("mean"))
+    both = with_ranks(plain, linear_ranks(df, key, value, {"p50": 0.5, "p90": 0.9}), key)
+    return both.select(key, "n", "total", "least", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), "largest", "mean")
 
 
 def median_floor(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import content
 from threadloom.operators import graph
+from threadloom.operators.aggregates import linear_ranks, with_ranks
 
 # How much work an end leaves open.
 SEVERITY = {"question_left": 1, "error_left": 2, "tool_left": 3, "agent_hanging": 4}
@@ -36,19 +37,22 @@ def abandoned(profiles: DataFrame, least: str, path: str | None = None) -> DataF
     return open_.orderBy(F.desc_nulls_last("date"), "session_id")
 
 
-def _spread(value: Column, name: str) -> list[Column]:
-    """Quartiles and bounds of the positive values; the ranks come from one sorted pass of the aggregate."""
-    v = F.when(value > 0, value)
-    at = lambda p: F.round(F.percentile(v, p), 6)
-    return [F.count(v).alias(f"{name}_n"), at(0.25).alias(f"{name}_p25"), at(0.5).alias(f"{name}_p50"), at(0.75).alias(f"{name}_p75"), F.max(v).alias(f"{name}_max")]
+#: Quartiles of what is positive.
+_QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def portfolio(profiles: DataFrame, by: str) -> DataFrame:
     """For each group (an origin, or one for a postmortem's scope) sessions, cost, wall time, span, and spreads of what is positive."""
-    return profiles.groupBy(by).agg(
-        F.count("*").alias("sessions"), F.round(F.sum("cost"), 6).alias("total_cost"), F.min("started").alias("earliest"), F.max("ended").alias("latest"),
-        F.sum(F.greatest("wall_ms", F.lit(0))).alias("wall_ms"), *_spread(F.col("cost"), "cost"), *_spread(F.col("wall_ms"), "wall"),
+    above = lambda c: F.when(F.col(c) > 0, F.col(c))
+    out = profiles.groupBy(by).agg(
+        F.count("*").alias("sessions"), F.round(F.sum("cost"), 6).alias("total_cost"), F.min("started").alias("earliest"), F.max("ended").alias("latest"), F.sum(F.greatest("wall_ms", F.lit(0))).alias("wall_ms"),
+        F.count(above("cost")).alias("cost_n"), F.max(above("cost")).alias("cost_max"), F.count(above("wall_ms")).alias("wall_n"), F.max(above("wall_ms")).alias("wall_max"),
     )
+    for name, value in (("cost", "cost"), ("wall", "wall_ms")):
+        some = profiles.where(F.col(value) > 0).select(by, value)
+        out = with_ranks(out, linear_ranks(some, by, value, {f"{name}_{k}": p for k, p in _QUARTILES.items()}), by)
+    spread = lambda n: [f"{n}_n", *[F.round(f"{n}_{k}", 6).alias(f"{n}_{k}") for k in _QUARTILES], f"{n}_max"]
+    return out.select(by, "sessions", "total_cost", "earliest", "latest", "wall_ms", *spread("cost"), *spread("wall"))
 
 
 def top_of_each(profiles: DataFrame, by: str, value: str, n: int) -> DataFrame:
@@ -155,7 +159,8 @@ def attachment_hits(attachments: DataFrame, value: str, fields: list[str]) -> Da
 def slo(samples: DataFrame, key: str, target: float | None = None) -> DataFrame:
     """From samples (at_ms, value, label): level, percentiles, slope, time until a falling backlog is empty, and burn rate."""
     first, last = F.min_by("value", "at_ms"), F.max_by("value", "at_ms")
-    per = samples.groupBy(key).agg(F.max_by("label", "at_ms").alias("label"), F.count("*").alias("samples"), last.alias("_last"), first.alias("_first"), ((F.max("at_ms") - F.min("at_ms")) / 1000).alias("_s"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    per = samples.groupBy(key).agg(F.max_by("label", "at_ms").alias("label"), F.count("*").alias("samples"), last.alias("_last"), first.alias("_first"), ((F.max("at_ms") - F.min("at_ms")) / 1000).alias("_s"))
+    per = with_ranks(per, linear_ranks(samples, key, "value", {"p50": 0.5, "p95": 0.95}), key).withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
     slope = F.when((F.col("samples") > 1) & (F.col("_s") > 0), (F.col("_last") - F.col("_first")) / F.col("_s"))
     eta = F.when((F.col("label") == "backlog") & (slope < 0) & (F.col("_last") > 0), F.col("_last") / -slope)
     burn = F.round(F.col("_last") / target, 6) if target else F.lit(None).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import tools
-from threadloom.operators import graph, outcomes, search, units
+from threadloom.operators import aggregates, graph, outcomes, search, units
 from threadloom.plans.queries import BM25, SEED
 from threadloom.plans.registry import query
 from threadloom.tables import actions, messages, read, sessions
@@ -109,7 +109,9 @@ def repo_observations(spark, d):
 
 @query("SELECT event_type AS route, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
 def route_latency(spark, d):
-    return actions(spark, d).where("value is not null").groupBy(F.col("kind").alias("route")).agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    timed = actions(spark, d).where("value is not null").select(F.col("kind").alias("route"), "value")
+    both = aggregates.with_ranks(timed.groupBy("route").agg(F.count("*").alias("n")), aggregates.linear_ranks(timed, "route", "value", {"p50": 0.5, "p95": 0.95}), "route")
+    return both.withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
 
 
 @query("SELECT source, quality, toxic, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2, 3")
