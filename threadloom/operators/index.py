@@ -15,7 +15,7 @@ from threadloom.functions.scalars import query_terms, terms
 
 #: Parts of a segment; a term's postings lie in one, sorted by term.
 PARTS = 16
-STATE = "version long, seg long, first long, batch string, size long, docs long, words long"
+STATE = "seg long, first long, batch string, size long, docs long, words long"
 
 
 def _part(c: Column) -> Column:
@@ -26,20 +26,24 @@ class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _exists(self, name: str) -> bool:
+    def _listed(self, name: str) -> list[str]:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _version(self) -> int:
+        """The number of the last state that was written whole."""
+        known = sorted((int(x.split("=")[1]) for x in self._listed("state") if "=" in x), reverse=True)
+        return next((v for v in known if "_SUCCESS" in self._listed(f"state/version={v}")), 0)
 
     def state(self) -> list:
         """The segments in use, oldest first: a row for each."""
-        if not self._exists("state"):
-            return []
-        rows = self.spark.read.schema(STATE).parquet(f"{self.path}/state")
-        return sorted(rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").collect(), key=lambda r: r.seg)  # few rows each
+        version = self._version()
+        return self.spark.read.schema(STATE).parquet(f"{self.path}/state/version={version}").orderBy("seg").collect() if version else []  # few rows
 
     def _commit(self, segments: list[tuple]) -> None:
-        version = max((s.version for s in self.state()), default=0) + 1
-        self.spark.createDataFrame([(version, *s) for s in segments], STATE).coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        rows = self.spark.createDataFrame(segments, STATE)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/version={self._version() + 1}")
 
     def _table(self, name: str, segments: list[int]) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("seg").isin(segments))
@@ -59,7 +63,7 @@ class Index:
         self._write(put.select("doc", "dl", "content"), put.select("doc", "dl", F.posexplode("_t").alias("place", "term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places")), rows.select("doc"), seg)
         new = self._table("lengths", [seg]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         docs, words = (now[-1].docs, now[-1].words) if now else (0, 0)
-        self._commit([tuple(s)[1:] for s in now] + [(seg, seg, batch, new[0], docs - old[0] + new[0], words - old[1] + new[1])])
+        self._commit([tuple(s) for s in now] + [(seg, seg, batch, new[0], docs - old[0] + new[0], words - old[1] + new[1])])
 
     def _write(self, lengths: DataFrame, postings: DataFrame, gone: DataFrame, seg: int) -> None:
         lengths.write.parquet(f"{self.path}/lengths/seg={seg}")
@@ -80,17 +84,15 @@ class Index:
     def docs(self) -> DataFrame:
         return self.lengths().select("doc")
 
-    def counts(self) -> tuple[int, int]:
+    def counts(self, state: list | None = None) -> tuple[int, int]:
         """Numbers of documents and of words, without reading either."""
-        last = self.state()[-1]
+        last = (self.state() if state is None else state)[-1]
         return last.docs, last.words
 
-    def postings(self, words: list[str]) -> DataFrame:
+    def postings(self, words: list[str], state: list | None = None) -> DataFrame:
         """Postings of some words: of each segment one part and its row groups for each word."""
-        state = self.state()
-        asked = self.spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("t")).select(_part(F.col("t")).alias("p")).distinct()
-        parts = [r.p for r in asked.collect()]  # one for each query word at most
-        rows = self._table("postings", [s.seg for s in state]).where(F.col("part").isin(parts) & F.col("term").isin(words))
+        state = self.state() if state is None else state
+        rows = self._table("postings", [s.seg for s in state]).where(F.col("part").isin(*[_part(F.lit(w)) for w in words]) & F.col("term").isin(words))
         return self._live(rows, state) if len(state) > 1 else rows
 
     def merge(self, like: int = 4) -> bool:
@@ -108,7 +110,7 @@ class Index:
         live = lambda name: self._live(self._table(name, own), some).drop("seg")
         self._write(live("lengths"), live("postings"), self._table("gone", own).select("doc").distinct(), seg)
         size = self._table("lengths", [seg]).count()
-        self._commit([tuple(s)[1:] for s in state[:first]] + [(seg, some[0].first, some[-1].batch, size, some[-1].docs, some[-1].words)])
+        self._commit([tuple(s) for s in state[:first]] + [(seg, some[0].first, some[-1].batch, size, some[-1].docs, some[-1].words)])
         return True
 
     def clean(self) -> None:
@@ -163,8 +165,7 @@ def containing(spark: SparkSession, path: str, part: str, listed: int = 1000) ->
     if len(part) < 3:
         return texts.where(hit)
     wanted = [r.g for r in spark.range(1).select(F.explode(grams(F.lit(part))).alias("g")).collect()]  # of the query alone
-    parts = [r.p for r in spark.range(1).select(F.explode(F.array(*map(F.lit, wanted))).alias("g")).select(_part(F.col("g")).alias("p")).distinct().collect()]
-    here = spark.read.parquet(f"{path}/grams").where(F.col("part").isin(parts) & F.col("gram").isin(wanted))
+    here = spark.read.parquet(f"{path}/grams").where(F.col("part").isin(*[_part(F.lit(g)) for g in wanted]) & F.col("gram").isin(wanted))
     candidates = here.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc")
     few = [r.doc for r in candidates.limit(listed + 1).collect()]  # bounded by listed
     if len(few) <= listed:

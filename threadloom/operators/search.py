@@ -56,7 +56,7 @@ _KEPT: dict[tuple, tuple[str, str]] = {}
 def kept_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     """The index of a table of files: built when first asked for, and brought up to date when its files are others than before."""
     spark = docs.sparkSession
-    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")  # no column of the table is read
     mark = str(files.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0])
     key = (spark.sparkContext.applicationId, doc_id, text, str(docs.inputFiles()[:1]).rsplit("/", 1)[0])
     path, seen = _KEPT.get(key, (None, None))
@@ -72,10 +72,10 @@ def kept_index(docs: DataFrame, doc_id: str, text: str) -> Index:
 
 def search_index(index: Index, query: list[str]) -> DataFrame:
     """(doc, score) as ``bm25`` gives them, from an index."""
-    query = query_terms(query)
+    query, state = query_terms(query), index.state()
     counts = [F.coalesce(F.max(F.when(F.col("term") == q, F.col("tf"))), F.lit(0)).alias(f"_{k}") for k, q in enumerate(query)]
-    rows = index.postings(query).groupBy("doc").agg(F.first("dl").alias("_dl"), *counts)
-    docs, words = index.counts()
+    rows = index.postings(query, state).groupBy("doc").agg(F.first("dl").alias("_dl"), *counts)
+    docs, words = index.counts(state)
     held = rows.agg(*[F.count_if(F.col(f"_{k}") > 0).alias(f"_df{k}") for k in range(len(query))])
     return _scores(rows, held.select("*", F.lit(docs).alias("_n"), F.lit(words / max(docs, 1)).alias("_avg")), ["doc"], query)
 
