@@ -170,3 +170,38 @@ def response_times(messages: DataFrame) -> DataFrame:
     agent = F.when((F.col("_now.role") == "assistant") & (F.col("_before.role") == "user"), gap)
     user = F.when((F.col("_now.role") == "user") & (F.col("_before.role") == "assistant") & (gap <= AWAY_MS), gap)
     return told.select("session_id", agent.alias("agent"), user.alias("user")).groupBy("session_id").agg(floor_median("agent").alias("agent_response_ms"), floor_median("user").alias("user_response_ms"))
+
+
+def pairing_totals(blocks: DataFrame) -> DataFrame:
+    """Over all sessions how many calls and results pair by (session_id, tool_id), miss their other side, repeat an identity or have none.
+
+    blocks: (session_id, tool_id, kind), kind 'tool_use' or 'tool_result'.
+    """
+    use, result = F.count_if(F.col("kind") == "tool_use"), F.count_if(F.col("kind") == "tool_result")
+    each = blocks.withColumn("tool_id", F.nullif("tool_id", F.lit(""))).groupBy("session_id", "tool_id").agg(use.alias("u"), result.alias("r"))
+    known, u, r = F.col("tool_id").isNotNull(), F.col("u"), F.col("r")
+    total = lambda v, of: F.coalesce(F.sum(F.when(of, v)), F.lit(0)).cast("long")
+    above = lambda v: F.greatest(v, F.lit(0))
+    return each.agg(
+        total(F.least(u, r), known).alias("paired"), total(above(u - r), known).alias("missing_results"), total(above(r - u), known).alias("orphan_results"), total(above(u - 1), known).alias("duplicate_calls"),
+        total(above(r - 1), known).alias("duplicate_results"), total(u, ~known).alias("unknown_uses"), total(r, ~known).alias("unknown_results"),
+    )
+
+
+def tool_distributions(blocks: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(measure, value, n): how many sessions have so many calls and results, those without any included, and how many identities so many records."""
+    kind = F.col("kind")
+    per = sessions.select("session_id").distinct().join(blocks.groupBy("session_id").agg(F.count_if(kind == "tool_use").alias("u"), F.count_if(kind == "tool_result").alias("r")), "session_id", "left")
+    of_session = per.select(F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.coalesce(c, F.lit(0)).alias("value")) for name, c in (("uses", "u"), ("results", "r"))])).alias("m")).select("m.*")
+    records = blocks.where(F.coalesce(F.col("tool_id"), F.lit("")) != "").groupBy("session_id", "tool_id").agg(F.count("*").alias("value")).select(F.lit("records_per_identity").alias("measure"), "value")
+    return of_session.union(records).groupBy("measure", "value").agg(F.count("*").alias("n"))
+
+
+def archive_coverage(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sessions (origin, at, messages) per origin sessions, first and last date, truncated (at most two messages) and messages; and the gaps of more than a day between dates of any."""
+    day = F.to_date("at")
+    per = sessions.groupBy("origin").agg(F.count("*").alias("sessions"), F.count(day).alias("dated"), F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.count_if(F.coalesce("messages", F.lit(0)) <= 2).alias("truncated"), F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"))
+    days = sessions.select(day.alias("day")).where("day is not null").distinct()  # a row for each date there is
+    after = days.withColumn("_next", F.lead("day").over(Window.orderBy("day")))
+    gaps = after.where(F.date_diff("_next", "day") > 1).select(F.date_add("day", 1).alias("start_date"), F.date_sub("_next", 1).alias("end_date"), (F.date_diff("_next", "day") - 1).alias("days"))
+    return per, gaps

@@ -154,6 +154,20 @@ def overlap(docs: DataFrame, doc_id: str, text: str, seed: str, least: float) ->
     return docs.where(F.size(a) > 0).select(doc_id, score.alias("score")).where(F.col("score") >= least)
 
 
+# The words that tell no session from another, and what a token is.
+STOP_WORDS = "about after again also and are but can could for from have how into not our please that the this was what when with would you your".split()
+TOKEN = "[a-z0-9][a-z0-9_-]{2,}"
+
+
+def token_similarity(docs: DataFrame, doc_id: str, text: str, seed: str, least: float = 0.12) -> DataFrame:
+    """|A ∩ B| / sqrt(|A| |B|) of the tokens of each text and of one, without stop words; texts without tokens, and those below ``least``, are left out."""
+    stop = F.array(*map(F.lit, STOP_WORDS))
+    tokens = lambda c: F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))), stop)
+    both = docs.select(doc_id, tokens(F.col(text)).alias("_a"), tokens(F.lit(seed)).alias("_b")).where("size(_a) > 0 and size(_b) > 0")
+    score = F.size(F.array_intersect("_a", "_b")) / F.sqrt(F.size("_a").cast("double") * F.size("_b"))
+    return both.select(doc_id, F.round(score, 6).alias("score")).where(F.col("score") >= least)
+
+
 def phrase(text: Column, words: list[str], prefix: bool = False) -> Column:
     """The words stand next to each other; with ``prefix`` the last may go on."""
     inner = r"[^\p{L}\p{N}]+".join(map(re.escape, _in_order(words)))

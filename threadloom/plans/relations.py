@@ -154,3 +154,47 @@ def definition_cycles(spark, d):
     down = k.where("a % 10 = 4").select("a", (F.col("a") * 2).alias("b")).join(k.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
     edges = up.union(down)
     return graph.cyclic_core(edges)
+
+
+_TOOL_BLOCKS = """b AS (SELECT user_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1 THEN '' ELSE props END AS tool, event_type = 'click' AS call FROM events WHERE event_type IN ('click', 'error') AND user_id % 5 > 0),
+k AS (SELECT user_id, nullif(tool, '') AS tool, count(*) FILTER (call) AS u, count(*) FILTER (NOT call) AS r FROM b GROUP BY 1, 2)"""
+
+
+def _tool_blocks(spark, d):
+    """Clicks as calls and errors as results; every fifth user has no tools, and a fifth of the rows no identity."""
+    n = F.col("event_id") % 10
+    rows = actions(spark, d).where("kind in ('click', 'error') and session_id % 5 > 0")
+    return rows.select("session_id", F.when(n == 0, F.lit(None)).when(n == 1, "").otherwise(F.col("tool_id")).alias("tool_id"), F.when(F.col("kind") == "click", "tool_use").otherwise("tool_result").alias("kind"))
+
+
+@query(f"""WITH {_TOOL_BLOCKS} SELECT CAST(sum(least(u, r)) FILTER (tool IS NOT NULL) AS BIGINT) AS paired, CAST(sum(greatest(u - r, 0)) FILTER (tool IS NOT NULL) AS BIGINT) AS missing_results, CAST(sum(greatest(r - u, 0)) FILTER (tool IS NOT NULL) AS BIGINT) AS orphan_results,
+CAST(sum(greatest(u - 1, 0)) FILTER (tool IS NOT NULL) AS BIGINT) AS duplicate_calls, CAST(sum(greatest(r - 1, 0)) FILTER (tool IS NOT NULL) AS BIGINT) AS duplicate_results, CAST(sum(u) FILTER (tool IS NULL) AS BIGINT) AS unknown_uses, CAST(sum(r) FILTER (tool IS NULL) AS BIGINT) AS unknown_results FROM k""")
+def tool_pairing_totals(spark, d):
+    return outcomes.pairing_totals(_tool_blocks(spark, d))
+
+
+@query(f"""WITH {_TOOL_BLOCKS}, s AS (SELECT DISTINCT user_id FROM events), p AS (SELECT s.user_id, coalesce(sum(u), 0) AS u, coalesce(sum(r), 0) AS r FROM s LEFT JOIN k USING (user_id) GROUP BY 1),
+v AS (SELECT 'uses' AS measure, u AS value FROM p UNION ALL SELECT 'results', r FROM p UNION ALL SELECT 'records_per_identity', u + r FROM k WHERE tool IS NOT NULL) SELECT measure, CAST(value AS BIGINT) AS value, count(*) AS n FROM v GROUP BY 1, 2""")
+def tool_use_distributions(spark, d):
+    return outcomes.tool_distributions(_tool_blocks(spark, d), actions(spark, d))
+
+
+@query("SELECT o_orderpriority AS origin, count(*) AS sessions, count(o_orderdate) AS dated, CAST(min(o_orderdate) AS DATE) AS first_date, CAST(max(o_orderdate) AS DATE) AS last_date, count(*) FILTER (o_orderkey % 9 <= 2) AS truncated, CAST(sum(o_orderkey % 9) AS BIGINT) AS messages FROM orders GROUP BY 1")
+def archive_coverage(spark, d):
+    return outcomes.archive_coverage(sessions(spark, d).select("origin", F.col("sort_key").alias("at"), (F.col("session_id") % 9).alias("messages")))[0]
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE day(ts) % 7 NOT IN (3, 4)), n AS (SELECT day, lead(day) OVER (ORDER BY day) AS next FROM d)
+SELECT CAST(day + 1 AS DATE) AS start_date, CAST(next - 1 AS DATE) AS end_date, CAST(next - day - 1 AS INTEGER) AS days FROM n WHERE next - day > 1""")
+def archive_gaps(spark, d):
+    rows = actions(spark, d).where(~(F.day("ts") % 7).isin(3, 4))
+    return outcomes.archive_coverage(rows.select(F.col("kind").alias("origin"), F.col("ts").alias("at"), F.lit(1).alias("messages")))[1]
+
+
+_SEED = "please tell the people how this nation-wide license and the version of that public work could be used"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '{search.TOKEN}')), lambda x: NOT list_contains({search.STOP_WORDS}, x)) AS a, list_filter(list_distinct(regexp_extract_all('{_SEED}', '{search.TOKEN}')), lambda x: NOT list_contains({search.STOP_WORDS}, x)) AS b FROM documents)
+SELECT doc_id, round(len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 6) AS score FROM t WHERE len(a) > 0 AND round(len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 6) >= 0.05""")
+def token_similarity(spark, d):
+    return search.token_similarity(read(spark, d, "documents"), "doc_id", "text", _SEED, 0.05)
