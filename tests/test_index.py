@@ -81,3 +81,24 @@ def test_substrings(spark):
         want = sorted(k for k, t in rows if t and part in t)
         for listed in (1000, 0):
             assert sorted(r.doc for r in ix.containing(spark, path, part, listed).collect()) == want
+
+
+def test_nothing_to_index(spark):
+    path, none = folder(spark, "empty"), spark.createDataFrame([], "doc long, text string")
+    index = search.write_index(none, "doc", "text", f"{path}/index")
+    assert search.search_index(index, ["red"]).count() == 0 and index.counts() == (0, 0) and index.drift(none).count() == 0
+    index.apply(spark.createDataFrame([(1, "", False), (2, None, False)], "doc long, text string, deleted boolean"))
+    assert search.search_index(index, ["red"]).count() == 0 and index.counts() == (2, 0)
+    ix.write_grams(none, "doc", "text", f"{path}/grams")
+    assert ix.containing(spark, f"{path}/grams", "abc").count() == 0
+
+
+def test_kept_index_follows_its_table(spark, tmp_path):
+    at = f"file://{tmp_path}/t.parquet"
+    spark.createDataFrame([(1, "red"), (2, "blue")], "doc long, text string").write.parquet(at)
+    asked = lambda: sorted(r.doc for r in search.search_index(search.kept_index(spark.read.parquet(at), "doc", "text"), ["red"]).collect())
+    assert asked() == asked() == [1]
+    spark.createDataFrame([(3, "red red")], "doc long, text string").write.mode("append").parquet(at)
+    assert asked() == [1, 3]
+    spark.createDataFrame([(2, "red"), (3, "blue")], "doc long, text string").write.mode("overwrite").parquet(at)
+    assert asked() == [2]

@@ -88,3 +88,12 @@ def test_baseline_advances_with_a_stream(spark, tmp_path):
         spark.readStream.schema("id long, v long").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in").writeStream.foreachBatch(step).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination(120)
     assert found == [None, [("added", "3"), ("removed", "1")], []]
     assert standing.advance(spark.range(1), "id", "b1") is None
+
+
+def test_few_members_and_none(spark):
+    path = folder(spark, "sets")
+    few = [str(k) for k in range(12)]
+    depth = members.store(spark.createDataFrame([(x,) for x in few], "id string"), "id", f"{path}/few")
+    members.store(spark.createDataFrame([], "id string"), "id", f"{path}/none", depth)
+    assert sorted(r.member for r in members.changes(spark, f"{path}/none", f"{path}/few", depth).collect()) == sorted(few)
+    assert {r.change for r in members.changes(spark, f"{path}/few", f"{path}/none", depth).collect()} == {"removed"}

@@ -8,14 +8,14 @@ Each state is a written table of the segments in use, named by its number; reade
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import query_terms, terms
 
 #: Parts of a segment; a term's postings lie in one, sorted by term.
 PARTS = 16
-STATE = "seg long, first long, batch string, size long, docs long, words long"
+STATE = "seg long, first long, batch string, size long, docs long, words long, kind string"
 
 
 def _part(c: Column) -> Column:
@@ -45,8 +45,12 @@ class Index:
         rows = self.spark.createDataFrame(segments, STATE)
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/version={self._version() + 1}")
 
-    def _table(self, name: str, segments: list[int]) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("seg").isin(segments))
+    def _table(self, name: str, state: list) -> DataFrame:
+        """A table's rows of some segments; its schema is known, so a table without rows is one, too."""
+        doc = state[0].kind if state else "string"
+        columns = {"lengths": f"doc {doc}, dl bigint, content bigint", "postings": f"term string, doc {doc}, tf bigint, dl bigint, places array<int>", "gone": f"doc {doc}"}[name]
+        part = ", part int" if name == "postings" else ""
+        return self.spark.read.schema(f"{columns}, seg bigint{part}").parquet(f"{self.path}/{name}").where(F.col("seg").isin([s.seg for s in state]))
 
     def apply(self, changes: DataFrame, batch: str | None = None) -> None:
         """Changes (doc, text, deleted; with ``at``, the last of a document counts) as one segment; a batch that was applied is not applied again."""
@@ -57,13 +61,15 @@ class Index:
         order = F.struct("at", "deleted", "text") if "at" in changes.columns else F.struct("deleted", "text")
         rows = changes.groupBy("doc").agg(F.max(F.struct(order.alias("o"), "deleted", "text")).alias("c")).select("doc", F.coalesce("c.deleted", F.lit(False)).alias("deleted"), F.col("c.text").alias("text"))
         rows.write.parquet(f"{self.path}/batches/{seg}")
-        rows = self.spark.read.parquet(f"{self.path}/batches/{seg}")
+        kind = dict(rows.dtypes)["doc"]
+        rows = self.spark.read.schema(f"doc {kind}, deleted boolean, text string").parquet(f"{self.path}/batches/{seg}")
         put = rows.where("not deleted").select("doc", F.xxhash64("text").alias("content"), F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
         old = self.lengths(now).join(rows.select("doc"), "doc", "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first() if now else (0, 0)
         self._write(put.select("doc", "dl", "content"), put.select("doc", "dl", F.posexplode("_t").alias("place", "term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places")), rows.select("doc"), seg)
-        new = self._table("lengths", [seg]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        this = Row(seg=seg, kind=kind)
+        new = self._table("lengths", [this]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         docs, words = (now[-1].docs, now[-1].words) if now else (0, 0)
-        self._commit([tuple(s) for s in now] + [(seg, seg, batch, new[0], docs - old[0] + new[0], words - old[1] + new[1])])
+        self._commit([tuple(s) for s in now] + [(seg, seg, batch, new[0], docs - old[0] + new[0], words - old[1] + new[1], kind)])
 
     def _write(self, lengths: DataFrame, postings: DataFrame, gone: DataFrame, seg: int) -> None:
         lengths.write.parquet(f"{self.path}/lengths/seg={seg}")
@@ -74,12 +80,12 @@ class Index:
 
     def _live(self, rows: DataFrame, state: list) -> DataFrame:
         """Rows (doc, seg, …) that no later segment has put again or deleted."""
-        later = self._table("gone", [s.seg for s in state]).groupBy("doc").agg(F.max("seg").alias("_last"))
+        later = self._table("gone", state).groupBy("doc").agg(F.max("seg").alias("_last"))
         return rows.join(later, "doc").where("seg >= _last").drop("_last")
 
     def lengths(self, state: list | None = None) -> DataFrame:
         state = self.state() if state is None else state
-        return self._live(self._table("lengths", [s.seg for s in state]), state)
+        return self._live(self._table("lengths", state), state)
 
     def docs(self) -> DataFrame:
         return self.lengths().select("doc")
@@ -92,7 +98,7 @@ class Index:
     def postings(self, words: list[str], state: list | None = None) -> DataFrame:
         """Postings of some words: of each segment one part and its row groups for each word."""
         state = self.state() if state is None else state
-        rows = self._table("postings", [s.seg for s in state]).where(F.col("part").isin(*[_part(F.lit(w)) for w in words]) & F.col("term").isin(words))
+        rows = self._table("postings", state).where(F.col("part").isin(*[_part(F.lit(w)) for w in words]) & F.col("term").isin(words))
         return self._live(rows, state) if len(state) > 1 else rows
 
     def merge(self, like: int = 4) -> bool:
@@ -106,11 +112,11 @@ class Index:
         some = state[first:]
         if len(some) < max(like, 2):
             return False
-        own, seg = [s.seg for s in some], some[-1].seg + 1
-        live = lambda name: self._live(self._table(name, own), some).drop("seg")
-        self._write(live("lengths"), live("postings"), self._table("gone", own).select("doc").distinct(), seg)
-        size = self._table("lengths", [seg]).count()
-        self._commit([tuple(s) for s in state[:first]] + [(seg, some[0].first, some[-1].batch, size, some[-1].docs, some[-1].words)])
+        seg = some[-1].seg + 1
+        live = lambda name: self._live(self._table(name, some), some).drop("seg")
+        self._write(live("lengths"), live("postings"), self._table("gone", some).select("doc").distinct(), seg)
+        size = self._table("lengths", [Row(seg=seg, kind=some[0].kind)]).count()
+        self._commit([tuple(s) for s in state[:first]] + [(seg, some[0].first, some[-1].batch, size, some[-1].docs, some[-1].words, some[0].kind)])
         return True
 
     def clean(self) -> None:
@@ -152,7 +158,7 @@ def write_grams(docs: DataFrame, doc: str, text: str, path: str) -> None:
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     rows.where("doc is not null").repartitionByRange("doc").sortWithinPartitions("doc").write.option("parquet.block.size", 1 << 20).parquet(f"{path}/texts")
     held = rows.where("length(text) >= 3").select("doc", F.explode(grams(F.col("text"))).alias("gram")).withColumn("part", _part(F.col("gram")))
-    held.repartition("part", F.pmod(F.hash("doc"), F.lit(8))).sortWithinPartitions("part", "gram", "doc").write.partitionBy("part").parquet(f"{path}/grams")
+    held.select("gram", "doc", "part").repartition("part", F.pmod(F.hash("doc"), F.lit(8))).sortWithinPartitions("part", "gram", "doc").write.partitionBy("part").parquet(f"{path}/grams")
 
 
 def containing(spark: SparkSession, path: str, part: str, listed: int = 1000) -> DataFrame:
@@ -165,7 +171,8 @@ def containing(spark: SparkSession, path: str, part: str, listed: int = 1000) ->
     if len(part) < 3:
         return texts.where(hit)
     wanted = [r.g for r in spark.range(1).select(F.explode(grams(F.lit(part))).alias("g")).collect()]  # of the query alone
-    here = spark.read.parquet(f"{path}/grams").where(F.col("part").isin(*[_part(F.lit(g)) for g in wanted]) & F.col("gram").isin(wanted))
+    kind = dict(texts.dtypes)["doc"]
+    here = spark.read.schema(f"gram string, doc {kind}, part int").parquet(f"{path}/grams").where(F.col("part").isin(*[_part(F.lit(g)) for g in wanted]) & F.col("gram").isin(wanted))
     candidates = here.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc")
     few = [r.doc for r in candidates.limit(listed + 1).collect()]  # bounded by listed
     if len(few) <= listed:

@@ -16,13 +16,15 @@ from threadloom.scratch import folder
 #: Members in a range of the last level, about.
 RANGE = 64
 FOLDER_DIGITS = 2
+MEMBERS = "member string, h string, top string"
+NODES = "node string, n bigint, a decimal(38,0), b decimal(38,0)"
 
 
 def store(members: DataFrame, key: str, path: str, ranges: int | None = None) -> int:
     """Writes the different members and the digests of all levels; gives the number of levels. ``ranges`` sets that of another set to compare with."""
     rows = members.select(F.col(key).cast("string").alias("member")).where("member is not null").distinct().withColumn("h", F.sha2("member", 256))
     rows.withColumn("top", F.substring("h", 1, FOLDER_DIGITS)).repartition("top").sortWithinPartitions("top", "h").write.partitionBy("top").parquet(f"{path}/members")
-    saved = members.sparkSession.read.parquet(f"{path}/members")
+    saved = members.sparkSession.read.schema(MEMBERS).parquet(f"{path}/members")
     depth = ranges
     while depth is None:
         n, k = saved.count() // RANGE, 1
@@ -33,13 +35,13 @@ def store(members: DataFrame, key: str, path: str, ranges: int | None = None) ->
     level = saved.groupBy(F.substring("h", 1, depth).alias("node")).agg(F.count("*").alias("n"), F.sum(part(1)).alias("a"), F.sum(part(17)).alias("b"))
     for k in range(depth, -1, -1):
         level.write.parquet(f"{path}/nodes/level={k}")
-        level = members.sparkSession.read.parquet(f"{path}/nodes/level={k}").groupBy(F.substring("node", 1, k - 1 if k else 0).alias("node")).agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+        level = members.sparkSession.read.schema(NODES).parquet(f"{path}/nodes/level={k}").groupBy(F.substring("node", 1, k - 1 if k else 0).alias("node")).agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return depth
 
 
 def differing(spark: SparkSession, before: str, after: str, depth: int) -> list[DataFrame]:
     """For each level the nodes that differ, found below those of the level above."""
-    nodes = lambda path, k: spark.read.parquet(f"{path}/nodes/level={k}")
+    nodes = lambda path, k: spark.read.schema(NODES).parquet(f"{path}/nodes/level={k}")
     out: list[DataFrame] = []
     root = folder(spark, "members")
     for k in range(depth + 1):
@@ -58,7 +60,7 @@ def differing(spark: SparkSession, before: str, after: str, depth: int) -> list[
 def changes(spark: SparkSession, before: str, after: str, depth: int, listed: int = 1000) -> DataFrame:
     """(member, change): added and removed members of two stored sets of one depth. Up to ``listed`` ranges are named in the filter, so that files and row groups are skipped; more are joined."""
     last = differing(spark, before, after, depth)[-1]
-    read = lambda path: spark.read.parquet(f"{path}/members")
+    read = lambda path: spark.read.schema(MEMBERS).parquet(f"{path}/members")
     few = [r.node for r in last.limit(listed + 1).collect()]  # bounded by listed
     if len(few) <= listed:
         ends = [(x, x + "g") for x in few]  # "g" follows all digits

@@ -58,7 +58,9 @@ def kept_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     spark = docs.sparkSession
     files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")  # no column of the table is read
     mark = str(files.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()[0])
-    key = (spark.sparkContext.applicationId, doc_id, text, str(docs.inputFiles()[:1]).rsplit("/", 1)[0])
+    first = next(iter(docs.inputFiles()), "")
+    table = first.rsplit("/", 1)[0] if "/part-" in first else first  # a folder's files may come and go
+    key = (spark.sparkContext.applicationId, doc_id, text, table)
     path, seen = _KEPT.get(key, (None, None))
     if path is None:
         path = f"{folder(spark, 'kept')}/index"
