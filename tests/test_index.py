@@ -1,6 +1,7 @@
 """The kept index against one built anew, folding of what users ask, and substrings by grams."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,6 @@ def test_kept_index_follows_its_table(spark, tmp_path):
     assert asked() == [1, 3]
     spark.createDataFrame([(2, "red"), (3, "blue")], "doc long, text string").write.mode("overwrite").parquet(at)
     assert asked() == [2]
+    for path, _ in search._KEPT.values():
+        shutil.rmtree(path.removeprefix("file://"))
+    assert asked() == [2]

@@ -31,19 +31,19 @@ class Index:
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
 
-    def _version(self) -> int:
+    def version(self) -> int:
         """The number of the last state that was written whole."""
         known = sorted((int(x.split("=")[1]) for x in self._listed("state") if "=" in x), reverse=True)
         return next((v for v in known if "_SUCCESS" in self._listed(f"state/version={v}")), 0)
 
     def state(self) -> list:
         """The segments in use, oldest first: a row for each."""
-        version = self._version()
+        version = self.version()
         return self.spark.read.schema(STATE).parquet(f"{self.path}/state/version={version}").orderBy("seg").collect() if version else []  # few rows
 
     def _commit(self, segments: list[tuple]) -> None:
         rows = self.spark.createDataFrame(segments, STATE)
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/version={self._version() + 1}")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/version={self.version() + 1}")
 
     def _table(self, name: str, state: list) -> DataFrame:
         """A table's rows of some segments; its schema is known, so a table without rows is one, too."""

@@ -62,7 +62,7 @@ def kept_index(docs: DataFrame, doc_id: str, text: str) -> Index:
     table = first.rsplit("/", 1)[0] if "/part-" in first else first  # a folder's files may come and go
     key = (spark.sparkContext.applicationId, doc_id, text, table)
     path, seen = _KEPT.get(key, (None, None))
-    if path is None:
+    if path is None or not Index(spark, path).version():  # none yet, or its folder was cleared
         path = f"{folder(spark, 'kept')}/index"
         write_index(docs, doc_id, text, path)
     elif seen != mark:
