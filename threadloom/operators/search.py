@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,18 +196,95 @@ def plain_score(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
     return scored.groupBy(key).agg((F.max("_s") + F.least(F.count("*") - 1, F.lit(5))).cast("long").alias("score"))
 
 
-def nearest_to_seeds(vectors: DataFrame, group: str, seed, k: int, seeds: int = 256) -> DataFrame:
+#: Vectors and seeds that a task of ``nearest_to_seeds`` holds at once, about.
+CELL_VECTORS, CELL_SEEDS = 4096, 8192
+
+
+def _padded(col: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows of doubles, 0 where a component is missing, and where there is one."""
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy()
+    flat = pc.list_flatten(col)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    values, held = np.zeros((len(sizes), width)), np.zeros((len(sizes), width), bool)
+    held[row, place] = pc.is_valid(flat).to_numpy()
+    values[row, place] = pc.fill_null(flat, 0).to_numpy()
+    return values, held
+
+
+def _exact(a: np.ndarray, in_a: np.ndarray, s: np.ndarray, in_s: np.ndarray) -> np.ndarray:
+    """Distances of rows to rows, summed component by component; those that one lacks are left out, and NaN stands for none at all."""
+    total = np.zeros(np.broadcast_shapes(a.shape[:-1], s.shape[:-1]))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for k in range(a.shape[-1]):
+            both = in_a[..., k] & in_s[..., k]
+            total += np.where(both, a[..., k] - s[..., k], 0.0) ** 2
+        return np.sqrt(total)
+
+
+def _least(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Each vector's least distance to the seeds of one cell: a matrix product leaves those that can be nearest, whose distances are summed exactly."""
+    width = max(pc.max(pc.list_value_length(t["embedding"])).as_py() or 0 for t in (left, right))
+    a, in_a = _padded(left["embedding"], width)
+    s, in_s = _padded(right["embedding"], width)
+    s, first = np.unique(np.where(in_s, s, np.nan) + 0.0, axis=0, return_index=True, equal_nan=False)
+    in_s = in_s[first]
+    plain_a, plain_s = (in_a & np.isfinite(a)).all(axis=1), (in_s & np.isfinite(s)).all(axis=1)
+    s = np.where(in_s, s, 0.0)
+    best, none = np.full(len(a), np.nan), np.ones(len(a), bool)
+
+    def take(rows: np.ndarray, found: np.ndarray, known: np.ndarray) -> None:
+        """NaN is a distance, the largest; a pair without components in common has none."""
+        least = np.fmin.reduce(np.where(known, found, np.nan), axis=1)
+        best[rows], none[rows] = np.fmin(best[rows], least), none[rows] & ~known.any(axis=1)
+
+    some = s[plain_s]
+    squares = (some * some).sum(axis=1)
+    rows = np.flatnonzero(plain_a) if len(some) and width else np.array([], int)
+    for k in range(0, len(rows), 512):
+        x = a[rows[k : k + 512]]
+        own = (x * x).sum(axis=1)
+        with np.errstate(invalid="ignore", over="ignore"):
+            near = own[:, None] + squares - 2 * (x @ some.T)
+            slack = 1e-14 * (width + 8) * (own + squares.max())
+            at, seed = np.nonzero(~(near > (near.min(axis=1) + slack)[:, None]))
+        for j in range(0, len(at), 1 << 16):
+            i, q = at[j : j + (1 << 16)], seed[j : j + (1 << 16)]
+            np.fmin.at(best, rows[k + i], _exact(x[i], np.ones_like(x[i], bool), some[q], np.ones_like(x[i], bool)))
+        none[rows[k : k + 512]] = False
+    odd = [(np.flatnonzero(~plain_a) if len(rows) else np.arange(len(a)), np.arange(len(s)))]
+    if len(rows):
+        odd.append((rows, np.flatnonzero(~plain_s)))
+    for vectors, seeds in odd:
+        for k in range(0, len(vectors), 256):
+            for j in range(0, len(seeds), 1024):
+                v, q = vectors[k : k + 256], seeds[j : j + 1024]
+                take(v, _exact(a[v][:, None], in_a[v][:, None], s[q][None], in_s[q][None]), (in_a[v][:, None] & in_s[q][None]).any(axis=2))
+    return pa.table({"vec_id": left["vec_id"], "distance": pa.array(best, pa.float64(), mask=none)})
+
+
+def nearest_to_seeds(vectors: DataFrame, group: str, seed, k: int, seeds: int = CELL_SEEDS) -> DataFrame:
     """The k vectors outside a group that are nearest (Euclidean) to any of its vectors.
 
-    A group's vectors are dealt in blocks of about ``seeds``, each one row; a vector takes its least distance over the blocks.
+    Every vector meets every seed: both are dealt into slots, and a task takes one slot of each, of a bounded size.
+    A component that either lacks is left out; a vector that shares none with a seed comes last, without a distance.
     """
-    own = vectors.where(F.col(group) == seed).select("vec_id", "embedding")
-    blocks = max(1, -(-own.count() // seeds))
-    held = own.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list("embedding").alias("_seeds")).drop("_block")
-    distance = lambda s: F.sqrt(F.aggregate(F.zip_with("embedding", s, lambda a, b: F.pow(a.cast("double") - b, 2)), F.lit(0.0), lambda a, x: a + x))
-    least = F.array_min(F.transform("_seeds", distance))
-    each = vectors.where(F.col(group) != seed).crossJoin(held).select("vec_id", least.alias("distance"))
-    return each.groupBy("vec_id").agg(F.round(F.min("distance"), 6).alias("distance")).orderBy("distance", "vec_id").limit(k)
+    rows = vectors.select("vec_id", "embedding", (F.col(group) == seed).alias("_own")).where("_own is not null")
+    sizes = rows.agg(F.count_if("_own").alias("own"), F.count_if(~F.col("_own")).alias("other")).first()
+    down, across = max(1, -(-sizes.other // CELL_VECTORS)), max(1, -(-sizes.own // seeds))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.where("not _own").select("vec_id", "embedding", dealt(down).alias("i"), every(across).alias("j"))
+    right = rows.where("_own").select("embedding", every(down).alias("i"), dealt(across).alias("j"))
+    each = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_least_in_cell, f"vec_id {dict(rows.dtypes)['vec_id']}, distance double")
+    least = each.groupBy("vec_id").agg(F.round(F.min("distance"), 6).alias("distance"))
+    return least.orderBy(F.asc_nulls_last("distance"), "vec_id").limit(k)
+
+
+def _least_in_cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    if left.num_rows and right.num_rows:
+        return _least(left, right)
+    return pa.table({"vec_id": left["vec_id"].slice(0, 0), "distance": pa.array([], pa.float64())})
 
 
 def embeddable(rows: DataFrame) -> DataFrame:
