@@ -79,6 +79,21 @@ def test_sketches_merge(spark):
         assert got == 0.0 if exact <= 0 else exact / 1.02 <= got <= exact * 1.02
 
 
+def test_members_are_counted_exactly(spark):
+    df = spark.range(40_000).selectExpr("id % 7 AS day", "IF(id % 100 = 0, null, id % 20000) AS v", "'k' AS k")
+    stored = structure.members(df, ["k", "day"], "v")
+    assert stored.count() == df.where("v is not null").select("day", "v").distinct().count()
+    assert [tuple(r) for r in structure.counted(stored, ["k"]).collect()] == [("k", 19_800)]
+
+
+def test_merged_sketches_at_the_largest_given_size(spark):
+    from threadloom.plans import QUERIES
+
+    got = {r.kind: r.users for r in QUERIES["merged_sketches"](spark, "/root/testdata/sf0.1").collect()}
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    assert got == {r.event_type: r.n for r in events.groupBy("event_type").agg(F.count_distinct("user_id").alias("n")).collect()}
+
+
 def test_win_rates(spark):
     games = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("c", "c"), ("a", "d")], "winner string, loser string")
     assert {r.item: (r.wins, r.games, r.rate) for r in graph.win_rates(games).collect()} == {"a": (3, 4, 0.75), "b": (1, 3, 0.333333), "d": (0, 1, 0.0)}

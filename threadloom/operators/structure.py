@@ -81,6 +81,16 @@ def told(sketch: DataFrame, keys: list[str], quantiles: list[float], base: float
     return sketch.select(*keys, "n", "least", "most", F.hll_sketch_estimate("distinct").alias("distinct"), *[at(q).alias(f"p{q * 100:g}") for q in quantiles])
 
 
+def members(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """H2: the different values of each stored part, where their number must be exact; ``counted`` merges parts without the rows."""
+    return df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("member")).distinct()
+
+
+def counted(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """H2: how many different values stored parts hold together."""
+    return parts.select(*keys, "member").distinct().groupBy(*keys).agg(F.count("*").alias("distinct"))
+
+
 def collapsed(flat: DataFrame, most: int = 50) -> DataFrame:
     """H5: paths whose keys are data and not names become one: a key that is a number, a hash or a UUID, or one of more than ``most`` beside each other, is ``*``."""
     parts = flat.withColumn("parent", F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)).withColumn("key", F.regexp_extract("path", r"([^.]*)$", 1))
