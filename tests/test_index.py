@@ -84,6 +84,38 @@ def test_substrings(spark):
             assert sorted(r.doc for r in ix.containing(spark, path, part, listed).collect()) == want
 
 
+def test_grams_of_long_texts_and_of_any_case(spark):
+    long = "abcdefghij" * 200_000  # a cost quadratic in its length would take hours
+    rows = [(1, long + "needle"), (2, "ΑΒΣΑ"), (3, "x😀y😀"), (4, "nee"), (4, "dle needle"), (5, "ΑΒΣ")]
+    path = f"{folder(spark, 'grams')}/long"
+    ix.write_grams(spark.createDataFrame(rows, "doc long, text string"), "doc", "text", path)
+    for part, want in (("needle", [1, 4]), ("ΑΒΣ", [2, 5]), ("😀y😀", [3]), ("x😀y", [3]), ("jab", [1])):
+        for listed in (1000, 0):
+            assert sorted(r.doc for r in ix.containing(spark, path, part, listed).collect()) == want
+
+
+def test_postings_are_gathered_by_documents(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc", "concat('red ', IF(id % 3 = 0, 'blue red', 'green'), ' w', id % 5) AS text").union(spark.createDataFrame([(7, "zzz red")], "doc long, text string")).repartition(2)
+    path = f"{folder(spark, 'index')}/gathered"
+    index = search.write_index(docs, "doc", "text", path)
+    assert spark.read.parquet(f"{path}/postings").count() < 100  # instead of a row for each document and term
+    got = index.postings(["red", "zzz"], places=True).where("doc in (3, 4, 7)").collect()
+    assert sorted((r.doc, r.term, r.tf, r.dl, tuple(r.places)) for r in got) == [(3, "red", 2, 4, (0, 2)), (4, "red", 1, 3, (0,)), (7, "red", 1, 2, (1,)), (7, "zzz", 1, 2, (0,))]
+    assert search.phrase_in_index(index, ["blue", "red"]).count() == 1000 and index.counts() == (3000, 3 * 2000 + 1000 * 4 - 1)
+
+
+def test_gathering_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc": [1, 2, 3, 4], "dl": [2, 0, 3, 1], "terms": pa.array([["a", "b"], None, ["b", "a", "b"], ["b"]], pa.list_(pa.string()))})
+    found = []
+    for size in (1, 3, 100):
+        monkeypatch.setattr(ix, "GATHERED", size)
+        rows = [r for b in ix._gather_terms(iter([batch])) for r in b.to_pylist()]
+        found.append(sorted((r["term"], d, s, tuple(r["places"][a:e])) for r in rows for d, s, a, e in zip(r["docs"], r["sizes"], [0, *r["ends"]], r["ends"])))
+    assert found[0] == found[1] == found[2] == [("a", 1, 2, (0,)), ("a", 3, 3, (1,)), ("b", 1, 2, (1,)), ("b", 3, 3, (0, 2)), ("b", 4, 1, (0,))]
+
+
 def test_nothing_to_index(spark):
     path, none = folder(spark, "empty"), spark.createDataFrame([], "doc long, text string")
     index = search.write_index(none, "doc", "text", f"{path}/index")

@@ -110,7 +110,7 @@ def _in_order(words: list[str]) -> list[str]:
 def phrase_in_index(index: Index, words: list[str]) -> DataFrame:
     """Documents of an index in which the words stand next to each other, by their places."""
     words = _in_order(words)
-    here = index.postings(list(dict.fromkeys(words))).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_m"))
+    here = index.postings(list(dict.fromkeys(words)), places=True).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("_m"))
     back = lambda k: lambda place: place - k
     at = [F.transform(F.coalesce(F.col("_m")[w], F.array().cast("array<int>")), back(k)) for k, w in enumerate(words)]
     both = at[0]
