@@ -36,3 +36,24 @@ def test_composed_transcripts_of_large_ids(spark, tmp_path):
     duck.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     want = duck.execute(f"select session_id, from_session, position, role from ({ORACLES['composed_transcripts']})").fetchall()
     assert sorted(map(tuple, QUERIES["composed_transcripts"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
+    from threadloom.operators import reports
+
+    plans, keep = [], graph._keep
+
+    def spy(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, path)
+
+    monkeypatch.setattr(graph, "_keep", spy)
+    edges = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 99), (4, 5), (5, 4)], "node long, parent long")
+    counts = reports.topology_counts(edges)
+    once = len(plans)
+    plans.append(counts._jdf.queryExecution().executedPlan().toString())
+    assert [tuple(r) for r in counts.collect()] == [(6, 1, 1, 2)]
+    graph.lineage_state(edges)
+    assert len(plans) == 2 * once + 1  # the counts walk the lineage once
+    assert graph.components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")).where("component = 1").count() == 3
+    assert "SortMergeJoin" in "".join(plans) and "BroadcastHashJoin" not in "".join(plans)

@@ -9,6 +9,11 @@ from threadloom.scratch import folder
 from threadloom.scratch import written as _keep
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that has a row for each node: never sent to the driver to be broadcast, however well it is packed on disk."""
+    return df.hint("merge")
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """L1: (node, root, depth) for every node of (node, parent), parent null at a root.
 
@@ -21,7 +26,7 @@ def roots(edges: DataFrame) -> DataFrame:
     while True:
         far = at.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
         k += 1
-        at = _keep(at.join(far, "up", "left").select("node", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), f"{root}/{k}")
+        at = _keep(at.join(_large(far), "up", "left").select("node", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), f"{root}/{k}")
         if reach > nodes or not at.where("moved").limit(1).count():  # a walk of more steps than nodes is in a cycle
             return at.select("node", F.when(~F.col("moved"), F.col("up")).alias("root"), F.when(~F.col("moved"), F.col("depth")).alias("depth"))
         reach *= 2
@@ -39,9 +44,9 @@ def thread_report(sessions: DataFrame) -> DataFrame:
     """
     root = folder(sessions.sparkSession, "threads")
     known = sessions.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    own = _keep(sessions.join(known, "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known"), f"{root}/sessions")
+    own = _keep(sessions.join(_large(known), "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known"), f"{root}/sessions")
     parents = own.select(F.col("parent").alias("node"), F.lit(True).alias("_has")).where("node is not null").distinct()
-    placed = _keep(roots(own.select("node", "parent")).where("root is not null").join(own, "node").join(parents, "node", "left"), f"{root}/placed")
+    placed = _keep(roots(own.select("node", "parent")).where("root is not null").join(_large(own), "node").join(_large(parents), "node", "left"), f"{root}/placed")
     repo = placed.where("repo is not null").groupBy("root", "repo").agg(F.count("*").alias("_n")).groupBy("root").agg(F.min(F.struct((-F.col("_n")).alias("n"), "repo"))["repo"].alias("dominant_repo"))
     whole = placed.groupBy("root").agg(F.count("*").alias("members"), F.max("depth").alias("depth"), F.count_if(F.col("_has").isNull()).alias("branch_count"), F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("cost").alias("cost"))
     many = F.col("members") > 1
@@ -92,10 +97,10 @@ def composed(messages: DataFrame, edges: DataFrame, depth: int | None = None) ->
 
 
 def lineage_state(edges: DataFrame) -> DataFrame:
-    """(node, state, complete) of each walk up (node, parent): 'rooted', 'missing_parent' or 'cycle'; complete only where rooted."""
+    """(node, state, complete, root) of each walk up (node, parent): 'rooted', 'missing_parent' or 'cycle'; complete only where rooted."""
     known = edges.select(F.col("node").alias("root"), F.lit(True).alias("_known"))
     state = F.when(F.col("root").isNull(), "cycle").when(F.col("_known"), "rooted").otherwise("missing_parent")
-    return roots(edges).join(known, "root", "left").select("node", state.alias("state"), (state == "rooted").alias("complete"))
+    return roots(edges).join(_large(known), "root", "left").select("node", state.alias("state"), (state == "rooted").alias("complete"), "root")
 
 
 def family(edges: DataFrame, seed) -> DataFrame:
@@ -132,10 +137,10 @@ def components(edges: DataFrame) -> DataFrame:
     k, moving = 0, True
     while moving:
         k += 1
-        near = both.join(at.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = at.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
+        near = both.join(_large(at.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = at.join(_large(near), "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
         jump = at.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = keep(lower.join(jump, "component", "left").select("node", "before", F.least("component", "further").alias("component")), str(k))
+        new = keep(lower.join(_large(jump), "component", "left").select("node", "before", F.least("component", "further").alias("component")), str(k))
         moving = new.where("component <> before").limit(1).count() > 0
         at = new.select("node", "component")
     return at

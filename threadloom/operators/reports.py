@@ -70,10 +70,7 @@ def capture_coverage(starts: DataFrame, captured: DataFrame, grace: Column) -> D
 
 def topology_counts(edges: DataFrame) -> DataFrame:
     """Sessions, logical sessions (different roots), and those whose way up is missing or a cycle."""
-    state = graph.lineage_state(edges)
-    roots = graph.roots(edges)
-    both = state.join(roots.select("node", "root"), "node")
-    return both.agg(F.count("*").alias("sessions"), F.count_distinct(F.when(F.col("state") == "rooted", F.col("root"))).alias("logical_sessions"), F.count_if(F.col("state") == "missing_parent").alias("missing_parent"), F.count_if(F.col("state") == "cycle").alias("in_cycle"))
+    return graph.lineage_state(edges).agg(F.count("*").alias("sessions"), F.count_distinct(F.when(F.col("state") == "rooted", F.col("root"))).alias("logical_sessions"), F.count_if(F.col("state") == "missing_parent").alias("missing_parent"), F.count_if(F.col("state") == "cycle").alias("in_cycle"))
 
 
 def rigor_audit(rows: DataFrame, kind: str, current: int) -> DataFrame:
