@@ -44,7 +44,7 @@ SLICE = 4_000_000
 PARTIAL = 4_000_000
 
 #: Different units that a worker keeps with their alignment, and characters of their groups, at most.
-CACHE_UNITS, CACHE_CHARS = 600_000, 60_000_000
+CACHE_UNITS, CACHE_CHARS = 250_000, 25_000_000
 
 #: An id pair is one number: A's id, then this many bits for B's.
 B_BITS = 15
