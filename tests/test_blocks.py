@@ -92,3 +92,27 @@ def test_commands_tell_categories(spark):
     docs = [(f"c{k}", json.dumps({"sessionId": "s", "uuid": str(k), "timestamp": "t", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": str(k), "name": "bash", "input": x if x is None or x[0] != "{" else json.loads(x)}]}})) for k, (x, _) in enumerate(inputs)]
     got = {r.tool_id: r.category for r in exports.actions(exports.blocks(frame(spark, docs))).collect()}
     assert got == {str(k): want for k, (_, want) in enumerate(inputs)}
+
+
+def test_documents_are_read_once_for_calls_and_results(spark, tmp_path):
+    """Each pass parses every document again, so calls, results and issues' records come from one."""
+    docs = [("p", json.dumps({"session_id": "s", "platform": "cli", "messages": [{"role": "user", "content": "x"}]}))]
+    frame(spark, docs).write.parquet(path := f"{tmp_path}/docs")
+    plan = exports.actions(exports.blocks(spark.read.parquet(path)))._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1
+
+
+def test_calls_and_results_of_odd_ids(spark):
+    """Ranks go by kind: results before their calls, more of either, ids that are null or empty, sessions without a name."""
+    row = lambda s, at, kind, tool, text=None: ("p", s, at, 0, kind, tool, None, text)
+    rows = [
+        *[row("a", k, "tool_result", "t", f"r{k}") for k in (0, 3)], *[row("a", k, "tool_use", "t") for k in (1, 2, 4)],
+        *[row("a", k, "tool_result", "more", f"r{k}") for k in (6, 7)], row("a", 5, "tool_use", "more"),
+        row("a", 8, "tool_use", None), row("a", 9, "tool_use", ""), row("a", 10, "tool_use", None), *[row("a", 11 + k, "tool_result", x, "none") for k, x in enumerate((None, ""))],
+        row("b", 0, "tool_result", "t", "other"), row("a", 13, "text", "t", "text"), row(None, 0, "tool_use", "t"), row(None, 1, "tool_result", "t", "nobody's"),
+    ]
+    df = spark.createDataFrame(rows, "provider string, session_id string, position int, block int, kind string, tool_id string, tool_name string, text string")
+    df = df.selectExpr("*", "cast(null as string) ts", "cast(null as string) tool_input", "cast(null as int) is_error", "cast(null as int) exit_code")
+    got = sorted((r.session_id or "", r.position, r.rank, r.found, r.result_position, r.result_text, r.state) for r in exports.actions(df).collect())
+    no, un = "no_result", "outcome_unknown"
+    assert got == [("", 0, 1, False, None, None, no), ("a", 1, 1, True, 0, "r0", un), ("a", 2, 2, True, 3, "r3", un), ("a", 4, 3, False, None, None, no), ("a", 5, 1, True, 6, "r6", un), *[("a", k, None, False, None, None, no) for k in (8, 9, 10)]]

@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from threadloom.functions.scalars import result_state
 from threadloom.functions.tools import command_of, tool_category
-from threadloom.operators.windows import pair_by_rank
 
 BLOCK = "struct<kind:string,text:string,tool_name:string,tool_id:string,tool_input:string,is_error:int,exit_code:int>"
 MESSAGE = f"struct<message_id:string,role:string,text:string,ts:string,model:string,parent_id:string,blocks:array<{BLOCK}>>"
@@ -26,7 +25,10 @@ def _get(of: str, path: str, kind: str = "string") -> str:
 
 
 def _has(path: str, kind: str) -> str:
-    return f"coalesce(schema_of_variant({_get('v', path, 'variant')}) rlike '^{kind}', false)"
+    """The kind of a value; a list or an object is told by a cast, as its schema would be that of all that is in it."""
+    if kind in ("ARRAY", "OBJECT"):
+        return f"{_get('v', path, 'array<variant>' if kind == 'ARRAY' else 'map<string,variant>')} is not null"
+    return f"coalesce(schema_of_variant({_get('v', path, 'variant')}) = '{kind}', false)"
 
 
 def _there(path: str) -> str:
@@ -67,7 +69,7 @@ def role(c: str) -> str:
 def _texts(of: str, path: str) -> str:
     """A text, or the texts of a list's parts, joined by line ends."""
     parts = f"filter(transform({_get(of, path, 'array<variant>')}, p -> coalesce({_get('p', 'text')}, IF(schema_of_variant(p) = 'STRING', cast(p as string), NULL))), p -> p is not null)"
-    return f"coalesce(IF(schema_of_variant({_get(of, path, 'variant')}) = 'STRING', {_get(of, path)}, NULL), array_join({parts}, '\\n'))"
+    return f"IF({_get(of, path, 'array<variant>')} is null, IF(schema_of_variant({_get(of, path, 'variant')}) = 'STRING', {_get(of, path)}, NULL), array_join({parts}, '\\n'))"
 
 
 def _block(kind: str, text: str = "NULL", name: str = "NULL", tool_id: str = "NULL", given: str = "NULL", error: str = "NULL", code: str = "NULL") -> str:
@@ -102,7 +104,8 @@ def _parts(of: str, path: str) -> str:
     """Blocks of a content that is a text or a list of parts."""
     whole = f"array({_block('text', _get(of, path))})"
     part = _PART.replace("{RESULT}", _texts("p", "content"))
-    return f"IF(schema_of_variant({_get(of, path, 'variant')}) = 'STRING', IF({_get(of, path)} = '', array(), {whole}), {_each(of, path, 'p', part)})"
+    text = f"IF(coalesce(schema_of_variant({_get(of, path, 'variant')}) = 'STRING' and {_get(of, path)} <> '', false), {whole}, array())"
+    return f"IF({_get(of, path, 'array<variant>')} is null, {text}, {_each(of, path, 'p', part)})"
 
 
 def _message(message_id: str, who: str, text: str, ts: str = "NULL", model: str = "NULL", parent: str = "NULL", blocks: str | None = None) -> str:
@@ -211,6 +214,12 @@ _NODE_MESSAGE = _message(f"coalesce({_get(_NODE, 'message.id')}, e.key)", role(_
 _WEB_TEXT = f"coalesce(nullif({_get('m', 'text')}, ''), {_texts('m', 'content')})"
 _WEB_BLOCKS = f"IF(size({_parts('m', 'content')}) > 0, {_parts('m', 'content')}, {_some(f'''coalesce({_WEB_TEXT}, '') <> '' ''', _block('text', _WEB_TEXT))})"
 _TURN = _message(_get("m", "provider_turn_id"), role(_get("m", "role")), _get("m", "text"), _get("m", "timestamp"), "NULL", _get("m", "parent_turn_id"))
+# An issue's records as the messages of a session.
+_FIELD, _WHY, _ACTOR = f"nullif({_get('v', 'extra.field')}, '')", f"nullif({_get('v', 'extra.reason')}, '')", f"coalesce(nullif({_get('v', 'actor')}, ''), 'unknown actor')"
+_OLD, _NEW = (f"coalesce(to_json({_get('v', f'extra.{x}_value', 'variant')}), 'null')" for x in ("old", "new"))
+_DONE = f"IF({_FIELD} is null, concat({_ACTOR}, ' recorded ', replace({_get('v', 'kind')}, '_', ' ')), concat({_ACTOR}, ' changed ', {_FIELD}, ' from ', {_OLD}, ' to ', {_NEW}))"
+_BEADS_TEXT = f"concat('Beads ', {_get('v', 'issue_id')}, ' ', {_get('v', 'id')}, ': ', {_DONE}, '.', coalesce(concat(' Reason: ', {_WHY}), ''))"
+_BEADS = _message(_get("v", "id"), "'user'", _BEADS_TEXT, _get("v", "created_at"), "NULL", "NULL", f"array({_block('text', _BEADS_TEXT)})")
 _SEEN = "filter(%s, x -> coalesce(x.text, '') <> '' or size(x.blocks) > 0)"
 
 #: Provider → session id, title, creation time, and the document's messages in order.
@@ -229,6 +238,7 @@ READERS = {
     "grok": ("path", f"coalesce(nullif({_get('v', 'conversation.title')}, ''), path)", _get("v", "conversation.create_time"), _list("responses", _message(f"sha2(concat_ws('|', path, {role(_SENDER)}, {_SAID}, {_SENT}), 256)", role(_SENDER), _SAID, _SENT))),
     # A chunk without a role is skipped
     "gemini": ("path", "path", _get("v", "createTime"), _SEEN % f"transform(filter(coalesce({_get('v', 'chunkedPrompt.chunks', 'array<variant>')}, {_get('v', 'chunks', 'array<variant>')}), m -> coalesce({_CHUNK_ROLE}, '') <> ''), m -> {_CHUNK})"),
+    "beads": (_get("v", "issue_id"), f"concat('Beads issue ', {_get('v', 'issue_id')})", _get("v", "created_at"), f"array({_BEADS})"),
 }
 
 #: Parts of one document (``packed.read``) follow one another in the order of their messages.
@@ -239,7 +249,7 @@ def _values(docs: DataFrame) -> DataFrame:
     """(path, part, v, provider): every document's value; a list of conversations, bare or under its key, becomes a row for each."""
     part = F.col("part").cast("long") if "part" in docs.columns else F.lit(0).cast("long")
     v = docs.select("path", part.alias("part"), F.expr("try_parse_json(payload)").alias("v"))
-    listed = f"CASE WHEN schema_of_variant(v) rlike '^ARRAY' THEN cast(v as array<variant>) WHEN {_has('conversations', 'ARRAY')} THEN {_get('v', 'conversations', 'array<variant>')} END"
+    listed = f"coalesce(try_cast(v as array<variant>), {_get('v', 'conversations', 'array<variant>')})"
     each = v.where("v is not null").withColumn("many", F.expr(listed)).select("path", "part", F.posexplode(F.coalesce("many", F.array("v"))).alias("n", "v"), F.col("many").isNotNull().alias("_many"))
     return each.select(F.when(F.col("_many"), F.concat_ws("#", "path", "n")).otherwise(F.col("path")).alias("path"), "part", "v").withColumn("provider", provider())
 
@@ -260,10 +270,12 @@ def unread(docs: DataFrame, longest: int = 20_000_000) -> DataFrame:
 
 def _read(docs: DataFrame) -> DataFrame:
     """Messages with their blocks, numbered in their session."""
-    told = parsed(docs)
     pick = lambda k: "case provider " + " ".join(f"when '{p}' then {r[k]}" for p, r in READERS.items()) + " end"
-    read = told.where("provider <> 'beads'").select("provider", F.coalesce(F.expr(pick(0)), "path").alias("session_id"), F.expr(pick(1)).alias("title"), F.expr(pick(2)).alias("created_at"), "part", F.posexplode(F.expr(pick(3))).alias("place", "m"))
-    rows = read.select("provider", "session_id", "title", "created_at", (F.col("part") * PART + F.col("place")).alias("place"), "m.*").unionByName(interactions(told))
+    # A document of no provider has no messages. The session's columns come before its messages, so that these don't carry the document.
+    told = _values(docs).select("provider", F.coalesce(F.expr(pick(0)), "path").alias("session_id"), F.expr(pick(1)).alias("title"), F.expr(pick(2)).alias("created_at"), "path", "part", "v")
+    read = told.select("provider", "session_id", "title", "created_at", "part", F.posexplode(F.expr(pick(3))).alias("place", "m"))
+    place = F.when(F.col("provider") == "beads", 0).otherwise(F.col("part") * PART + F.col("place"))
+    rows = read.select("provider", "session_id", "title", "created_at", place.alias("place"), "m.*")
     # Both windows use one shuffle. S13: of a turn's appearances the first counts.
     dealt, captured = rows.repartition("provider", "session_id"), F.col("provider") == "browser_capture"
     again = F.row_number().over(Window.partitionBy("provider", "session_id", F.when(captured, F.col("message_id"))).orderBy("place"))
@@ -289,26 +301,20 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def actions(rows: DataFrame) -> DataFrame:
-    """Each call of ``blocks`` with its result, by rank of its id in the session, and the outcome."""
-    key = ["provider", "session_id", "tool_id"]
-    uses = rows.where("kind = 'tool_use'").select(*key, "position", "block", "ts", "tool_name", "tool_input")
-    results = rows.where("kind = 'tool_result'").select(*key, "position", "block", "text", "is_error", "exit_code")
-    paired = pair_by_rank(uses, results, key, ["position", "block"])
-    told = paired.withColumn("state", result_state(F.col("found"), F.col("result_is_error"), F.col("result_exit_code")))
-    return told.withColumn("category", tool_category(F.col("tool_name"), command_of(F.col("tool_input"))))
-
-
-def interactions(told: DataFrame) -> DataFrame:
-    """An issue's records as the messages of a session."""
-    g = lambda path: F.expr(_get("v", path))
-    who = F.coalesce(F.nullif(g("actor"), F.lit("")), F.lit("unknown actor"))
-    shown = lambda path: F.coalesce(F.expr(f"to_json({_get('v', path, 'variant')})"), F.lit("null"))
-    field, reason = F.nullif(g("extra.field"), F.lit("")), F.nullif(g("extra.reason"), F.lit(""))
-    changed = F.concat(who, F.lit(" changed "), field, F.lit(" from "), shown("extra.old_value"), F.lit(" to "), shown("extra.new_value"))
-    what = F.when(field.isNotNull(), changed).otherwise(F.concat(who, F.lit(" recorded "), F.replace(g("kind"), F.lit("_"), F.lit(" "))))
-    text = F.concat(F.lit("Beads "), g("issue_id"), F.lit(" "), g("id"), F.lit(": "), what, F.lit("."), F.coalesce(F.concat(F.lit(" Reason: "), reason), F.lit("")))
-    none = F.lit(None).cast("string")
-    return told.where("provider = 'beads'").select("provider", g("issue_id").alias("session_id"), F.concat(F.lit("Beads issue "), g("issue_id")).alias("title"), g("created_at").alias("created_at"), F.lit(0).cast("long").alias("place"), g("id").alias("message_id"), F.lit("user").alias("role"), text.alias("text"), g("created_at").alias("ts"), none.alias("model"), none.alias("parent_id"), F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), *[none.alias(c) for c in ("tool_name", "tool_id", "tool_input")], *[F.lit(None).cast("int").alias(c) for c in ("is_error", "exit_code")])).alias("blocks"))
+    """Each call of ``blocks`` with its result, by rank of its id in the session, and the outcome.
+
+    Calls and results are ranked side by side and each call looks at the row after it, so that the documents are read once.
+    """
+    key, result = ["provider", "session_id", "tool_id"], ["position", "block", "text", "is_error", "exit_code"]
+    keyed, use = F.coalesce(F.col("tool_id") != "", F.lit(False)), F.col("kind") == "tool_use"
+    both = rows.where(use | (F.col("kind") == "tool_result") & keyed)
+    rank = F.when(keyed, F.row_number().over(Window.partitionBy(*key, "kind").orderBy("position", "block")))
+    after = F.lead(F.struct("kind", *result)).over(Window.partitionBy(*key, "rank").orderBy(F.desc("kind")))
+    told = both.withColumn("rank", rank).withColumn("_r", after).where(use)
+    found = F.coalesce(F.col("rank").isNotNull() & F.col("session_id").isNotNull() & (F.col("_r.kind") == "tool_result"), F.lit(False))
+    paired = told.withColumn("found", found).select(*key, "rank", "position", "block", "ts", "tool_name", "tool_input", "found", *[F.when(F.col("found"), F.col(f"_r.{c}")).alias(f"result_{c}") for c in result])
+    named = paired.withColumn("state", result_state(F.col("found"), F.col("result_is_error"), F.col("result_exit_code")))
+    return named.withColumn("category", tool_category(F.col("tool_name"), command_of(F.col("tool_input"))))
 
 
 def sessions(rows: DataFrame) -> DataFrame:
